@@ -20,7 +20,8 @@ SVC = f"WITH svc AS ({SPANS_SQL}), clock AS (SELECT max(timestamp) AS as_of FROM
     + """SELECT id, record_type AS f_type, a_k AS f_k, t_region AS f_region, metric_name AS f_metric,
        metric_unit AS f_unit, CASE WHEN metric_name IS NOT NULL THEN event_type END AS f_label,
        a_env AS f_env, log_message AS f_message,
-       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS f_ts FROM rec""",
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' WHEN epoch_us(ts) % 1000 = 0
+         THEN strftime(ts, '.%g') ELSE strftime(ts, '.%f') END || '+00:00' AS f_ts FROM rec""",
 )
 def field_resolve(spark, d):
     return records(spark, d).select(

@@ -39,7 +39,9 @@ def resolve(field: str) -> Column:
     Order: fixed columns, then attributes, tags, the metric's own fields, and its labels.
     """
     if field == "timestamp":
-        return F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+        from sparkscope.operators.transforms import rfc3339
+
+        return rfc3339(F.col("timestamp"))
     if field.startswith("attributes."):
         return F.col("attributes")[field.removeprefix("attributes.")]
     if field.startswith("tags."):
