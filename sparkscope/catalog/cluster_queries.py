@@ -1 +1,83 @@
-"""To come."""
+"""Window features and clusterings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkscope.catalog import query
+from sparkscope.catalog.series_queries import P, rounded
+from sparkscope.model import series, table
+from sparkscope.operators import cluster as cl
+
+
+def customers(spark, d):
+    """One point per customer: balance, number of orders and mean price, in comparable units."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("p")
+    )
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
+    x = F.array(F.col("c_acctbal") / 1000, F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("p", F.lit(0.0)) / 50_000)
+    return c.join(o, "id", "left").select("id", x.alias("x"))
+
+
+def embeddings(spark, d):
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("bigint").alias("label")
+    )
+
+
+@query(
+    "feat_windows",
+    P
+    + """, w AS (SELECT *, least(greatest(n // 10, 5), 50) AS win FROM p),
+    f2 AS (SELECT a.series, a.i, any_value(a.win) AS win, avg(b.value) AS m, var_samp(b.value) AS v, max(b.value) - min(b.value) AS r, regr_slope(b.value, b.i) AS slope FROM w a JOIN w b ON a.series = b.series AND b.i >= a.i AND b.i < a.i + a.win
+      WHERE a.i + a.win <= a.n GROUP BY a.series, a.i),
+    ac AS (SELECT f2.series, f2.i, sum((b.value - m) * (c.value - m)) AS s FROM f2 JOIN w b ON b.series = f2.series AND b.i >= f2.i AND b.i < f2.i + f2.win - 1 JOIN w c ON c.series = b.series AND c.i = b.i + 1 GROUP BY f2.series, f2.i)
+    SELECT f2.series, f2.i, round(m, 6) AS mean, round(sqrt(v), 6) AS std_dev, round(r, 6) AS value_range, round(slope, 6) AS trend, round(CASE WHEN v = 0 THEN 0 ELSE s / ((win - 1) * v) END, 6) AS seasonality FROM f2 JOIN ac ON f2.series = ac.series AND f2.i = ac.i""",
+)
+def feat_windows(spark, d):
+    return rounded(cl.window_features(series(spark, d)), *cl.FEATURES)
+
+
+@query("clu_kmeans")
+def clu_kmeans(spark, d):
+    features = cl.window_features(series(spark, d))
+    points = features.select(
+        F.concat_ws("-", "series", F.col("i").cast("string")).alias("id"), F.array(*cl.FEATURES).alias("x")
+    )
+    return cl.kmeans(points, 8).select("id", "label")
+
+
+@query("clu_dbscan")
+def clu_dbscan(spark, d):
+    return cl.dbscan(customers(spark, d)).select("id", "label")
+
+
+@query("clu_single_link")
+def clu_single_link(spark, d):
+    return cl.single_link(customers(spark, d), 5).select("id", "label")
+
+
+@query("clu_spectral")
+def clu_spectral(spark, d):
+    return cl.spectral(customers(spark, d), 4).select("id", "label")
+
+
+@query("clu_auto")
+def clu_auto(spark, d):
+    return cl.auto(embeddings(spark, d).drop("label")).select("id", "label")
+
+
+@query(
+    "clu_summary",
+    """WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label <> -1),
+    c AS (SELECT label, pos, avg(v) AS c FROM e GROUP BY 1, 2), g AS (SELECT e.label, vec_id, sqrt(sum(power(v - c, 2))) AS dist FROM e JOIN c ON e.label = c.label AND e.pos = c.pos GROUP BY 1, 2)
+    SELECT g.label, count(*) AS size, round(1 / (1 + avg(dist)), 6) AS score, any_value(k.c1) AS center_1, any_value(k.cl) AS center_sum FROM g JOIN
+    (SELECT label, round(max(CASE WHEN pos = 1 THEN c END), 6) AS c1, round(sum(c), 5) AS cl FROM c GROUP BY label) k ON g.label = k.label GROUP BY g.label""",
+)
+def clu_summary(spark, d):
+    out = cl.summary(embeddings(spark, d))
+    total = F.aggregate("center", F.lit(0.0), lambda s, v: s + v)
+    return out.select(
+        "label", "size", F.round("score", 6).alias("score"), F.round(F.col("center")[0], 6).alias("center_1"), F.round(total, 5).alias("center_sum")
+    )
