@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 _fallback: dict[str, str] = {}
