@@ -27,6 +27,7 @@ PARTS = (
     "report_queries",
     "search_queries",
     "function_queries",
+    "ingest_queries",
 )
 
 

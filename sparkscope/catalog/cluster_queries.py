@@ -48,7 +48,20 @@ def clu_kmeans(spark, d):
     return cl.kmeans(points, 8).select("id", "label")
 
 
-@query("clu_dbscan")
+POINTS = """SELECT c_custkey AS id, c_acctbal / 1000 AS x, coalesce(n, 0)::DOUBLE AS y, coalesce(p, 0.0) / 50000 AS z FROM customer LEFT JOIN
+    (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS p FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey"""
+
+
+@query(
+    "clu_dbscan",
+    f"""WITH RECURSIVE pt AS ({POINTS}), dist AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM pt a JOIN pt b ON a.id <> b.id),
+    near AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM dist), par AS (SELECT (SELECT avg(d) FROM near WHERE r = 5) AS eps, least(greatest((SELECT count(*) FROM pt) // 20, 2), 10) AS m),
+    link AS (SELECT a, b, d FROM dist, par WHERE d <= eps), core AS (SELECT a FROM link GROUP BY a HAVING count(*) >= (SELECT m FROM par)),
+    cl AS (SELECT a, b FROM link WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)),
+    lab(node, label) USING KEY (node) AS (SELECT a, a FROM core UNION SELECT cl.b, min(lab.label) FROM lab JOIN cl ON cl.a = lab.node JOIN recurring.lab AS known ON known.node = cl.b WHERE lab.label < known.label GROUP BY cl.b),
+    edge AS (SELECT l.a, arg_min(l.b, (l.d, l.b)) AS c FROM link l WHERE l.a NOT IN (SELECT a FROM core) AND l.b IN (SELECT a FROM core) GROUP BY l.a)
+    SELECT pt.id, coalesce(lab.label, le.label, -1) AS label FROM pt LEFT JOIN lab ON lab.node = pt.id LEFT JOIN edge ON edge.a = pt.id LEFT JOIN lab le ON le.node = edge.c""",
+)
 def clu_dbscan(spark, d):
     return cl.dbscan(customers(spark, d)).select("id", "label")
 

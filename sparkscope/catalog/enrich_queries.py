@@ -11,7 +11,9 @@ from sparkscope.operators import transforms as tr
 from sparkscope.operators.enrich import EnrichRule
 
 REC = f"WITH rec AS ({FLAT_SQL}) "
-A = F.col("attributes")
+
+def attr(key):
+    return F.col("attributes")[key]
 
 
 @query(
@@ -51,7 +53,7 @@ def enrich_service(spark, d):
         F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("from"),
         F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("to"),
     )
-    return en.service(records(spark, d), mapping, "unknown").select("id", A["service.name"].alias("service"))
+    return en.service(records(spark, d), mapping, "unknown").select("id", attr("service.name").alias("service"))
 
 
 @query(
@@ -63,7 +65,7 @@ def enrich_environment(spark, d):
     mapping = table(spark, d, "region").filter("r_regionkey = 0").select(
         F.lit("prod").alias("from"), F.lit("production").alias("to")
     )
-    return en.environment(records(spark, d), mapping, "none").select("id", A["environment"].alias("environment"))
+    return en.environment(records(spark, d), mapping, "none").select("id", attr("environment").alias("environment"))
 
 
 @query(
@@ -85,7 +87,7 @@ def enrich_rules(spark, d):
         EnrichRule("off", "static", "never", enabled=False),
     ]
     names = ("env_copy", "page", "fixed", "area", "host", "joined", "short")
-    return en.by_rules(records(spark, d), rules).select("id", *[A[n].alias(n) for n in names])
+    return en.by_rules(records(spark, d), rules).select("id", *[attr(n).alias(n) for n in names])
 
 
 @query(
@@ -115,9 +117,9 @@ def enrich_computed(spark, d):
     REC + "SELECT id, CASE WHEN k % 4 = 0 THEN a_user ELSE sha256(id) END AS correlation_id FROM rec",
 )
 def enrich_correlation(spark, d):
-    known = F.when(A["k"].cast("int") % 4 == 0, A["user"])
+    known = F.when(attr("k").cast("int") % 4 == 0, attr("user"))
     out = en.correlation(tr.set_field(records(spark, d), "correlation_id", known))
-    return out.select("id", A["correlation_id"].alias("correlation_id"))
+    return out.select("id", attr("correlation_id").alias("correlation_id"))
 
 
 DRAW = "(CAST('0x' || left(md5(id), 8) AS BIGINT) % 10000) / 10000.0"

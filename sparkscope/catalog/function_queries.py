@@ -56,6 +56,15 @@ def udf_scalar(spark, d):
     )
 
 
+@query(
+    "round_to_interval",
+    "SELECT event_id AS id, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '1970-01-01') AS slot FROM events",
+)
+def round_to_interval(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), default().call("round_to_interval", F.col("ts"), 300).alias("slot"))
+
+
 _UDAF = """SELECT {key} AS k, round(avg({v}), 6) AS {p}_avg, round(coalesce(stddev_samp({v}), 0), 6) AS {p}_stddev, min({v}) AS {p}_min, max({v}) AS {p}_max, count({v}) AS {p}_count, round(sum({v}), 4) AS {p}_sum,
     max(CASE WHEN i = least(CAST(floor(0.95 * n) AS BIGINT), n - 1) THEN {v} END) AS {p}_p95, max(CASE WHEN i = least(CAST(floor(0.99 * n) AS BIGINT), n - 1) THEN {v} END) AS {p}_p99
     FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {v}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS n FROM {t}) GROUP BY {key}"""

@@ -261,7 +261,8 @@ def _pairs(*entries):
     return F.array(*full)
 
 
-NANO = F.unix_micros("ts") * 1000
+def nano():
+    return F.unix_micros("ts") * 1000
 
 
 def _documents(spark, f, item, outer, scope, items, label):
@@ -292,7 +293,7 @@ def src_otlp_metrics(spark, d):
     f = flat(spark, d)
     kind = F.col("event_type")
     point = F.struct(
-        F.when(F.col("k") != 0, NANO.cast("string")).otherwise("0").alias("timeUnixNano"),
+        F.when(F.col("k") != 0, nano().cast("string")).otherwise("0").alias("timeUnixNano"),
         F.when(kind.isin("click", "signup"), F.col("value")).alias("asDouble"),
         F.when(kind == "purchase", F.floor("value").cast("string")).alias("asInt"),
         F.when(kind == "view", F.col("k").cast("string")).alias("count"),
@@ -335,7 +336,7 @@ def src_otlp_logs(spark, d):
         F.when(F.col("k") % 3 == 1, F.col("event_id").cast("string")).alias("intValue"),
     )
     item = F.struct(
-        NANO.cast("string").alias("timeUnixNano"),
+        nano().cast("string").alias("timeUnixNano"),
         (F.col("k") % 27).alias("severityNumber"),
         F.concat(F.lit("S"), "a_k").alias("severityText"),
         body.alias("body"),
@@ -373,13 +374,13 @@ def src_otlp_spans(spark, d):
         F.when(F.col("k") % 2 == 0, b64(F.col("a_k"), 16)).alias("parentSpanId"),
         F.col("event_type").alias("name"),
         (F.col("k") % 7).alias("kind"),
-        NANO.cast("string").alias("startTimeUnixNano"),
-        F.when(F.col("k") % 5 != 0, (NANO + took).cast("string")).alias("endTimeUnixNano"),
+        nano().cast("string").alias("startTimeUnixNano"),
+        F.when(F.col("k") % 5 != 0, (nano() + took).cast("string")).alias("endTimeUnixNano"),
         F.struct((F.col("k") % 3).alias("code")).alias("status"),
         _pairs(("region", "stringValue", F.col("t_region"))).alias("attributes"),
         F.array(
             F.struct(
-                NANO.cast("string").alias("timeUnixNano"),
+                nano().cast("string").alias("timeUnixNano"),
                 F.lit("started").alias("name"),
                 _pairs(("k", "intValue", F.col("a_k"))).alias("attributes"),
             )

@@ -268,3 +268,15 @@ _SUB = """SELECT x.event_type, x.n, round(x.total, 4) AS total FROM (SELECT even
 def subquery(spark, d):
     table(spark, d, "events").createOrReplaceTempView("scope_events")
     return spark.sql(_SUB.format(t="scope_events"))
+
+
+_DERIVED = """SELECT s.n_name, max(s.n) AS suppliers, round(sum(b.balance), 4) AS balance FROM (SELECT n_nationkey, n_name, count(*) AS n FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_nationkey, n_name) s
+    JOIN (SELECT c_nationkey, sum(c_acctbal) AS balance FROM {customer} GROUP BY c_nationkey) b ON b.c_nationkey = s.n_nationkey GROUP BY s.n_name"""
+
+
+@query("derived_table", _DERIVED.format(nation="nation", supplier="supplier", customer="customer"))
+def derived_table(spark, d):
+    names = {t: f"scope_{t}" for t in ("nation", "supplier", "customer")}
+    for t, view in names.items():
+        table(spark, d, t).createOrReplaceTempView(view)
+    return spark.sql(_DERIVED.format(**names))

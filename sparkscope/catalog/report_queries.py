@@ -126,11 +126,14 @@ def rep_bar(spark, d):
     return rp.bar_chart(service_metrics(spark, d), "service_name", "response_time_ms")
 
 
-@query("rep_interactive")
+@query(
+    "rep_interactive",
+    "SELECT event_type, count(*) AS n, (SELECT count(DISTINCT event_type) FROM events) AS row_count, 'event_type,n' AS columns FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10",
+)
 def rep_interactive(spark, d):
     table(spark, d, "events").createOrReplaceTempView("scope_interactive")
     sample, rows, columns = rp.interactive(
-        spark, "SELECT event_type, count(*) AS n FROM scope_interactive GROUP BY event_type ORDER BY n DESC"
+        spark, "SELECT event_type, count(*) AS n FROM scope_interactive GROUP BY event_type ORDER BY n DESC, event_type"
     )
     return sample.withColumns({"row_count": F.lit(rows).cast("bigint"), "columns": F.lit(",".join(columns))})
 

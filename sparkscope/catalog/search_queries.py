@@ -143,10 +143,10 @@ def quotas(spark, d):
     )
 
 
-@query("ten_utilisation", LIMITS + f"SELECT tenant_id, resource, round(used, 8) AS used, quota, round(used / quota * 100, 8) AS percent, {_LEVEL.format(p='used / quota * 100')} AS level FROM l")
+@query("ten_utilisation", LIMITS + f"SELECT tenant_id, resource, round(used, 5) AS used, quota, round(used / quota * 100, 8) AS percent, {_LEVEL.format(p='used / quota * 100')} AS level FROM l")
 def ten_utilisation(spark, d):
     out = tn.utilisation(usage(spark, d), quotas(spark, d), RESOURCES)
-    return out.withColumns({"used": F.round("used", 8), "percent": F.round("percent", 8)})
+    return out.withColumns({"used": F.round("used", 5), "percent": F.round("percent", 8)})
 
 
 _REQ = """, r AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, CASE WHEN event_type = 'click' THEN 'cpu_cores' ELSE 'connections' END AS resource, event_id AS request, value / 10 AS amount FROM events WHERE event_type IN ('click', 'error'))"""

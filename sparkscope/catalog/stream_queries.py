@@ -37,7 +37,8 @@ def src_file_stream(spark, d):
     return jobs.drain(stream(spark, d).select("event_id", "ts", "event_type", "value"), "file-stream")
 
 
-N = [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")]
+def totals():
+    return [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")]
 
 
 def _bucketed(size, sql_size):
@@ -47,7 +48,7 @@ def _bucketed(size, sql_size):
 
 @query("st_tumbling", f"SELECT * FROM ({_bucketed(None, '30 MINUTE')}) WHERE window_end <= {END} - INTERVAL 1 HOUR")
 def st_tumbling(spark, d):
-    return jobs.drain(windows.tumbling(stream(spark, d), "ts", "30 minutes", ["event_type"], N, "1 hour"), "tumbling")
+    return jobs.drain(windows.tumbling(stream(spark, d), "ts", "30 minutes", ["event_type"], totals(), "1 hour"), "tumbling")
 
 
 @query(
@@ -56,7 +57,7 @@ def st_tumbling(spark, d):
     (SELECT *, unnest([time_bucket(INTERVAL 20 MINUTE, ts, TIMESTAMP '1970-01-01') - to_minutes(20 * s) for s in [0, 1, 2]]) AS w FROM events) GROUP BY ALL HAVING window_end <= {END} - INTERVAL 1 HOUR""",
 )
 def st_sliding(spark, d):
-    out = windows.sliding(stream(spark, d), "ts", "1 hour", "20 minutes", ["event_type"], N, "1 hour")
+    out = windows.sliding(stream(spark, d), "ts", "1 hour", "20 minutes", ["event_type"], totals(), "1 hour")
     return jobs.drain(out, "sliding")
 
 
@@ -67,7 +68,7 @@ def st_sliding(spark, d):
     SELECT min(ts) AS window_start, max(ts) + INTERVAL 4 HOUR AS window_end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 4 HOUR <= {END} - INTERVAL 1 HOUR""",
 )
 def st_session(spark, d):
-    return jobs.drain(windows.session(stream(spark, d), "ts", "4 hours", ["user_id"], N, "1 hour"), "session")
+    return jobs.drain(windows.session(stream(spark, d), "ts", "4 hours", ["user_id"], totals(), "1 hour"), "session")
 
 
 @query(
@@ -95,7 +96,7 @@ def st_count_window_stream(spark, d):
 
 @query("st_watermark", f"SELECT * FROM ({_bucketed(None, '1 HOUR')}) WHERE window_end <= {END} - INTERVAL 6 HOUR")
 def st_watermark(spark, d):
-    return jobs.drain(windows.tumbling(stream(spark, d), "ts", "1 hour", ["event_type"], N, "6 hours"), "watermark")
+    return jobs.drain(windows.tumbling(stream(spark, d), "ts", "1 hour", ["event_type"], totals(), "6 hours"), "watermark")
 
 
 @query(
@@ -113,7 +114,7 @@ def st_late(spark, d):
 
 @query("st_intermediate", _bucketed(None, "1 DAY"))
 def st_intermediate(spark, d):
-    out = windows.tumbling(stream(spark, d), "ts", "1 day", ["event_type"], N, "1 hour")
+    out = windows.tumbling(stream(spark, d), "ts", "1 day", ["event_type"], totals(), "1 hour")
     return jobs.latest(jobs.drain_batches(out, "intermediate"), ["window_start", "window_end", "event_type"])
 
 

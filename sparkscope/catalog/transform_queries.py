@@ -12,25 +12,30 @@ from sparkscope.operators.transforms import Step
 
 REC = f"WITH rec AS ({FLAT_SQL}) "
 
-A, G = F.col("attributes"), F.col("tags")
+def attr(key):
+    return F.col("attributes")[key]
+
+
+def tag(key):
+    return F.col("tags")[key]
 
 
 @query("map_copy", REC + "SELECT id, a_env AS env, a_env AS deployment, t_region AS area, t_region AS region FROM rec")
 def map_copy(spark, d):
     out = tr.copy(tr.copy(records(spark, d), "env", "deployment"), "region", "tags.area")
-    return out.select("id", A["env"].alias("env"), A["deployment"].alias("deployment"), G["area"].alias("area"), G["region"].alias("region"))
+    return out.select("id", attr("env").alias("env"), attr("deployment").alias("deployment"), tag("area").alias("area"), tag("region").alias("region"))
 
 
 @query("map_rename", REC + "SELECT id, CAST(NULL AS VARCHAR) AS env, a_env AS deployment, a_k AS k, CAST(NULL AS VARCHAR) AS region, t_region AS area FROM rec")
 def map_rename(spark, d):
     out = tr.rename(tr.rename(records(spark, d), "env", "deployment"), "tags.region", "tags.area")
-    return out.select("id", A["env"].alias("env"), A["deployment"].alias("deployment"), A["k"].alias("k"), G["region"].alias("region"), G["area"].alias("area"))
+    return out.select("id", attr("env").alias("env"), attr("deployment").alias("deployment"), attr("k").alias("k"), tag("region").alias("region"), tag("area").alias("area"))
 
 
 @query("map_set", REC + "SELECT id, 'x' AS env, '1' AS flag, a_k AS k FROM rec")
 def map_set(spark, d):
     out = tr.set_field(tr.set_field(records(spark, d), "env", F.lit("x")), "tags.flag", F.lit("1"))
-    return out.select("id", A["env"].alias("env"), G["flag"].alias("flag"), A["k"].alias("k"))
+    return out.select("id", attr("env").alias("env"), tag("flag").alias("flag"), attr("k").alias("k"))
 
 
 @query(
@@ -40,31 +45,31 @@ def map_set(spark, d):
 )
 def map_remove(spark, d):
     out = tr.remove_field(tr.remove_field(records(spark, d), "env"), "tags.region")
-    return out.select("id", A["env"].alias("env"), G["region"].alias("region"), F.size(A).alias("n"))
+    return out.select("id", attr("env").alias("env"), tag("region").alias("region"), F.size("attributes").alias("n"))
 
 
 @query("map_add", REC + "SELECT id, coalesce(a_env, 'none') AS env, a_k AS k FROM rec")
 def map_add(spark, d):
     out = tr.add(tr.add(records(spark, d), "env", "none"), "k", "0")
-    return out.select("id", A["env"].alias("env"), A["k"].alias("k"))
+    return out.select("id", attr("env").alias("env"), attr("k").alias("k"))
 
 
 @query("map_replace", REC + "SELECT id, CASE WHEN a_env IS NOT NULL THEN 'hidden' END AS env, a_k AS k FROM rec")
 def map_replace(spark, d):
     out = tr.replace(records(spark, d), "env", "env", "hidden")
-    return out.select("id", A["env"].alias("env"), A["k"].alias("k"))
+    return out.select("id", attr("env").alias("env"), attr("k").alias("k"))
 
 
 @query("map_field_mapping", REC + "SELECT id, CAST(NULL AS VARCHAR) AS old, a_service AS svc FROM rec")
 def map_field_mapping(spark, d):
     out = tr.map_field(records(spark, d), "service.name", "svc")
-    return out.select("id", A["service.name"].alias("old"), A["svc"].alias("svc"))
+    return out.select("id", attr("service.name").alias("old"), attr("svc").alias("svc"))
 
 
 @query("map_conditional_set", REC + "SELECT id, CASE WHEN a_env = 'prod' THEN 'high' END AS tier FROM rec")
 def map_conditional_set(spark, d):
-    out = tr.set_when(records(spark, d), "tier", A["env"] == "prod", "high")
-    return out.select("id", A["tier"].alias("tier"))
+    out = tr.set_when(records(spark, d), "tier", attr("env") == "prod", "high")
+    return out.select("id", attr("tier").alias("tier"))
 
 
 @query(
