@@ -9,7 +9,12 @@ from sparkscope.catalog.enrich_queries import DRAW
 from sparkscope.model import FLAT_SQL, flat, nest, newest
 from sparkscope.operators.quality import NO_IDS, NO_NAME
 from sparkscope.plans import ingest
-from sparkscope.session import scratch
+from sparkscope.session import scratch, stage
+
+
+def landed(spark, records):
+    """The records as a landing folder of Parquet files, one per core, to ingest from."""
+    return stage(records.repartition(spark.sparkContext.defaultParallelism), "landing")
 
 
 @query(
@@ -33,7 +38,7 @@ def ingest_flow(spark, d):
         }
     )
     path = scratch(spark, "ingest")
-    ingest.write(ingest.flow(nest(broken), newest(f, "ts")), path)
+    ingest.write(ingest.flow(landed(spark, nest(broken)), newest(f, "ts")), path)
     attr = lambda k: F.col("attributes")[k]
     return spark.read.parquet(path).select(
         "id",

@@ -58,10 +58,7 @@ def dq_gate(spark, d):
         }
     )
     clock = newest(f, "ts")
-    good, bad = q.gate(nest(broken).unionByName(document_logs(spark, d, clock)), clock)
-    return good.select("id", F.lit(None).cast("string").alias("reject_reason")).unionByName(
-        bad.select("id", "reject_reason")
-    )
+    return q.judged(nest(broken).unionByName(document_logs(spark, d, clock)), clock).select("id", "reject_reason")
 
 
 @query(
@@ -227,26 +224,16 @@ def dq_sanitize(spark, d):
         }
     )
     clock = newest(f, "ts")
-    good, bad = q.sanitize(nest(named).unionByName(document_logs(spark, d, clock)), clock)
-    null = lambda t: F.lit(None).cast(t)
-    return good.select(
+    out = q.sanitized(nest(named).unionByName(document_logs(spark, d, clock)), clock)
+    shown = lambda c: F.when(F.col("valid"), c)
+    return out.select(
         "id",
         "timestamp",
         F.col("metric.name").alias("metric"),
-        F.col("log.message").alias("message"),
-        F.col("log.severity_number").alias("severity"),
-        F.size("attributes").alias("n_attributes"),
-        F.lit(True).alias("valid"),
-    ).unionByName(
-        bad.select(
-            "id",
-            "timestamp",
-            F.col("metric.name").alias("metric"),
-            null("string").alias("message"),
-            null("int").alias("severity"),
-            null("int").alias("n_attributes"),
-            F.lit(False).alias("valid"),
-        )
+        shown(F.col("log.message")).alias("message"),
+        shown(F.col("log.severity_number")).alias("severity"),
+        shown(F.size("attributes")).alias("n_attributes"),
+        "valid",
     )
 
 

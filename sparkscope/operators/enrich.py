@@ -59,12 +59,9 @@ def _mapped(df: DataFrame, found: Column, mapping: DataFrame | None, default: st
     return df.withColumn("attributes", tr.put(F.col("attributes"), target, name)).drop("_found", "_mapped")
 
 
-def service(df: DataFrame, mapping: DataFrame | None = None, default: str | None = None) -> DataFrame:
-    """Set attribute ``service.name`` to the first service name found, mapped, or the default.
-
-    ``mapping`` has the columns ``from`` and ``to``.
-    """
-    found = F.coalesce(
+def service_found() -> Column:
+    """The first service name among attributes, tags, resource and service."""
+    return F.coalesce(
         F.col("attributes")["service.name"],
         F.col("attributes")["service"],
         F.col("tags")["service.name"],
@@ -72,19 +69,35 @@ def service(df: DataFrame, mapping: DataFrame | None = None, default: str | None
         F.col("resource.attributes")["service.name"],
         F.col("service.name"),
     )
-    return _mapped(df, found, mapping, default, "service.name")
 
 
-def environment(df: DataFrame, mapping: DataFrame | None = None, default: str | None = None) -> DataFrame:
-    """Set attribute ``environment`` to the first environment found, mapped, or the default."""
-    found = F.coalesce(
+def environment_found() -> Column:
+    """The first environment among attributes, tags and resource."""
+    return F.coalesce(
         F.col("attributes")["environment"],
         F.col("attributes")["env"],
         F.col("tags")["environment"],
         F.col("tags")["env"],
         F.col("resource.attributes")["environment"],
     )
-    return _mapped(df, found, mapping, default, "environment")
+
+
+def correlation_id() -> Column:
+    """The record's correlation id, or one that follows from its id."""
+    return F.coalesce(F.col("attributes")["correlation_id"], F.sha2(F.col("id"), 256))
+
+
+def service(df: DataFrame, mapping: DataFrame | None = None, default: str | None = None) -> DataFrame:
+    """Set attribute ``service.name`` to the first service name found, mapped, or the default.
+
+    ``mapping`` has the columns ``from`` and ``to``.
+    """
+    return _mapped(df, service_found(), mapping, default, "service.name")
+
+
+def environment(df: DataFrame, mapping: DataFrame | None = None, default: str | None = None) -> DataFrame:
+    """Set attribute ``environment`` to the first environment found, mapped, or the default."""
+    return _mapped(df, environment_found(), mapping, default, "environment")
 
 
 @dataclass(frozen=True)
@@ -143,8 +156,7 @@ def response_class(milliseconds: Column) -> Column:
 
 def correlation(df: DataFrame) -> DataFrame:
     """Fill attribute ``correlation_id`` where it is missing; the same record gets the same id."""
-    filled = F.coalesce(F.col("attributes")["correlation_id"], F.sha2(F.col("id"), 256))
-    return df.withColumn("attributes", tr.put(F.col("attributes"), "correlation_id", filled))
+    return df.withColumn("attributes", tr.put(F.col("attributes"), "correlation_id", correlation_id()))
 
 
 def chance(key: Column) -> Column:

@@ -55,11 +55,19 @@ def reject_reason(as_of: Column) -> Column:
     )
 
 
+def judged(df: DataFrame, as_of: Column) -> DataFrame:
+    """All records with their ``reject_reason`` (null where accepted), for one write of both kinds."""
+    return df.withColumn("reject_reason", reject_reason(as_of))
+
+
 def gate(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Accepted records, and rejected ones with their ``reject_reason``."""
-    judged = df.withColumn("reject_reason", reject_reason(as_of))
-    good = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    return good, judged.filter(F.col("reject_reason").isNotNull())
+    """Accepted records, and rejected ones with their ``reject_reason``.
+
+    Writing both reads the source twice; :func:`judged` serves a single pass.
+    """
+    marked = judged(df, as_of)
+    good = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return good, marked.filter(F.col("reject_reason").isNotNull())
 
 
 # -- validation rules ---------------------------------------------------------
@@ -249,8 +257,8 @@ def clean(c: Column) -> Column:
     return F.regexp_replace(c, r"\p{Cc}", "")
 
 
-def _clean_map(entries: Column, keep_key: Column | None = None) -> Column:
-    kept = entries if keep_key is None else F.map_filter(entries, lambda k, _: k.rlike(LABEL_KEY))
+def _clean_map(entries: Column, labels: bool = False) -> Column:
+    kept = F.map_filter(entries, lambda k, _: k.rlike(LABEL_KEY)) if labels else entries
     cleaned = F.transform_values(F.transform_keys(kept, lambda k, _: clean(k)), lambda _, v: clean(v))
     return F.map_filter(cleaned, lambda k, v: (k != "") & (v != ""))
 
@@ -270,8 +278,8 @@ def _fits_map(entries: Column, limit: int) -> Column:
     return F.coalesce((F.size(entries) <= limit) & short, F.lit(True))
 
 
-def sanitize(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Cleaned valid records, and the invalid ones as they came."""
+def sanitized(df: DataFrame, as_of: Column) -> DataFrame:
+    """All records with ``valid``: cleaned where they are, as they came where they are not."""
     kind, value = F.col("record_type"), F.col("metric.value")
     finite = value.isNull() | (~F.isnan(value) & (F.abs(value) <= 1e9))
     metric_ok = (
@@ -298,7 +306,7 @@ def sanitize(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
         .when(kind == "Event", event_ok)
     )
     valid = F.coalesce(own, F.lit(False)) & _fits_map(F.col("attributes"), 100) & _fits_map(F.col("tags"), 100)
-    judged = df.withColumn("_valid", valid)
+    marked = df.withColumn("valid", valid)
 
     def update(struct: str, **fields: Column) -> Column:
         out = F.col(struct)
@@ -306,47 +314,51 @@ def sanitize(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
             out = out.withField(name, c)
         return out
 
+    def where_valid(**columns: Column) -> dict[str, Column]:
+        return {n: F.when(F.col("valid"), c).otherwise(F.col(n)) for n, c in columns.items()}
+
     severity = F.when(F.col("log.severity_number") > 24, 9).otherwise(F.col("log.severity_number"))
-    good = (
-        judged.filter("_valid")
-        .drop("_valid")
-        .withColumns(
-            {
-                "timestamp": clamp(F.col("timestamp")),
-                "attributes": _clean_map(F.col("attributes")),
-                "tags": _clean_map(F.col("tags")),
-                "metric": update(
-                    "metric",
-                    name=clean(F.col("metric.name")),
-                    description=clean(F.col("metric.description")),
-                    unit=clean(F.col("metric.unit")),
-                    labels=_clean_map(F.col("metric.labels"), F.lit(True)),
-                ),
-                "log": update(
-                    "log",
-                    message=clean(F.col("log.message")),
-                    body=clean(F.col("log.body")),
-                    severity_text=clean(F.col("log.severity_text")),
-                    severity_number=severity,
-                ),
-                "trace": update(
-                    "trace",
-                    trace_id=clean(F.col("trace.trace_id")),
-                    span_id=clean(F.col("trace.span_id")),
-                    name=clean(F.col("trace.name")),
-                    start_time=start,
-                    end_time=end,
-                ),
-                "event": update(
-                    "event",
-                    name=clean(F.col("event.name")),
-                    timestamp=clamp(F.col("event.timestamp")),
-                    attributes=_clean_map(F.col("event.attributes")),
-                ),
-            }
+    return marked.withColumns(
+        where_valid(
+            timestamp=clamp(F.col("timestamp")),
+            attributes=_clean_map(F.col("attributes")),
+            tags=_clean_map(F.col("tags")),
+            metric=update(
+                "metric",
+                name=clean(F.col("metric.name")),
+                description=clean(F.col("metric.description")),
+                unit=clean(F.col("metric.unit")),
+                labels=_clean_map(F.col("metric.labels"), labels=True),
+            ),
+            log=update(
+                "log",
+                message=clean(F.col("log.message")),
+                body=clean(F.col("log.body")),
+                severity_text=clean(F.col("log.severity_text")),
+                severity_number=severity,
+            ),
+            trace=update(
+                "trace",
+                trace_id=clean(F.col("trace.trace_id")),
+                span_id=clean(F.col("trace.span_id")),
+                name=clean(F.col("trace.name")),
+                start_time=start,
+                end_time=end,
+            ),
+            event=update(
+                "event",
+                name=clean(F.col("event.name")),
+                timestamp=clamp(F.col("event.timestamp")),
+                attributes=_clean_map(F.col("event.attributes")),
+            ),
         )
     )
-    return good, judged.filter(~F.col("_valid")).drop("_valid")
+
+
+def sanitize(df: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Cleaned valid records, and the invalid ones as they came."""
+    marked = sanitized(df, as_of)
+    return marked.filter("valid").drop("valid"), marked.filter("NOT valid").drop("valid")
 
 
 # -- verdicts per record and rule ------------------------------------------------------
@@ -437,6 +449,21 @@ ERROR_KEYWORDS = [
 ]
 
 
+def _may_match(message: Column, pattern: str) -> Column:
+    """Whether some alternative of the pattern has all its literal parts in the message.
+
+    The patterns are literals joined by ``.*`` and ``|``, so this is necessary for a match
+    and much cheaper than the regular expression.
+    """
+    out = F.lit(False)
+    for alternative in pattern.split("|"):
+        parts = F.lit(True)
+        for literal in alternative.split(".*"):
+            parts = parts & message.contains(literal)
+        out = out | parts
+    return out
+
+
 def classify_error(message: Column) -> Column:
     """Struct (error_type, severity, method, matched) of an error message.
 
@@ -458,10 +485,14 @@ def classify_error(message: Column) -> Column:
         entry = F.struct(
             score.alias("score"), F.lit(-order).alias("order"), answer(kind, severity, "pattern", name).alias("answer")
         )
-        scored.append(F.when(message.rlike(pattern), entry))
+        scored.append(F.when(_may_match(message, pattern) & message.rlike(pattern), entry))
     best = F.array_max(F.array_compact(F.array(*scored)))["answer"]
-    lower = F.lower(message)
-    by_word = F
-    for word, kind, severity in ERROR_KEYWORDS:
-        by_word = by_word.when(lower.contains(word), answer(kind, severity, "keyword", word))
-    return F.coalesce(best, by_word.otherwise(answer("Unknown", "Error", "default", "")))
+
+    def by_word(lower: Column) -> Column:
+        out = F
+        for word, kind, severity in ERROR_KEYWORDS:
+            out = out.when(lower.contains(word), answer(kind, severity, "keyword", word))
+        return out.otherwise(answer("Unknown", "Error", "default", ""))
+
+    # The one-element transform lower-cases the message once for all keywords.
+    return F.coalesce(best, F.transform(F.array(F.lower(message)), by_word)[0])

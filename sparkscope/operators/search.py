@@ -30,9 +30,15 @@ def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def postings(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Per term, document and field: how often and where the term is."""
+    """Per term, document and field: how often and where the term is.
+
+    The texts are spread by document before they are cut into tokens; grouping by term,
+    document and field then needs no shuffle of the tokens, which are far larger.
+    """
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])
-    rows = df.select(key, F.inline(texts)).select(key, "field", F.posexplode(tokens(F.col("text"))).alias("position", "term"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(key, *fields).repartition(parts, key)
+    rows = spread.select(key, F.inline(texts)).select(key, "field", F.posexplode(tokens(F.col("text"))).alias("position", "term"))
     return rows.groupBy("term", key, "field").agg(
         F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_list("position")).alias("positions")
     )

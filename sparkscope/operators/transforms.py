@@ -52,6 +52,16 @@ def put(entries: Column, key: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.map_concat(others, F.create_map(F.lit(key), value))).otherwise(entries)
 
 
+def put_all(entries: Column, values: dict[str, Column]) -> Column:
+    """The map with several keys set in one rebuild; null values leave their key as it is."""
+    names = list(values)
+    pairs = F.array(
+        *[F.struct(F.lit(n).alias("key"), F.coalesce(c, entries[n]).alias("value")) for n, c in values.items()]
+    )
+    others = F.map_filter(entries, lambda k, _: ~k.isin(names))
+    return F.map_concat(others, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
+
+
 def without(entries: Column, key: str) -> Column:
     return F.map_filter(entries, lambda k, _: k != key)
 

@@ -21,8 +21,13 @@ def refine(records: DataFrame) -> DataFrame:
         .when(F.col("record_type") == "Log", tr.category(F.col("log.message"), tr.LOG_CATEGORIES, "other"))
         .when(F.col("record_type") == "Trace", tr.category(F.col("trace.name"), tr.SERVICE_CATEGORIES, "service"))
     )
-    sorted_out = tr.set_field(named, "attributes.category", category)
-    return enrich.correlation(enrich.environment(enrich.service(sorted_out, default="unknown"), default="unknown"))
+    extra = {
+        "category": category,
+        "service.name": F.coalesce(enrich.service_found(), F.lit("unknown")),
+        "environment": F.coalesce(enrich.environment_found(), F.lit("unknown")),
+        "correlation_id": enrich.correlation_id(),
+    }
+    return named.withColumn("attributes", tr.put_all(F.col("attributes"), extra))
 
 
 def flow(records: DataFrame, as_of: Column, keep_sampled_out: bool = False) -> DataFrame:
@@ -33,13 +38,15 @@ def flow(records: DataFrame, as_of: Column, keep_sampled_out: bool = False) -> D
     code, and the source is read once.
     """
     judged = records.withColumn("reject_reason", quality.reject_reason(as_of))
-    refined = refine(judged)
-    keep = enrich.chance(F.col("id")) < enrich.severity_rate()
     bad = F.col("reject_reason").isNotNull()
-    placed = routed(refined)
-    table = F.when(bad, DEAD_LETTERS).when(keep, F.col("table")).otherwise(SAMPLED_OUT)
-    out = placed.withColumn("table", table)
-    return out if keep_sampled_out else out.filter(F.col("table") != SAMPLED_OUT)
+    kept = enrich.chance(F.col("id")) < enrich.severity_rate()
+    if keep_sampled_out:
+        judged = judged.withColumn("_out", ~kept)
+    else:
+        # Sampling comes before the costly steps, so rows that are left out cost little.
+        judged = judged.filter(bad | kept).withColumn("_out", F.lit(False))
+    table = F.when(bad, DEAD_LETTERS).when(F.col("_out"), SAMPLED_OUT).otherwise(F.col("table"))
+    return routed(refine(judged)).withColumn("table", table).drop("_out")
 
 
 def write(flowed: DataFrame, path: str, files_per_day: int = 1, mode: str = "append") -> None:
