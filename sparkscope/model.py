@@ -136,7 +136,7 @@ def as_record(**fields: Column) -> list[Column]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; zone-less timestamps are taken as UTC."""
+    """One given table; a zone-less timestamp column that is left is cast, as UTC."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoned = {
         f.name: F.col(f.name).cast("timestamp")

@@ -47,7 +47,7 @@ def window_features(df: DataFrame, block: int = 16_384) -> DataFrame:
         w = int(min(max(rows["n"].iloc[0] // 10, 5), most))
         names = ["series", "i", *FEATURES]
         if len(v) < w:
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: np.array([], dtype=object if c == "series" else float) for c in names})
         views = np.lib.stride_tricks.sliding_window_view(v, w)
         own = i[: len(views)] // block == rows["_block"].iloc[0]
         views, first = views[own], i[: len(views)][own]
@@ -60,7 +60,7 @@ def window_features(df: DataFrame, block: int = 16_384) -> DataFrame:
             auto = np.where(variance == 0, 0.0, lagged / ((w - 1) * variance))
         return pd.DataFrame(
             {
-                "series": rows["series"].iloc[0],
+                "series": np.full(len(first), rows["series"].iloc[0], dtype=object),
                 "i": first,
                 "mean": mean,
                 "std_dev": np.sqrt(variance),

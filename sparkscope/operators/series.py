@@ -147,7 +147,15 @@ def lag_products(df: DataFrame, block: int = ordered.BLOCK) -> DataFrame:
             pairs = min(own, len(v) - lag)
             sums.append(float(np.dot(v[:pairs], v[lag : lag + pairs])) if pairs > 0 else 0.0)
             counts.append(max(pairs, 0))
-        return pd.DataFrame({"series": rows["series"].iloc[0], "lag": list(lags), "total": sums, "pairs": counts})
+        name = np.full(len(lags), rows["series"].iloc[0], dtype=object)
+        return pd.DataFrame(
+            {
+                "series": name,
+                "lag": np.array(lags, dtype="int64"),
+                "total": np.array(sums, dtype=float),
+                "pairs": np.array(counts, dtype="int64"),
+            }
+        )
 
     sums = spread.groupBy("series", "_block").applyInPandas(
         products, "series string, lag bigint, total double, pairs bigint"

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Zone-less Parquet timestamps are read as UTC, so time filters reach the scan without a cast.
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
