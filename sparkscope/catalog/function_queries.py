@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
-from sparkscope.catalog.series_queries import ENSEMBLE, H, LEVELS, P, _LINE, _MIX, rounded
+from sparkscope.catalog.series_queries import ENSEMBLE, H, LEVELS, P, PAIRS, _MIX, rounded
 from sparkscope.functions.registry import Function, default
 from sparkscope.model import FLAT_SQL, SERIES_SQL, records, series, table
 
@@ -124,7 +124,7 @@ def udf_analytics(spark, d):
     )
     out = shown(registry.call("calculate_trend", s), F.col("series"), "strength", "strength", 8)
     out = out.unionByName(shown(registry.call("calculate_regression", s), F.col("series"), "intercept", "intercept", 6))
-    pairs = registry.call("calculate_correlation", s, bucket_seconds=12 * 3600)
+    pairs = registry.call("calculate_correlation", s, PAIRS, bucket_seconds=12 * 3600)
     out = out.unionByName(shown(pairs, F.concat_ws("~", "left", "right"), "correlation", "correlation", 6))
     ahead = registry.call("forecast_values", s, horizon=2).filter("step = 2")
     return out.unionByName(shown(ahead, F.col("series"), "ahead", "predicted", 5))

@@ -83,13 +83,17 @@ def ts_seasonality(spark, d):
     return rounded(ts.seasonality(series(spark, d)), "strength", "confidence")
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")
+PAIRS = [(a, b) for a in KINDS for b in KINDS if a < b]
+
+
 @query(
     "ts_corr",
     f"""WITH m AS (SELECT series, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS b, avg(value) AS v FROM ({SERIES_SQL}) GROUP BY 1, 2)
     SELECT x.series AS "left", y.series AS "right", count(*) AS buckets, round(corr(x.v, y.v), 6) AS correlation FROM m x JOIN m y ON x.b = y.b AND x.series < y.series GROUP BY 1, 2""",
 )
 def ts_corr(spark, d):
-    return rounded(ts.correlation(series(spark, d), 6 * 3600), "correlation")
+    return rounded(ts.correlation(series(spark, d), PAIRS, 6 * 3600), "correlation")
 
 
 @query("ts_regression", P + "SELECT series, n, round(slope, 8) AS slope, round(intercept, 6) AS intercept, round(r2, 8) AS r2 FROM f")
@@ -232,13 +236,14 @@ u AS (SELECT a.series, a.i, a.n, a.per, a.value, CASE WHEN a.i <= a.n - a.per TH
 se AS (SELECT series, i % per AS s, sum(value - trend) / (any_value(n) // any_value(per)) AS seasonal FROM u GROUP BY 1, 2),
 le AS (SELECT series, any_value(per) AS per, avg(CASE WHEN i >= n - per THEN value END) AS level FROM q GROUP BY series),
 g AS (SELECT f.*, h.step, le.level * h.step + se.seasonal AS predicted FROM f JOIN le USING (series) CROSS JOIN h JOIN se ON se.series = f.series AND se.s = h.step % le.per)"""
-_DEC = "SELECT series, '{m}' AS model, CAST(step AS INTEGER) AS step, last_ts + to_seconds(step) AS ts, round(predicted, 5) AS predicted, round(predicted * (1 - {w}), 5) AS lower, round(predicted * (1 + {w}), 5) AS upper, {c}::DOUBLE AS confidence FROM g"
+_DEC = "SELECT series, '{m}' AS model, CAST(step AS INTEGER) AS step, last_ts + to_seconds(step) AS ts, round(predicted, 9) AS predicted, round(predicted * (1 - {w}), 9) AS lower, round(predicted * (1 + {w}), 9) AS upper, {c}::DOUBLE AS confidence FROM g"
 
 
 @query("fc_decompose", P + H + DECOMPOSE + _DEC.format(m="ARIMA", w="0.2::DOUBLE", c=0.8) + " UNION ALL " + _DEC.format(m="Prophet", w="0.15::DOUBLE", c=0.85))
 def fc_decompose(spark, d):
     s = series(spark, d)
-    return _out(fc.decomposition(s, 7, "ARIMA").unionByName(fc.decomposition(s, 7, "Prophet")))
+    out = fc.decomposition(s, 7, "ARIMA").unionByName(fc.decomposition(s, 7, "Prophet"))
+    return rounded(out, "predicted", "lower", "upper", digits=9)
 
 
 _MIX = f"({_LINE} * 0.4 + ses * 0.4 + sma * 0.2)"

@@ -200,10 +200,30 @@ def _even_radius(points: DataFrame, n: int, k: int) -> float:
     return float(np.prod(widths) * k / n) ** (1 / len(widths))
 
 
-def neighbour_distance(points: DataFrame, k: int = 5) -> float:
-    """Mean distance to the k-th nearest neighbour."""
-    found = nearest(points, k)
-    return found.agg(F.avg(F.element_at("near", -1)["distance"])).first()[0]
+def distinct_points(points: DataFrame) -> DataFrame:
+    """Each place once, with its smallest id and the number ``w`` of points there.
+
+    Copies are as near as can be, so one of them speaks for all in a neighbour search.
+    """
+    return points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).select("id", "x", "w")
+
+
+def neighbour_distance(places: DataFrame, k: int = 5) -> float:
+    """Mean distance of a point to its k-th nearest other point, given the distinct places.
+
+    A point's copies are its nearest; then each near place counts as often as it has points.
+    """
+    near = nearest(places, k).select("id", F.inline("near"))
+    own, other = places.select("id", F.col("w").alias("_own")), places.select(F.col("id").alias("other"), F.col("w").alias("_w"))
+    met = near.join(own, "id").join(other, "other")
+    ranked = Window.partitionBy("id").orderBy("distance", "other").rowsBetween(Window.unboundedPreceding, 0)
+    reached = met.withColumn("_n", F.sum("_w").over(ranked) + F.col("_own") - 1)
+    kth = reached.groupBy("id").agg(
+        F.max("_own").alias("_own"),
+        F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("distance"))), F.max("distance")).alias("d"),
+    )
+    kth = kth.withColumn("d", F.when(F.col("_own") > k, 0.0).otherwise(F.col("d")))
+    return kth.agg(F.sum(F.col("d") * F.col("_own")) / F.sum("_own")).first()[0]
 
 
 # -- clusterings ---------------------------------------------------------------------
@@ -223,21 +243,22 @@ def dbscan(points: DataFrame, eps: float | None = None, min_points: int | None =
     each other share a cluster, and another point joins its nearest core point's. By
     default eps is the mean distance to the 5th neighbour and min_points clamp(n / 20, 2, 10).
     """
-    points = stage(points.select("id", "x"), "points")
-    n = points.count()
+    everything = points.select("id", "x")
+    points = stage(distinct_points(everything), "places")
+    places, n = points.agg(F.count(F.lit(1)), F.sum("w")).first()
     if eps is None:
-        eps = neighbour_distance(points) if n > 1 else 1.0
+        eps = (neighbour_distance(points) if places > 1 else 0.0) if n > 1 else 1.0
     if min_points is None:
         min_points = min(max(n // 20, 2), 10)
     eps = float(eps) or 1e-12
 
     def count(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
-        same = a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": ((distances <= eps) & ~same).sum(axis=1)})
+        return pd.DataFrame({"id": a["id"].to_numpy(), "n": (distances <= eps) @ b["w"].to_numpy()})
 
+    # Each place meets itself, so the count holds the point and its copies.
     counts = block_pairs(points, eps, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     cores = stage(
-        points.join(counts, "id").select("id", "x", (F.col("n") >= min_points).alias("core")), "cores"
+        points.join(counts, "id").select("id", "x", (F.col("n") - 1 >= min_points).alias("core")), "cores"
     )
 
     def link(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
@@ -279,8 +300,8 @@ def dbscan(points: DataFrame, eps: float | None = None, min_points: int | None =
         .join(core_labels.withColumnRenamed("id", "_core"), "_core")
         .select("id", "label")
     )
-    known = core_labels.unionByName(border)
-    return points.join(known, "id", "left").select("id", "x", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
+    known = points.select("id", "x").join(core_labels.unionByName(border), "id").select("x", "label")
+    return everything.join(known, "x", "left").select("id", "x", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 
 def _forest(points: DataFrame, radius: float) -> DataFrame:
@@ -375,10 +396,15 @@ def single_link(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     That is the minimum spanning tree without its ``k - 1`` longest edges. The tree grows
     with the search radius until what is missing could only be longer edges.
     """
-    points = stage(points.select("id", "x"), "points")
+    everything = points.select("id", "x")
+    points = stage(distinct_points(everything).select("id", "x"), "places")
     n = points.count()
-    if n <= k:
-        return points.withColumn("label", F.col("id"))
+    merged = n >= k
+    if not merged:  # fewer places than clusters: copies have to count as points
+        points = stage(everything, "points")
+        n = points.count()
+        if n <= k:
+            return everything.withColumn("label", F.col("id"))
     radius = _even_radius(points, n, min(8, n - 1))
     while True:
         tree = stage(_spanning(_forest(points, radius), points), "tree")
@@ -392,12 +418,19 @@ def single_link(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         longest = tree.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(cut)
         kept = tree.join(longest, ["a", "b", "w"], "left_anti")
     labels = components(kept.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("label"))
-    return points.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = points.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    if not merged:
+        return labelled
+    return everything.join(labelled.select("x", "label"), "x").select("id", "x", "label")
 
 
 def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
-    """Power iteration on Gaussian affinities of nearest neighbours; sigma is their median distance."""
-    near = stage(nearest(points, neighbours), "near")
+    """Power iteration on Gaussian affinities of nearest neighbours; sigma is their median distance.
+
+    Copies of a point share the label of their place.
+    """
+    places = stage(distinct_points(points.select("id", "x")).select("id", "x"), "places")
+    near = stage(nearest(places, neighbours), "near")
     edges = near.select(F.col("id").alias("src"), F.inline("near")).select("src", F.col("other").alias("dst"), "distance")
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance").distinct()
     middle = ordered.values_at(pairs.withColumn("_all", F.lit(0)), ["_all"], "distance", {"sigma": lambda n: F.floor(n / 2)})
@@ -405,7 +438,8 @@ def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
     weighted = pairs.withColumn("weight", F.exp(-F.pow("distance", F.lit(2)) / (2 * sigma * sigma)))
     model = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight")
     labels = model.assignClusters(weighted.select("src", "dst", "weight"))
-    return points.join(labels.select("id", F.col("cluster").alias("label")), "id")
+    placed = places.join(labels.select("id", F.col("cluster").alias("label")), "id").select("x", "label")
+    return points.join(placed, "x").select("id", "x", "label")
 
 
 def auto(points: DataFrame, seed: int = 7) -> DataFrame:

@@ -6,7 +6,7 @@ block-wise frame, so a series of any length spreads over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -178,17 +178,25 @@ def seasonality(df: DataFrame, step_seconds: int = 3600) -> DataFrame:
     )
 
 
-def correlation(df: DataFrame, bucket_seconds: int) -> DataFrame:
-    """Pearson correlation of every pair of series, over the time buckets both have.
+def correlation(df: DataFrame, pairs: Sequence[tuple[str, str]], bucket_seconds: int) -> DataFrame:
+    """Pearson correlation of the named pairs of series, over the time buckets both have.
 
-    Each series is first averaged per bucket, so the pairs meet on few rows.
+    Each series is averaged per bucket first; a mean then goes to the pairs it is part of
+    and meets its partner in one group per pair and bucket, without a join.
     """
-    means = df.groupBy("series", floor_time(F.col("ts"), bucket_seconds).alias("bucket")).agg(
-        F.avg("value").alias("v")
+    side = lambda left, right, own, name: F.when(
+        F.col("series") == own, F.struct(F.lit(left).alias("left"), F.lit(right).alias("right"), F.lit(name).alias("side"))
     )
-    left = means.select("bucket", F.col("series").alias("left"), F.col("v").alias("x"))
-    right = means.select("bucket", F.col("series").alias("right"), F.col("v").alias("y"))
-    pairs = left.join(right, "bucket").filter(F.col("left") < F.col("right"))
-    return pairs.groupBy("left", "right").agg(
+    roles = [side(a, b, own, name) for a, b in pairs for own, name in ((a, "x"), (b, "y"))]
+    wanted = sorted({name for pair in pairs for name in pair})
+    means = (
+        df.filter(F.col("series").isin(wanted))
+        .groupBy("series", floor_time(F.col("ts"), bucket_seconds).alias("bucket"))
+        .agg(F.avg("value").alias("v"))
+    )
+    placed = means.select("bucket", "v", F.inline(F.array_compact(F.array(*roles))))
+    pick = lambda name: F.max(F.when(F.col("side") == name, F.col("v"))).alias(name)
+    met = placed.groupBy("left", "right", "bucket").agg(pick("x"), pick("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    return met.groupBy("left", "right").agg(
         F.count(F.lit(1)).alias("buckets"), F.corr("x", "y").alias("correlation")
     )
