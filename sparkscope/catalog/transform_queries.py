@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
-from sparkscope.model import FLAT_SQL, SERIES_SQL, flat, newest, records, series, spans, table
+from sparkscope.model import FLAT_SQL, SERIES_SQL, flat, newest, records, series, table
 from sparkscope.operators import transforms as tr
-from sparkscope.operators.filters import resolve
 from sparkscope.operators.transforms import Step
 
 REC = f"WITH rec AS ({FLAT_SQL}) "

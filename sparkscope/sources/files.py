@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from sparkscope.model import EVENT, LOG, METRIC, STRINGS, TRACE, as_record, as_struct
+from sparkscope.model import LOG, METRIC, STRINGS, TRACE, as_record, as_struct
 from sparkscope.sources.bodies import PAYLOAD, payload_columns
 
 FILE_RECORD = T.StructType(

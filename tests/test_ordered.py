@@ -31,7 +31,7 @@ def sorted_frame(frame):
     return frame.assign(key=frame["key"].fillna("~")).sort_values(["key", "t", "id"])
 
 
-@pytest.mark.parametrize("parts", [1, 7, 16])
+@pytest.mark.parametrize("parts", [None, 1, 7, 16])
 def test_indexed(df, frame, parts):
     got = ordered.indexed(df, ["key"], ["t", "id"], "i", "n", parts).toPandas().sort_values("id")
     want = sorted_frame(frame)
@@ -47,7 +47,7 @@ def test_indexed_without_keys(df, frame):
     assert (got["i"].to_numpy() == np.arange(len(frame))).all()
 
 
-@pytest.mark.parametrize("parts", [1, 9])
+@pytest.mark.parametrize("parts", [None, 1, 9])
 def test_cumulative(df, frame, parts):
     got = ordered.cumulative(df, ["key"], ["t", "id"], "value", parts=parts).toPandas().sort_values("id")
     want = sorted_frame(frame)
@@ -73,7 +73,7 @@ def test_framed_crosses_blocks(df, frame, size):
     assert np.allclose(got["next"].astype(float), want["next"], equal_nan=True)
 
 
-@pytest.mark.parametrize("parts", [1, 6])
+@pytest.mark.parametrize("parts", [None, 1, 6])
 def test_values_at(df, frame, parts):
     ranks = {"low": lambda n: F.floor(n / 4), "top": lambda n: n - 1}
     got = ordered.values_at(df, ["key"], "value", ranks, "n", parts).toPandas()
@@ -98,6 +98,14 @@ def test_one_value_for_most_rows(spark):
     assert got["mid"] == 7.0
 
 
+def test_a_large_key_is_placed_without_asking(spark, df, frame, monkeypatch):
+    monkeypatch.setattr(ordered, "SMALL_KEY", 100)
+    placed = ordered.indexed(df, ["key"], ["t", "id"], "i", "n")
+    assert placed.inputFiles() and "placed-" in placed.inputFiles()[0]
+    small = ordered.indexed(df.filter("id < 90"), ["key"], ["t", "id"])
+    assert not small.inputFiles()
+
+
 def test_range_sum_with_one_crowded_moment(spark):
     rows = [("k", i, 1_000 if i < 50 else 1_000 + i, 1.0) for i in range(200)]
     df = spark.createDataFrame(rows, "key string, id int, s long, v double").withColumn("ts", F.timestamp_seconds("s"))

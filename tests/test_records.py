@@ -5,7 +5,6 @@ import json
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from sparkscope.model import EVENT, LOG, METRIC, RECORD, TRACE, as_record, as_struct
 from sparkscope.operators import aggregates as ag, dlq, enrich, filters, flatten, quality, schemas, search, tenancy
 from sparkscope.operators import transforms as tr
 from sparkscope.operators.alerts import AlertRule, judge
