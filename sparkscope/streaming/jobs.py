@@ -84,6 +84,7 @@ def split_late(df: DataFrame, ts: str, delay_seconds: int, path: str, checkpoint
     spark = df.sparkSession
 
     def write(rows: DataFrame, batch: int) -> None:
+        rows.persist()
         newest = rows.agg(F.max(F.unix_micros(ts)).alias("us"))
         newest.write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
         limit = None
@@ -93,6 +94,7 @@ def split_late(df: DataFrame, ts: str, delay_seconds: int, path: str, checkpoint
         late = F.lit(False) if limit is None else F.unix_micros(ts) < limit - delay_seconds * 1_000_000
         rows.filter(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
         rows.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+        rows.unpersist()
 
     writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(availableNow=True).start()
