@@ -4,8 +4,11 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle import assert_same, connect
+from sparkscope import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+catalog.load()
+
+QUERIES, SQL = dict(catalog.QUERIES), dict(catalog.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +27,8 @@ def test_runs_without_sql(spark, sf_dir, name):
 
 
 def test_names():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
     assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
 
 
