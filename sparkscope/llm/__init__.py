@@ -13,16 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 PARTS = (
-    "tokens",
-    "bpe",
-    "topk",
-    "substring",
-    "chat",
     "sharding",
     "exact",
-    "quality",
-    "packing",
-    "near",
 )
 
 
