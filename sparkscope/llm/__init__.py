@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 PARTS = (
+    "tokens",
     "sharding",
     "exact",
 )
