@@ -14,7 +14,9 @@ SQL: dict[str, str] = {}
 
 PARTS = (
     "tokens",
+    "bpe",
     "sharding",
+    "packing",
     "exact",
 )
 

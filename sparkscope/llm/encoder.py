@@ -120,6 +120,12 @@ class Pieces:
     """Ids of pieces (matches of the pattern), encoded by the tokenizers library once each."""
 
     def __init__(self, path: str):
+        self.load(path)
+        self.ids: dict[str, bytes] = {}
+        self.extra: list[str] = []
+        self.cleared = 0
+
+    def load(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,9 +133,6 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
-        self.extra: list[str] = []
-        self.cleared = 0
 
     def raw(self, strings: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -162,12 +165,12 @@ class ByteLevel(Chunked):
     of a text (which has none) is kept under a key with a leading space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces=Pieces):
         super().__init__()
         import public_tokenizers
         import regex
 
-        self.pieces, self.match = Pieces(path), regex.compile(public_tokenizers.PATTERN)
+        self.pieces, self.match = pieces(path), regex.compile(public_tokenizers.PATTERN)
 
     def cut(self, text: str) -> list[str]:
         chunks = text.split(" ")
@@ -207,11 +210,11 @@ class WordLevel(Chunked):
         )
 
 
-_LOADED: dict[tuple[str, str], Chunked] = {}
+_LOADED: dict[tuple, Chunked] = {}
 
 
-def encoder(kind: str, path: str) -> Chunked:
-    """The worker's encoder for a tokenizer file; kind is "bytes" or "words"."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = (ByteLevel if kind == "bytes" else WordLevel)(path)
-    return _LOADED[kind, path]
+def encoder(kind, *args) -> Chunked:
+    """The worker's encoder of a class for a vocabulary file; it lives as long as the worker."""
+    if (kind, *args) not in _LOADED:
+        _LOADED[kind, *args] = kind(*args)
+    return _LOADED[kind, *args]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkscope.llm import query
 from sparkscope.llm.common import binary_array, pieces_of, stage, table
-from sparkscope.llm.encoder import encoder
+from sparkscope.llm.encoder import ByteLevel, encoder
 from sparkscope.session import scratch
 
 MAGIC = b"EFTOK1\0\0"
@@ -142,7 +142,7 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_i
         part, made = TaskContext.get().partitionId(), 0
         files, folder = FileSystem.from_uri(home)
         files.create_dir(folder, recursive=True)
-        encode = encoder("bytes", tokenizer)
+        encode = encoder(ByteLevel, tokenizer)
         keys: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
