@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 PARTS = (
     "tokens",
     "bpe",
+    "topk",
     "chat",
     "sharding",
     "packing",
