@@ -20,6 +20,7 @@ PARTS = (
     "sharding",
     "packing",
     "exact",
+    "quality",
 )
 
 

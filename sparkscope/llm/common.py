@@ -104,6 +104,9 @@ def binary_array(at: np.ndarray, data: np.ndarray) -> pa.Array:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII marks.
+_MARKS = np.ones(256, bool)
+_MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _U = np.uint64
@@ -124,17 +127,17 @@ class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the texts of one array.
 
     ``start``/``end`` are byte places in ``data``, ``hash`` a 64-bit hash of each word, and the
-    words of text i are ``first[i]:first[i + 1]``.
+    words of text i are ``first[i]:first[i + 1]``. With ``bare``, ASCII marks part words too.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False, seed: int = 0):
+    def __init__(self, column: pa.Array, lower: bool = False, seed: int = 0, bare: bool = False):
         at, data = offsets_of(column)
         base = int(at[0])
         data = data[base : int(at[-1])]
         at = at - base
         if lower:
             data = _LOWER[data]
-        inside = ~_SPACE[data]
+        inside = ~(_MARKS if bare else _SPACE)[data]
         edge = np.empty(len(data) + 1, bool)
         edge[1:-1] = inside[1:] != inside[:-1]
         if len(data):
