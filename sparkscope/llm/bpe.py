@@ -165,6 +165,31 @@ class RankPieces(Pieces):
         return self.ranks.merge([s.encode() for s in strings])
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    """Batches (id, text) to (id, number of ids, ids)."""
+    known = encoder(ByteLevel, ranks, RankPieces)
+    for batch in pieces_of(batches, "t"):
+        ids, at = known.encode([t or "" for t in batch.column(1).to_pylist()])
+        blob = binary_array(at * 4, ids.astype("<u4").view(np.uint8)).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), blob], ["k", "n_tokens", "ids"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+    """Batches (id, number of ids, ids) with the decoded bytes."""
+    known = encoder(ByteLevel, ranks, RankPieces).pieces.ranks
+    for batch in pieces_of(batches, "ids", 8 << 20):
+        rows = [np.frombuffer(x or b"", "<u4") for x in batch.column(2).to_pylist()]
+        ids = np.concatenate(rows) if rows else np.zeros(0, "<u4")
+        ends = np.concatenate([[0], np.cumsum(known.sizes[ids])])
+        at = ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
+        data = np.frombuffer(known.decode(ids), np.uint8)
+        yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(at, data).cast(pa.binary())], ["k", "n_tokens", "ids", "decoded"])
+
+
+def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+
+
 def encode(docs: DataFrame, ranks: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """id, n_tokens and ids (little-endian 32-bit) of every whole text, by a rank file.
 
@@ -173,33 +198,22 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", key: str = "doc_id")
     before are looked up in the worker, in a bounded table. Null text counts as empty and has no
     ids; null and repeated ids stay rows of their own. Other columns are not read.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(ByteLevel, ranks, RankPieces)
-        for batch in pieces_of(batches, "t"):
-            ids, at = known.encode([t or "" for t in batch.column(1).to_pylist()])
-            blob = binary_array(at * 4, ids.astype("<u4").view(np.uint8)).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), blob], ["k", "n_tokens", "ids"])
-
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    return texts.mapInArrow(work, "k bigint, n_tokens bigint, ids binary").withColumnRenamed("k", key)
+    out = _texts(docs, text, key).mapInArrow(lambda b: _encoded(b, ranks), "k bigint, n_tokens bigint, ids binary")
+    return out.withColumnRenamed("k", key)
 
 
 def decode(encoded: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
     """``encoded`` (id, n_tokens, ids) with the decoded bytes; null ids decode to nothing."""
+    rows = encoded.select(F.col(key).alias("k"), "n_tokens", "ids")
+    out = rows.mapInArrow(lambda b: _decoded(b, ranks), "k bigint, n_tokens bigint, ids binary, decoded binary")
+    return out.withColumnRenamed("k", key)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(ByteLevel, ranks, RankPieces).pieces.ranks
-        for batch in pieces_of(batches, "ids", 8 << 20):
-            rows = [np.frombuffer(x or b"", "<u4") for x in batch.column(2).to_pylist()]
-            ids = np.concatenate(rows) if rows else np.zeros(0, "<u4")
-            ends = np.concatenate([[0], np.cumsum(known.sizes[ids])])
-            at = ends[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
-            data = np.frombuffer(known.decode(ids), np.uint8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(at, data).cast(pa.binary())], ["k", "n_tokens", "ids", "decoded"])
 
-    rows = encoded.select(F.col(key).alias("k"), "n_tokens", "ids")
-    return rows.mapInArrow(work, "k bigint, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("k", key)
+def round_trip(docs: DataFrame, ranks: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``decode(encode(docs))`` in one pass of one worker."""
+    rows = _texts(docs, text, key)
+    out = rows.mapInArrow(lambda b: _decoded(_encoded(b, ranks), ranks), "k bigint, n_tokens bigint, ids binary, decoded binary")
+    return out.withColumnRenamed("k", key)
 
 
 @query("op2_rank_bpe")
@@ -208,5 +222,5 @@ def op2(spark, sf_dir):
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks), ranks)
+    both = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries that stay in a lookup, and those beyond them that are dropped again when as many have come.
-KEPT, EXTRA, CLEARS = 400_000, 100_000, 20
+KEPT, EXTRA, CLEARS = 300_000, 100_000, 20
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
