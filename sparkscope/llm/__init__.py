@@ -16,6 +16,7 @@ PARTS = (
     "tokens",
     "bpe",
     "topk",
+    "substring",
     "chat",
     "sharding",
     "packing",
