@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkscope.llm import exact
+from sparkscope.llm import exact, near, packing, quality, substring
 from sparkscope.llm.common import stage, table
 from sparkscope.session import prepare
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that look like the labelled good ones stay; models are fitted on the labelled of ``docs``."""
+    return quality.keep_good(docs, table(prepare(spark), sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
+    prepare(spark)
     return exact.keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the document with the smallest doc_id stays."""
+    prepare(spark)
+    return near.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated 20-word windows leave the texts; every document stays, with its new n_chars."""
+    prepare(spark)
+    out = substring.remove_repeats(docs).drop(*substring.ADDED)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 ids, one row per piece of a document."""
+    prepare(spark)
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack),
+]
+#: The classifier and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

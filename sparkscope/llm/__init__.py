@@ -22,6 +22,7 @@ PARTS = (
     "packing",
     "exact",
     "quality",
+    "near",
 )
 
 
