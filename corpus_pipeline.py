@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows leave the texts; every document stays, with its new n_chars."""
     prepare(spark)
-    out = substring.remove_repeats(docs).drop(*substring.ADDED)
+    out = substring.unrepeated(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

@@ -27,10 +27,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def numbered(df: DataFrame, label: str) -> DataFrame:
     """The written table with a unique, from now on fixed row number ``_row``.
 
-    An input column of that name is replaced. Row numbers tell repeated rows apart, so
-    null or repeated ids never merge rows.
+    Row numbers tell repeated rows apart, so null or repeated ids never merge rows.
     """
-    return stage(df.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), label)
+    return stage(df.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ..., which no column of an operator's own clashes with, and their names by the old ones."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def named(names: dict[str, str]) -> list[Column]:
+    """The columns of :func:`plain` under their old names."""
+    return [F.col(c).alias(old) for old, c in names.items()]
 
 
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
-from sparkscope.llm.common import ROW, numbered, stage, table, without
+from sparkscope.llm.common import ROW, named, numbered, plain, stage, table, without
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 HEAVY = 256
@@ -25,16 +25,14 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     same id exactly one is kept. An empty table gives an empty result. Input columns named like
     the added ones are replaced; all others are returned as they are.
     """
-    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    rows = numbered(
-        without(docs, [*ADDED, "_digest", "_short"]).withColumn("_digest", digest).withColumn("_short", F.xxhash64("_digest")),
-        "exact-rows",
-    )
+    own, names = plain(without(docs, ADDED))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(names[text]), F.lit("")).cast("binary"), 256))
+    rows = numbered(own.withColumn("_digest", digest).withColumn("_short", F.xxhash64("_digest")), "exact-rows")
     top = stage(
         rows.agg(F.expr(f"approx_top_k(_short, {HEAVY}, {TRACKED})").alias("t")).select(F.explode("t.item").alias("_short")),
         "exact-frequent",
     )
-    best = [F.max(F.struct(F.col(key).alias("id"), F.col(ROW).alias("at"))).alias("_best"), F.count(F.lit(1)).alias("_size")]
+    best = [F.max(F.struct(F.col(names[key]).alias("id"), F.col(ROW).alias("at"))).alias("_best"), F.count(F.lit(1)).alias("_size")]
     winners = stage(
         rows.join(F.broadcast(top), "_short", "left_semi").groupBy("_digest").agg(*best).filter("_size > 1"), "exact-winners"
     )
@@ -42,7 +40,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     light = rows.join(F.broadcast(winners.select("_digest")), "_digest", "left_anti")
     settled = light.join(light.groupBy("_digest").agg(*best), "_digest")
     return heavy.unionByName(settled).select(
-        *[F.col(f"`{c}`") for c in rows.columns if c not in (ROW, "_digest", "_short")],
+        *named(names),
         F.col("_best.id").alias("keep_id"),
         F.col("_size").alias("group_size"),
         (F.col("_best.at") == F.col(ROW)).alias("kept"),
@@ -52,7 +50,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return exact_dedup(docs, text, key).filter("kept").select(*[F.col(f"`{c}`") for c in without(docs, ADDED).columns])
+    own, names = plain(docs)
+    return exact_dedup(own, names[text], names[key]).filter("kept").select(*named(names))
 
 
 @query(

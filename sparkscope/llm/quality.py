@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
-from sparkscope.llm.common import ROW, Words, mix, numbered, offsets_of, pieces_of, positions, stage, table, without
+from sparkscope.llm.common import ROW, Words, mix, named, numbered, offsets_of, pieces_of, plain, positions, stage, table, without
 
 #: Labelled documents of each class that the models are fitted on, at most, and the share of
 #: them that only sets the cuts.
@@ -195,7 +195,7 @@ def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str
     """Every row of ``docs`` with log_ratio, score and kept.
 
     log_ratio is the smallest of the models' log importance weights (target against raw text,
-    0 at the cut). k is the number of rows with a positive log ratio, and kept are the k rows
+    0 at the cut). k is the number of rows whose log ratio is not negative, and kept are the k rows
     with the largest ``SHARPNESS * log_ratio + Gumbel noise``: a sample without replacement
     whose weights are the importance weights to that power. The noise comes from a hash of seed
     and id. The k-th score is found by a range shuffle of (row, score), not on the driver.
@@ -204,22 +204,23 @@ def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str
     share one noise; of equal scores the first rows are kept. Without models all ratios are 0 and
     all rows stay. Input columns named like the added ones are replaced.
     """
-    rows = numbered(without(docs, ADDED), "quality-rows")
-    scored = rows.select(F.col(ROW).alias("r"), F.col(text).alias("t")).mapInArrow(lambda b: _scored(b, models), "r bigint, ratios array<double>")
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    own, names = plain(without(docs, ADDED))
+    rows = numbered(own, "quality-rows")
+    scored = rows.select(F.col(ROW).alias("r"), F.col(names[text]).alias("t")).mapInArrow(lambda b: _scored(b, models), "r bigint, ratios array<double>")
+    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(names[key])), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     ratios = stage(scored.select("r", F.coalesce(F.array_min("ratios"), F.lit(0.0)).alias("log_ratio")), "quality-ratios")
     noisy = rows.select(F.col(ROW).alias("r"), (-F.log(-F.log(unit))).alias("noise")).join(ratios, "r")
     score = (F.col("log_ratio") * SHARPNESS + F.col("noise")).alias("score")
-    k = ratios.filter("log_ratio > 0").count() if models else ratios.count()
+    k = ratios.filter("log_ratio >= 0").count()
     placed = positions(noisy.select("r", "log_ratio", score), [F.col("score").desc(), F.col("r")], "_at", "quality-scores")
     decided = placed.select("r", "log_ratio", "score", (F.col("_at") < k).alias("kept"))
-    return rows.join(decided, rows[ROW] == decided["r"]).drop(ROW, "r")
+    return rows.join(decided, F.col(ROW) == F.col("r")).select(*named(names), *ADDED)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier keeps, with the columns of ``docs``."""
-    judged = classify(docs, fit(docs, labels))
-    return judged.filter("kept").select(*[F.col(f"`{c}`") for c in without(docs, ADDED).columns])
+    own, names = plain(docs)
+    return classify(own, fit(docs, labels), names["text"], names["doc_id"]).filter("kept").select(*named(names))
 
 
 @query("op8_importance_resampling")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
-from sparkscope.llm.common import positions, table, without
+from sparkscope.llm.common import named, plain, positions, table, without
 
 ADDED = ("shard", "slot")
 
@@ -24,17 +24,16 @@ def interleave(docs: DataFrame, shards: int = 16, source: str = "source", key: s
     of the places. Fewer rows than shards leave shards empty; an empty table gives an empty
     result. Input columns named shard or slot are replaced.
     """
-    internal = ("_key", "_rank", "_of", "_at", "_n")
-    rows = without(docs, [*ADDED, *internal]).withColumn(
-        "_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
-    )
-    ranked = positions(rows, [F.col("_key"), *[F.col(t).asc_nulls_first() for t in ties]], "_rank", "shard-ranked", [source], "_of")
-    fraction = ((F.col("_rank") + 0.5) / F.col("_of")).alias("_at")
-    mixed = ranked.select("*", fraction).drop("_rank", "_of")
-    order = [F.col("_at"), F.col(source).asc_nulls_first()]
-    placed = positions(mixed, order, "_rank", "shard-placed", total="_n")
-    shard = F.expr(f"_rank * {shards} div _n")
-    return placed.withColumns({"shard": shard.cast("int"), "slot": F.col("_rank") - F.expr(f"(_rank * {shards} div _n * _n + {shards - 1}) div {shards}")}).drop(*internal)
+    own, names = plain(without(docs, ADDED))
+    source = names[source]
+    salted = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(names[key]).cast("string"), F.lit("")))
+    order = [F.col("_key"), *[F.col(names[t]).asc_nulls_first() for t in ties]]
+    ranked = positions(own.withColumn("_key", F.md5(salted.cast("binary"))), order, "_rank", "shard-ranked", [source], "_of")
+    mixed = ranked.withColumn("_at", (F.col("_rank") + 0.5) / F.col("_of")).drop("_key", "_rank", "_of")
+    placed = positions(mixed, [F.col("_at"), F.col(source).asc_nulls_first()], "_rank", "shard-placed", total="_n")
+    shard = f"_rank * {shards} div _n"
+    slot = F.col("_rank") - F.expr(f"({shard} * _n + {shards - 1}) div {shards}")
+    return placed.select(*named(names), F.expr(shard).cast("int").alias("shard"), slot.alias("slot"))
 
 
 @query("op6_interleaved_shards")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
 from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, SECOND, answered, array_of, at_chunks, by_bucket, chunked, in_set, messages, notes, unpack
-from sparkscope.llm.common import Words, binary_array, mix, positions, shingle_hashes, stage, table, without
+from sparkscope.llm.common import Words, binary_array, mix, named, plain, positions, shingle_hashes, stage, table, without
 
 WINDOW = 20
 #: Every difference modulo 13 is the difference of two of these, so for any two windows there is
@@ -199,6 +199,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return at_chunks([info, shared, later, chunks], cut, schema)
 
 
+def unrepeated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with the repeated words taken out of its texts, and no other change."""
+    own, names = plain(docs)
+    return remove_repeats(own, names[text], names[key]).select(*named(names))
+
+
 def _joined(places: Places, keep: np.ndarray, null: pa.Array) -> pa.Array:
     """Each text's kept words with one space between them, assembled in one buffer."""
     words, doc = places.words, places.doc[keep]
