@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -194,40 +195,43 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "a bigint, b bigint")
 
 
-def linked(candidates_: DataFrame) -> DataFrame | None:
-    """doc and component (both order numbers) of all documents that link with another; None without links.
+def linked(candidates_: DataFrame) -> DataFrame:
+    """doc and component (both order numbers) of all documents that link with another.
 
     Documents under one key are not compared all with all. In each round some of them, more in
-    every round, are leaders; each document is compared with the leaders of its keys unless a
-    chain of links joins them already. Leaders are then done, and so is a key whose remaining
-    documents are all joined. The rounds end when no key has two documents left, so every pair
-    under a key has either been compared or joined.
+    every round, are leaders; each document is compared with the leaders of its keys unless
+    links join both to one document already. Leaders are then done, and so is a key whose
+    remaining documents are all joined to one. The rounds end when no key has two documents
+    left, so every pair under a key has either been compared or joined.
     """
     sets = candidates_.filter("key is null")
-    members = candidates_.filter("key is not null").select("key", "doc", "n")
-    links = joined = None
+    members = candidates_.filter("key is not null").select("key", "doc", "n", F.col("doc").alias("joined"))
+    found: list[DataFrame] = []
     leaders_per_key = 1
     while True:
-        sizes = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *([F.min("component").alias("low"), F.max("component").alias("high")] if joined is not None else [])), "near-keys")
-        open_ = sizes.filter("size > 1" if joined is None else "size > 1 and low <> high").select("key")
-        members = stage(members.join(open_, "key"), "near-members")
+        open_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("joined").alias("low"), F.max("joined").alias("high"))
+        members = stage(members.join(open_.filter("size > 1 and low <> high").select("key"), "key"), "near-members")
         if members.isEmpty():
-            return joined
-        slot = F.pmod(F.xxhash64("doc", F.lit(leaders_per_key)), F.lit(leaders_per_key)) if leaders_per_key > 1 else F.lit(0)
-        extra = ["component"] if joined is not None else []
-        lead = stage(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "n", *extra)).alias("l")), "near-leaders")
-        met = members.join(lead.select("key", "l"), "key").filter("doc <> l.doc and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
-        if joined is not None:
-            met = met.filter("component <> l.component")
+            break
+        slot = F.pmod(F.xxhash64("doc", F.lit(leaders_per_key)), F.lit(leaders_per_key))
+        lead = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "joined")).alias("l"))
+        met = members.join(lead.select("key", "l"), "key").filter("joined <> l.joined and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
         pairs = met.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct()
-        found = stage(verified(stage(pairs, "near-pairs"), sets), "near-links")
-        links = found if links is None else links.unionByName(found)
+        found.append(stage(verified(pairs, sets), "near-links"))
         done = lead.select("key", F.col("l.doc").alias("doc"))
-        members = members.select("key", "doc", "n").join(done, ["key", "doc"], "left_anti")
-        if not links.isEmpty():
-            joined = stage(components(links).select(F.col("node").alias("doc"), "component"), "near-joined")
-            members = members.join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        members = members.drop("joined").join(done, ["key", "doc"], "left_anti").join(_joined(reduce(DataFrame.unionByName, found)), "doc", "left")
+        members = members.select("key", "doc", "n", F.coalesce("joined", "doc").alias("joined"))
         leaders_per_key *= 4
+    if not found:
+        return candidates_.select("doc", F.col("doc").alias("component")).limit(0)
+    return components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("doc"), "component")
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """The smallest document that a document links to, or the smallest that one links to."""
+    one = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("up"))
+    two = one.select(F.col("doc").alias("up"), F.col("up").alias("top"))
+    return one.join(two, "up", "left").select("doc", F.coalesce("top", "up").alias("joined"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -285,8 +289,6 @@ def _judged(chunks: DataFrame, text: str, key: str) -> DataFrame:
     marked = ordered.join(firsts, "order", "left").select("chunk", "at", "order", F.coalesce("mine", F.lit(0)).alias("mine"))
     info = stage(notes(marked, ["order", "mine"]), "near-notes")
     joined = linked(candidates(chunks, info, text))
-    if joined is None:
-        joined = chunks.sparkSession.createDataFrame([], "doc bigint, component bigint")
     # The component of each class, then the id of the component's first row; both have a row per class.
     named = classes.join(joined, F.col("class") == F.col("doc"), "left").select("digest", F.coalesce("component", "class").alias("root"))
     ids = ordered.select(F.col("order").alias("root"), F.col("id").alias("root_id"))
