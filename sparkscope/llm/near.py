@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from sparkscope.llm import query
 from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, answered, array_of, at_chunks, by_bucket, chunked, in_set, messages, notes, unpack
 from sparkscope.llm.common import Words, mix, positions, shingle_hashes, stage, table
+from sparkscope.operators import ordered
 from sparkscope.operators.graph import components
 
 WIDTH = 5
 #: Two texts link when 100 * shared >= 80 * all shingles: when 5 * shared >= 4 * all.
 SHARED, ALL = 5, 4
+#: Documents under one key beyond which they are compared in blocks; shingles in a block; columns of a matrix.
+CROWD, BLOCK, STRIP = 64, 65_536, 4096
 _U = np.uint64
 
 
@@ -210,16 +213,21 @@ def linked(candidates_: DataFrame) -> DataFrame:
     leaders_per_key = 1
     while True:
         open_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("joined").alias("low"), F.max("joined").alias("high"))
-        members = stage(members.join(open_.filter("size > 1 and low <> high").select("key"), "key"), "near-members")
+        members = stage(members.join(open_.filter("size > 1 and low <> high").select("key", "size"), "key"), "near-members")
         if members.isEmpty():
             break
+        if found:
+            many = members.filter(F.col("size") > CROWD)
+            if not many.isEmpty():
+                found.append(stage(crowded(many, sets), "near-crowds"))
+            members = members.filter(F.col("size") <= CROWD)
         slot = F.pmod(F.xxhash64("doc", F.lit(leaders_per_key)), F.lit(leaders_per_key))
         lead = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "joined")).alias("l"))
         met = members.join(lead.select("key", "l"), "key").filter("joined <> l.joined and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
         pairs = met.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct()
         found.append(stage(verified(pairs, sets), "near-links"))
         done = lead.select("key", F.col("l.doc").alias("doc"))
-        members = members.drop("joined").join(done, ["key", "doc"], "left_anti").join(_joined(reduce(DataFrame.unionByName, found)), "doc", "left")
+        members = members.select("key", "doc", "n").join(done, ["key", "doc"], "left_anti").join(_joined(reduce(DataFrame.unionByName, found)), "doc", "left")
         members = members.select("key", "doc", "n", F.coalesce("joined", "doc").alias("joined"))
         leaders_per_key *= 4
     if not found:
@@ -227,6 +235,75 @@ def linked(candidates_: DataFrame) -> DataFrame:
     return components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("doc"), "component")
 
 
+def crowded(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (document, smallest document it reaches within a cell) among documents under crowded keys.
+
+    Documents that crowded keys connect form a crowd. A crowd is sorted by set size and cut into
+    blocks of about ``BLOCK`` shingles; a cell is a pair of blocks whose sizes allow links. A
+    task holds one cell, multiplies its documents' incidence matrices for the exact sizes of all
+    intersections, and returns at most one row per document, never the pairs.
+    """
+    roots = stage(members.groupBy("key").agg(F.min("doc").alias("root")), "near-roots")
+    edges = members.join(roots, "key").select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct()
+    crowds = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
+    docs = members.select("doc", "n").distinct().join(crowds, "doc")
+    placed = ordered.cumulative(docs, ["crowd"], ["n", "doc"], "n", "before", "whole")
+    blocks = stage(placed.select("crowd", "doc", "n", F.expr(f"before div {BLOCK}").alias("block")), "near-blocks")
+    spans = stage(blocks.groupBy("crowd", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "near-spans")
+    one = spans.select("crowd", F.col("block").alias("i"), F.col("high").alias("most"))
+    two = spans.select("crowd", F.col("block").alias("j"), F.col("low").alias("least"))
+    cells = one.join(two, "crowd").filter(f"i <= j and {SHARED} * most >= {ALL} * least").select("crowd", "i", "j")
+    ends = F.array_distinct(F.array("i", "j"))
+    wanted = cells.select("crowd", F.concat_ws("/", "crowd", "i", "j").alias("cell"), F.explode(ends).alias("block"))
+    rows = sets.join(blocks.select("doc", "crowd", "block"), "doc").join(wanted, ["crowd", "block"]).select("cell", "doc", "shingles")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for batch in batches:
+            for name, doc, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != cell and held:
+                    yield _reached(held)
+                    held = []
+                cell = name
+                held.append((doc, np.frombuffer(blob, _U)))
+        if held:
+            yield _reached(held)
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "doc").mapInArrow(work, "a bigint, b bigint")
+
+
+def _reached(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """(smallest document reached, document) within one cell, for the documents that reach another."""
+    docs, n = np.array([d for d, _ in held]), np.array([len(s) for _, s in held])
+    known, column, often = np.unique(np.concatenate([s for _, s in held]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(n)), n)
+    # Only shingles that two documents have count; they are numbered anew and taken in strips.
+    number = np.cumsum(often > 1) - 1
+    live = often[column] > 1
+    row, column = row[live], number[column[live]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    shared = np.zeros((len(n), len(n)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+        a, b = np.searchsorted(column, [at, at + STRIP])
+        strip = np.zeros((len(n), STRIP), np.float32)
+        strip[row[a:b], column[a:b] - at] = 1
+        shared += strip @ strip.T
+    shared = shared.astype(np.int64)
+    links = SHARED * shared >= ALL * (n[:, None] + n[None, :] - shared)
+    low = np.arange(len(n))
+    a, b = np.nonzero(links)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    some = low != np.arange(len(n))
+    return pa.RecordBatch.from_arrays([pa.array(docs[low[some]]), pa.array(docs[some])], ["a", "b"])
+
+
 def _joined(links: DataFrame) -> DataFrame:
     """The smallest document that a document links to, or the smallest that one links to."""
     one = links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("up"))

@@ -332,6 +332,22 @@ def test_near_random(spark):
     assert sum(c != i for i, _, c in want) > 50
 
 
+def test_near_crowd(spark, monkeypatch):
+    """Many variants of one text, half of which link with nothing, under the same keys."""
+    rng, data = random.Random(11), []
+    base = prose(0, 150).split()
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(14)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    monkeypatch.setattr(near, "BLOCK", 5_000)
+    got = near.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)).collect()
+    want = brute.components(data)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert 50 < sum(c == i for i, _, c in want) < 350
+
+
 @pytest.mark.parametrize("name,step", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, sf_dir, docs, none, name, step):
     """Every stage takes odd rows and empty tables; all but the last return the columns of their input."""
