@@ -29,10 +29,10 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"hi": nodes, "lo": nodes[low]}, dtype="int64")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The smallest node of its component for every node of ``edges`` (columns a, b).
 
-    Each partition first shrinks its own edges to stars. Then alternates large-star and small-star steps (Kiveris et al., 2014), which need a
+    Each partition first shrinks its own edges to stars. Then, until nothing changes, alternates large-star and small-star steps (Kiveris et al., 2014), which need a
     logarithmic number of rounds and never gather a node's neighbours: each step is a
     minimum per node and a join back. Rounds go through written tables.
     """
@@ -41,7 +41,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = contracted.select(F.col("hi").alias("node")).distinct()
     pairs = contracted.filter("hi <> lo")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: every neighbour above a node links to the smallest one around it.
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -64,7 +64,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     root = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))

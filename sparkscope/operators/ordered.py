@@ -1,11 +1,11 @@
 """Positions, ranks and sliding frames that never hold one key in one task.
 
-A plain ``Window.partitionBy(series)`` sends a whole series to one task. That is the
-cheapest plan while no key is large, so the largest key is counted first. Beyond
-``SMALL_KEY`` rows the rows are range-partitioned by ``(keys, order)`` instead: a hot key
-spreads over many partitions and its row numbers come from per-partition counts.
+A plain ``Window.partitionBy(series)`` sends a whole series to one task. Rows are
+range-partitioned by ``(keys, order)`` instead, sorted and written once to the shared
+folder, so a hot key spreads over many partitions and its row numbers come from counts per
+partition. There is one path for all sizes.
 Sliding frames run over fixed-size blocks of positions with a halo of neighbours.
-Passing ``parts`` asks for the range partitioning and its number of partitions.
+Passing ``parts`` sets the number of range partitions.
 """
 
 from __future__ import annotations
@@ -14,20 +14,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkscope.session import small_side, stage
+from sparkscope.session import stage
 
 BLOCK = 65_536
-SMALL_KEY = 1_000_000
-
-
-def _keys_are_small(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether one task can sort the largest key."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.agg(F.max("n")).first()[0] or 0) <= SMALL_KEY
-
-
-def _whole_key(keys: Sequence[str]):
-    return Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
 
 
 def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None) -> DataFrame:
@@ -60,7 +49,7 @@ def _with_blocks(placed: DataFrame, keys: Sequence[str], weight: Column) -> Data
     on = part == F.col("_bpart")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return placed.join(small_side(blocks), on).drop("_bpart", *[f"_k_{k}" for k in keys])
+    return placed.join(blocks, on).drop("_bpart", *[f"_k_{k}" for k in keys])
 
 
 def indexed(
@@ -75,10 +64,6 @@ def indexed(
 
     ``order`` should be total (end with a unique column): ties then split too.
     """
-    if not parts and _keys_are_small(df, keys):
-        own = _whole_key(keys)
-        out = df.withColumn(index, (F.row_number().over(own.orderBy(*order)) - 1).cast("bigint"))
-        return out.withColumn(total, F.count(F.lit(1)).over(own)) if total else out
     joined = _with_blocks(_placed(df, keys, order, parts), keys, F.lit(1).cast("bigint"))
     out = joined.withColumn(index, F.col("_off") + F.col("_g") - F.col("_lo"))
     if total:
@@ -96,11 +81,6 @@ def cumulative(
     parts: int | None = None,
 ) -> DataFrame:
     """Add the weight that lies before each row within its key, and the key's whole weight."""
-    if not parts and _keys_are_small(df, keys):
-        own = _whole_key(keys)
-        so_far = own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        summed = F.sum(weight).over(so_far) - F.col(weight)
-        return df.withColumns({before: summed, total: F.sum(weight).over(own)})
     joined = _with_blocks(_placed(df, keys, order, parts), keys, F.col(weight)).withColumn(
         "_part", F.shiftright("_g", 33)
     )
@@ -159,18 +139,6 @@ def values_at(
     counted before they are placed, so a value that repeats without end is one row.
     """
     rows = df.filter(F.col(value).isNotNull())
-    if not parts and _keys_are_small(rows, keys):
-        own = _whole_key(keys)
-        sorted_ = rows.select(
-            *keys,
-            value,
-            (F.row_number().over(own.orderBy(value)) - 1).alias("_i"),
-            F.count(F.lit(1)).over(own).alias("_n"),
-        )
-        picks = [F.max(F.when(F.col("_i") == r(F.col("_n")).cast("bigint"), F.col(value))).alias(n) for n, r in ranks.items()]
-        if total:
-            picks.append(F.max("_n").alias(total))
-        return sorted_.groupBy(*keys).agg(*picks)
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = cumulative(counted, keys, [value], "_c", "_b", "_n", parts)
     picks = []

@@ -98,12 +98,11 @@ def test_one_value_for_most_rows(spark):
     assert got["mid"] == 7.0
 
 
-def test_a_large_key_is_placed_without_asking(spark, df, frame, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_KEY", 100)
-    placed = ordered.indexed(df, ["key"], ["t", "id"], "i", "n")
-    assert placed.inputFiles() and "placed-" in placed.inputFiles()[0]
-    small = ordered.indexed(df.filter("id < 90"), ["key"], ["t", "id"])
-    assert not small.inputFiles()
+def test_every_size_is_placed(df):
+    for one in (df, df.filter("id < 90"), df.limit(0)):
+        placed = ordered.indexed(one, ["key"], ["t", "id"], "i", "n")
+        assert all("placed-" in f for f in placed.inputFiles())
+        assert "Exchange SinglePartition" not in placed._jdf.queryExecution().toString()
 
 
 def test_range_sum_with_one_crowded_moment(spark):
