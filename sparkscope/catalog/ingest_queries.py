@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
 from sparkscope.catalog.enrich_queries import DRAW
+from sparkscope.catalog.io_queries import log_records, metric_records, span_records
 from sparkscope.model import FLAT_SQL, flat, nest, newest
 from sparkscope.operators.quality import NO_IDS, NO_NAME
 from sparkscope.plans import ingest
@@ -52,3 +53,19 @@ def ingest_flow(spark, d):
         attr("category").alias("category"),
         attr("correlation_id").alias("correlation_id"),
     )
+
+
+@query(
+    "ingest_otlp",
+    """SELECT 'otlp_metrics' AS source, count(*) AS n, count(*) AS ids, 0 AS without_id FROM events WHERE event_type <> 'error'
+    UNION ALL SELECT 'otlp_logs', count(*), count(*), 0 FROM events UNION ALL SELECT 'otlp_spans', count(*), count(*), 0 FROM events""",
+)
+def ingest_otlp(spark, d):
+    """OTLP documents through the flow: every record lands in a telemetry table, with the dead letters or with the rest."""
+    every = metric_records(spark, d).unionByName(log_records(spark, d)).unionByName(span_records(spark, d))
+    path = scratch(spark, "ingest-otlp")
+    ingest.write(ingest.flow(every, newest(flat(spark, d), "ts"), keep_sampled_out=True), path)
+    lost = F.sum((F.col("reject_reason") == ingest.NO_ID).cast("int"))
+    return spark.read.parquet(path).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.coalesce(lost, F.lit(0)).cast("int").alias("without_id")
+    )

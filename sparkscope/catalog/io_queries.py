@@ -153,12 +153,16 @@ def src_parquet(spark, d):
     return _shown(files.parquet_rows(spark, path))
 
 
-@query(
-    "src_prefix_discovery",
-    "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS table_name",
-)
+DISCOVERED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query("src_prefix_discovery", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in DISCOVERED))
 def src_prefix_discovery(spark, d):
-    return files.discover(spark, d).select("table_name")
+    """Copies of the tables below one prefix, found again by their files, with the rows of each."""
+    prefix = scratch(spark, "prefix")
+    for name in DISCOVERED:
+        table(spark, d, name).write.parquet(f"{prefix}/{name}.parquet")
+    return files.discovered_rows(spark, prefix)
 
 
 @query(
@@ -282,14 +286,8 @@ def _documents(spark, f, item, outer, scope, items, label):
     return path
 
 
-@query(
-    "src_otlp_metrics",
-    REC
-    + """SELECT CASE WHEN k = 0 THEN (SELECT max(ts) FROM rec) ELSE ts END AS timestamp, 'm.' || event_type AS name, CASE WHEN event_type = 'click' THEN 'Gauge' WHEN event_type = 'purchase' THEN 'Counter' WHEN event_type = 'signup' THEN 'Gauge' ELSE 'Histogram' END AS metric_type,
-       CASE WHEN event_type = 'view' THEN k WHEN event_type = 'purchase' THEN CAST(floor(value) AS DOUBLE) ELSE value END AS value, a_user AS user_label, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
-       'svc' || CAST(event_id // 500 % 3 AS VARCHAR) AS service, CAST(event_id // 500 AS VARCHAR) AS shard FROM rec WHERE event_type <> 'error'""",
-)
-def src_otlp_metrics(spark, d):
+def metric_records(spark, d):
+    """The events as OTLP metrics, written and read back."""
     f = flat(spark, d)
     kind = F.col("event_type")
     point = F.struct(
@@ -308,7 +306,18 @@ def src_otlp_metrics(spark, d):
         F.when(kind == "view", F.struct(points.alias("dataPoints"))).alias("histogram"),
     )
     path = _documents(spark, f, item, "resourceMetrics", "scopeMetrics", "metrics", "otlp-metrics")
-    out = otlp.metrics(otlp.read_documents(spark, path, otlp.METRICS), newest(f, "ts"))
+    return otlp.metrics(otlp.read_documents(spark, path, otlp.METRICS), newest(f, "ts"))
+
+
+@query(
+    "src_otlp_metrics",
+    REC
+    + """SELECT CASE WHEN k = 0 THEN (SELECT max(ts) FROM rec) ELSE ts END AS timestamp, 'm.' || event_type AS name, CASE WHEN event_type = 'click' THEN 'Gauge' WHEN event_type = 'purchase' THEN 'Counter' WHEN event_type = 'signup' THEN 'Gauge' ELSE 'Histogram' END AS metric_type,
+       CASE WHEN event_type = 'view' THEN k WHEN event_type = 'purchase' THEN CAST(floor(value) AS DOUBLE) ELSE value END AS value, a_user AS user_label, CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS flag,
+       'svc' || CAST(event_id // 500 % 3 AS VARCHAR) AS service, CAST(event_id // 500 AS VARCHAR) AS shard FROM rec WHERE event_type <> 'error'""",
+)
+def src_otlp_metrics(spark, d):
+    out = metric_records(spark, d)
     return out.select(
         "timestamp",
         "metric.name",
@@ -321,15 +330,8 @@ def src_otlp_metrics(spark, d):
     )
 
 
-@query(
-    "src_otlp_logs",
-    REC
-    + """SELECT ts AS timestamp, CASE WHEN k % 27 BETWEEN 1 AND 4 THEN 'Trace' WHEN k % 27 BETWEEN 5 AND 8 THEN 'Debug' WHEN k % 27 BETWEEN 13 AND 16 THEN 'Warn'
-       WHEN k % 27 BETWEEN 17 AND 20 THEN 'Error' WHEN k % 27 BETWEEN 21 AND 24 THEN 'Fatal' ELSE 'Info' END AS level,
-       CASE k % 3 WHEN 0 THEN event_type || ' done' WHEN 1 THEN CAST(event_id AS VARCHAR) ELSE '' END AS message, CAST(k % 27 AS INTEGER) AS severity_number,
-       'S' || a_k AS severity_text, t_region AS region, 'svc' || CAST(event_id // 500 % 3 AS VARCHAR) AS service FROM rec""",
-)
-def src_otlp_logs(spark, d):
+def log_records(spark, d):
+    """The events as OTLP logs, written and read back."""
     f = flat(spark, d)
     body = F.struct(
         F.when(F.col("k") % 3 == 0, F.concat("event_type", F.lit(" done"))).alias("stringValue"),
@@ -343,7 +345,19 @@ def src_otlp_logs(spark, d):
         _pairs(("region", "stringValue", F.col("t_region"))).alias("attributes"),
     )
     path = _documents(spark, f, item, "resourceLogs", "scopeLogs", "logRecords", "otlp-logs")
-    out = otlp.logs(otlp.read_documents(spark, path, otlp.LOGS), newest(f, "ts"))
+    return otlp.logs(otlp.read_documents(spark, path, otlp.LOGS), newest(f, "ts"))
+
+
+@query(
+    "src_otlp_logs",
+    REC
+    + """SELECT ts AS timestamp, CASE WHEN k % 27 BETWEEN 1 AND 4 THEN 'Trace' WHEN k % 27 BETWEEN 5 AND 8 THEN 'Debug' WHEN k % 27 BETWEEN 13 AND 16 THEN 'Warn'
+       WHEN k % 27 BETWEEN 17 AND 20 THEN 'Error' WHEN k % 27 BETWEEN 21 AND 24 THEN 'Fatal' ELSE 'Info' END AS level,
+       CASE k % 3 WHEN 0 THEN event_type || ' done' WHEN 1 THEN CAST(event_id AS VARCHAR) ELSE '' END AS message, CAST(k % 27 AS INTEGER) AS severity_number,
+       'S' || a_k AS severity_text, t_region AS region, 'svc' || CAST(event_id // 500 % 3 AS VARCHAR) AS service FROM rec""",
+)
+def src_otlp_logs(spark, d):
+    out = log_records(spark, d)
     return out.select(
         "timestamp",
         "log.level",
@@ -355,16 +369,8 @@ def src_otlp_logs(spark, d):
     )
 
 
-@query(
-    "src_otlp_spans",
-    REC
-    + """SELECT ts AS timestamp, md5(a_user) AS trace_id, left(md5(id), 16) AS span_id, CASE WHEN k % 2 = 0 THEN left(md5(a_k), 16) ELSE '' END AS parent_span_id, event_type AS name,
-       CASE k % 7 WHEN 2 THEN 'Server' WHEN 3 THEN 'Client' WHEN 4 THEN 'Producer' WHEN 5 THEN 'Consumer' ELSE 'Internal' END AS kind,
-       CASE k % 3 WHEN 1 THEN 'Ok' WHEN 2 THEN 'Error' ELSE 'Unset' END AS status_code, CASE WHEN k % 5 <> 0 THEN CAST(round(value * 1000000) AS BIGINT) END AS duration_ns,
-       CASE WHEN k % 5 <> 0 THEN make_timestamp(epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) // 1000) END AS end_time,
-       'started' AS event_0, ts AS event_0_at, a_k AS event_0_k, md5(a_k) AS link_0, t_region AS region FROM rec""",
-)
-def src_otlp_spans(spark, d):
+def span_records(spark, d):
+    """The events as OTLP spans, written and read back."""
     f = flat(spark, d)
     b64 = lambda text, size=32: F.base64(F.unhex(F.left(F.md5(text), F.lit(size))))
     took = F.round(F.col("value") * 1_000_000).cast("bigint")
@@ -388,7 +394,20 @@ def src_otlp_spans(spark, d):
         F.array(F.struct(b64(F.col("a_k")).alias("traceId"), b64(F.col("id"), 16).alias("spanId"))).alias("links"),
     )
     path = _documents(spark, f, item, "resourceSpans", "scopeSpans", "spans", "otlp-spans")
-    out = otlp.spans(otlp.read_documents(spark, path, otlp.SPANS), newest(f, "ts"))
+    return otlp.spans(otlp.read_documents(spark, path, otlp.SPANS), newest(f, "ts"))
+
+
+@query(
+    "src_otlp_spans",
+    REC
+    + """SELECT ts AS timestamp, md5(a_user) AS trace_id, left(md5(id), 16) AS span_id, CASE WHEN k % 2 = 0 THEN left(md5(a_k), 16) ELSE '' END AS parent_span_id, event_type AS name,
+       CASE k % 7 WHEN 2 THEN 'Server' WHEN 3 THEN 'Client' WHEN 4 THEN 'Producer' WHEN 5 THEN 'Consumer' ELSE 'Internal' END AS kind,
+       CASE k % 3 WHEN 1 THEN 'Ok' WHEN 2 THEN 'Error' ELSE 'Unset' END AS status_code, CASE WHEN k % 5 <> 0 THEN CAST(round(value * 1000000) AS BIGINT) END AS duration_ns,
+       CASE WHEN k % 5 <> 0 THEN make_timestamp(epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) // 1000) END AS end_time,
+       'started' AS event_0, ts AS event_0_at, a_k AS event_0_k, md5(a_k) AS link_0, t_region AS region FROM rec""",
+)
+def src_otlp_spans(spark, d):
+    out = span_records(spark, d)
     t = F.col("trace")
     return out.select(
         "timestamp",
@@ -401,6 +420,33 @@ def src_otlp_spans(spark, d):
     )
 
 
+@query(
+    "src_record_ids",
+    """SELECT 'otlp_metrics' AS source, count(*) AS n, count(*) AS ids FROM events WHERE event_type <> 'error' UNION ALL SELECT 'otlp_logs', count(*), count(*) FROM events
+    UNION ALL SELECT 'otlp_spans', count(*), count(*) FROM events UNION ALL SELECT 'lines', 3 * count(*), 3 * count(*) FROM events UNION ALL SELECT 'csv', 3 * count(*), 3 * count(*) FROM events""",
+)
+def src_record_ids(spark, d):
+    """Rows and distinct ids of every source that makes ids, with each line three times."""
+    e = table(spark, d, "events")
+    three = e.select("event_type", "value", F.explode(F.array(*[F.lit(0)] * 3)))
+    clock = newest(e, "ts")
+    lines, csv = scratch(spark, "same-lines"), scratch(spark, "same-csv")
+    three.select(F.to_json(F.struct(F.col("event_type").alias("name"), "value")).alias("value")).write.text(lines)
+    three.select(F.concat_ws(",", F.lit("now"), "event_type", F.col("value").cast("string")).alias("value")).write.text(csv)
+    found = {
+        "otlp_metrics": metric_records(spark, d),
+        "otlp_logs": log_records(spark, d),
+        "otlp_spans": span_records(spark, d),
+        "lines": files.json_lines(spark, lines, clock)[0],
+        "csv": files.csv_lines(spark, csv, clock)[0],
+    }
+    out = None
+    for name, rows in found.items():
+        one = rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- layouts -------------------------------------------------------------------------
 
 
@@ -451,7 +497,18 @@ def unflatten(spark, d):
 )
 def flat_dynamic_keys(spark, d):
     rec = records(spark, d).select("id", "attributes", "tags")
-    return flatten.spread_keys(flatten.spread_keys(rec, "attributes", "attr_"), "tags", "tag_")
+    named = flatten.spread_keys(rec, "attributes", "attr_", ["env", "k", "service.name", "status_code", "url", "user"])
+    return flatten.spread_keys(named, "tags", "tag_", ["region", "service"])
+
+
+@query(
+    "flat_long_keys",
+    REC
+    + """SELECT * FROM (SELECT id, unnest(['env', 'k', 'service.name', 'status_code', 'url', 'user']) AS key, unnest([a_env, a_k, a_service, a_status, a_url, a_user]) AS value FROM rec) WHERE value IS NOT NULL
+""",
+)
+def flat_long_keys(spark, d):
+    return flatten.long_keys(records(spark, d).select("id", "attributes"), "attributes").filter("value is not null")
 
 
 # -- sinks ---------------------------------------------------------------------------
@@ -525,7 +582,7 @@ def sink_modes(spark, d):
 )
 def sink_partitioned(spark, d):
     path = scratch(spark, "telemetry")
-    sinks.write_partitioned(records(spark, d), path, files_per_day=2)
+    sinks.write_partitioned(records(spark, d), path)
     back = spark.read.parquet(path)
     return back.filter(F.col("table").isin("telemetry_logs", "telemetry_traces") & F.col("day").between(3, 9)).select(
         "id", "table", "day"
@@ -542,15 +599,15 @@ def sink_fanout(spark, d):
     return sinks.fan_out(records(spark, d)).select("id", "destination")
 
 
-@query("sink_compact", "SELECT count(*) AS before, count(*) AS after, 4 AS files FROM lineitem")
+@query("sink_compact", "SELECT count(*) AS before, count(*) AS after, true AS fewer_files FROM lineitem")
 def sink_compact(spark, d):
     small, large = scratch(spark, "small"), scratch(spark, "large")
     table(spark, d, "lineitem").repartition(32).write.parquet(small)
-    before, after = sinks.compact(spark, small, large, 4)
+    before, after = sinks.compact(spark, small, large)
     return spark.read.parquet(large).agg(
         F.lit(before).cast("bigint").alias("before"),
         F.count(F.lit(1)).alias("after"),
-        F.countDistinct("_metadata.file_path").cast("int").alias("files"),
+        (F.countDistinct("_metadata.file_path") < 32).alias("fewer_files"),
     )
 
 

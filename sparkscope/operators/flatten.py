@@ -97,16 +97,12 @@ def span_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def map_keys(df: DataFrame, column: str, max_keys: int = 5_000) -> list[str]:
-    """The distinct keys of a map column; more than ``max_keys`` is refused, as columns they would be too many."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct().limit(max_keys + 1).collect()
-    if len(keys) > max_keys:
-        raise ValueError(f"{column} has more than {max_keys} distinct keys")
-    return sorted(row["k"] for row in keys)
+def long_keys(df: DataFrame, column: str, id: str = "id") -> DataFrame:
+    """One row (id, key, value) per entry of a map column, for any number of keys."""
+    return df.select(id, F.explode(column))
 
 
-def spread_keys(df: DataFrame, column: str, prefix: str, keys: list[str] | None = None) -> DataFrame:
-    """One ``<prefix><key>`` column per key of a map column; the map column goes."""
-    keys = map_keys(df, column) if keys is None else keys
+def spread_keys(df: DataFrame, column: str, prefix: str, keys: list[str]) -> DataFrame:
+    """One ``<prefix><key>`` column for each of these keys of a map column; the map column goes."""
     legal = lambda k: "".join(c if c.isalnum() or c == "_" else "_" for c in k)
     return df.withColumns({prefix + legal(k): F.col(column)[k] for k in keys}).drop(column)

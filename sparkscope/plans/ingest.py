@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkscope.operators import enrich, quality, transforms as tr
-from sparkscope.sources.sinks import routed
+from sparkscope.sources.sinks import routed, write_balanced
 
 DEAD_LETTERS = "dead_letters"
 SAMPLED_OUT = "sampled_out"
+NO_ID = "Record has no id"
 
 
 def refine(records: DataFrame) -> DataFrame:
@@ -33,13 +34,15 @@ def refine(records: DataFrame) -> DataFrame:
 def flow(records: DataFrame, as_of: Column, keep_sampled_out: bool = False) -> DataFrame:
     """Every record with its table and day: telemetry tables for good rows, ``dead_letters`` for the rest.
 
-    Rejected rows carry their reason. Rows that sampling leaves out are dropped, or kept
+    Rejected rows carry their reason; rows without an id are among them. Rows that sampling leaves out are dropped, or kept
     under ``sampled_out`` on request. Batch and stream frames both go through unchanged
     code, and the source is read once.
     """
-    judged = records.withColumn("reject_reason", quality.reject_reason(as_of))
+    reason = F.coalesce(quality.reject_reason(as_of), F.when(F.col("id").isNull(), F.lit(NO_ID)))
+    judged = records.withColumn("reject_reason", reason)
     bad = F.col("reject_reason").isNotNull()
-    kept = enrich.chance(F.col("id")) < enrich.severity_rate()
+    rate = enrich.severity_rate()
+    kept = (rate >= 1) | F.coalesce(enrich.chance(F.col("id")) < rate, F.lit(False))
     if keep_sampled_out:
         judged = judged.withColumn("_out", ~kept)
     else:
@@ -49,11 +52,9 @@ def flow(records: DataFrame, as_of: Column, keep_sampled_out: bool = False) -> D
     return routed(refine(judged)).withColumn("table", table).drop("_out")
 
 
-def write(flowed: DataFrame, path: str, files_per_day: int = 1, mode: str = "append") -> None:
-    """Write below ``table=/year=/month=/day=``; ``files_per_day`` tasks share a day's rows."""
-    keys = ["table", "year", "month", "day"]
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
-    flowed.repartition(*keys, salt).write.mode(mode).partitionBy(*keys).parquet(path)
+def write(flowed: DataFrame, path: str, mode: str = "append") -> None:
+    """Write below ``table=/year=/month=/day=``; a day with many rows is shared by many tasks."""
+    write_balanced(flowed, path, mode)
 
 
 def write_stream(flowed: DataFrame, path: str, checkpoint: str, interval: str | None = None):

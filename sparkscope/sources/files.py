@@ -66,8 +66,18 @@ def json_batches(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
     return from_batches(spark.read.schema(FILE_BATCH).json(path, multiLine=True), as_of)
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """The lines below ``path`` as ``value``, each with an id of its own.
+
+    The id hashes the line with its file, the block it was read from and its place there, so
+    equal lines are separate records, and a task that runs again gives the same ids.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"), "value")
+    return spark.read.text(path).select("value", F.sha2(F.to_json(place), 256).alias("line_id"))
+
+
 def _line_records(lines: DataFrame, as_of: Column) -> DataFrame:
-    """Simple ``{timestamp, type, name, value, message, attributes, tags}`` rows as records."""
+    """Simple ``{timestamp, type, name, value, message, attributes, tags}`` rows with a ``line_id`` as records."""
     kind = (
         F.when(F.col("type") == "log", "Log").when(F.col("type") == "trace", "Trace").otherwise("Metric")
     )
@@ -83,10 +93,9 @@ def _line_records(lines: DataFrame, as_of: Column) -> DataFrame:
     trace = as_struct(
         TRACE, name=F.lit("unknown"), kind=F.lit("Internal"), start_time=F.col("_ts"), end_time=F.col("_ts"), status_code=F.lit("Ok")
     )
-    content = F.concat_ws("␟", F.col("timestamp"), "type", "name", F.col("value").cast("string"), "message", F.to_json("attributes"))
     return typed.select(
         *as_record(
-            id=F.sha2(content, 256),
+            id=F.col("line_id"),
             timestamp=F.col("_ts"),
             record_type=F.col("_kind"),
             source=F.lit("file"),
@@ -102,9 +111,9 @@ def _line_records(lines: DataFrame, as_of: Column) -> DataFrame:
 def json_lines(spark: SparkSession, path: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Records of newline JSON, and the lines that are no JSON."""
     read = F.from_json("value", LINE, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("r", read)
+    lines = lines_of(spark, path).filter(F.trim("value") != "").withColumn("r", read)
     broken = F.col("r._corrupt_record").isNotNull()
-    good = lines.filter(~broken).select("r.*").drop("_corrupt_record")
+    good = lines.filter(~broken).select("line_id", "r.*").drop("_corrupt_record")
     return _line_records(good, as_of), lines.filter(broken).select(F.col("value").alias("line"))
 
 
@@ -113,7 +122,7 @@ def csv_lines(spark: SparkSession, path: str, as_of: Column) -> tuple[DataFrame,
 
     A value that is no number counts as 0.0 and a time that is none as ``as_of``.
     """
-    lines = spark.read.text(path).filter(~F.col("value").startswith("timestamp,"))
+    lines = lines_of(spark, path).filter(~F.col("value").startswith("timestamp,"))
     parts = F.split("value", ",")
     cut = lines.withColumn("f", parts)
     ts = F.coalesce(F.get("f", F.lit(0)).try_cast("timestamp"), as_of)
@@ -125,7 +134,7 @@ def csv_lines(spark: SparkSession, path: str, as_of: Column) -> tuple[DataFrame,
     )
     records = cut.filter(F.size("f") >= 3).select(
         *as_record(
-            id=F.sha2("value", 256),
+            id=F.col("line_id"),
             timestamp=ts,
             record_type=F.lit("Metric"),
             source=F.lit("file"),
@@ -161,6 +170,13 @@ def discover(spark: SparkSession, prefix: str) -> DataFrame:
     return files.select(table_name(F.col("path")).alias("table_name"), "path", "length")
 
 
+def discovered_rows(spark: SparkSession, prefix: str) -> DataFrame:
+    """The tables below ``prefix`` (folders or files named ``<table>.parquet``) and the rows of each."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema("_ int").parquet(prefix)
+    name = table_name(F.regexp_extract("_metadata.file_path", r"([^/]+\.parquet)(/[^/]*)?$", 1))
+    return rows.select(name.alias("table_name")).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def register_files(spark: SparkSession, name: str, path: str, kind: str = "parquet") -> DataFrame:
     """Make a Parquet or CSV path a table that SQL can name."""
     reader = spark.read

@@ -96,15 +96,24 @@ def _choice(code: Column, names: dict[int, str], default: str) -> Column:
 
 
 def read_documents(spark, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """The documents below ``path``, each with its file and its place there as ``_document``."""
+    place = F.concat_ws("/", "_metadata.file_path", F.col("_metadata.file_block_start").cast("string"), F.monotonically_increasing_id().cast("string"))
+    return spark.read.schema(schema).json(path).select("*", place.alias("_document"))
 
 
 def _down(df: DataFrame, *levels: str) -> DataFrame:
-    """Explode resource -> scope -> item, keeping the resource attributes as ``_resource``."""
+    """Explode resource -> scope -> item, keeping the resource attributes as ``_resource``.
+
+    ``_place`` names the item: its document (by ``_document`` where there is one, else by its
+    number in the frame), the document's content and the places on the way down.
+    """
     outer, scope, item = levels
-    df = df.select(F.explode(outer).alias("_r"))
-    df = df.select(pairs(F.col("_r.resource.attributes")).alias("_resource"), F.explode(F.col("_r")[scope]).alias("_s"))
-    return df.select("_resource", F.explode(F.col("_s")[item]).alias("x"))
+    number = F.col("_document") if "_document" in df.columns else F.monotonically_increasing_id().cast("string")
+    content = F.xxhash64(F.to_json(F.struct(outer))).cast("string")
+    df = df.select(F.concat_ws("/", number, content).alias("_d"), F.posexplode(outer).alias("_i", "_r"))
+    df = df.select("_d", "_i", pairs(F.col("_r.resource.attributes")).alias("_resource"), F.posexplode(F.col("_r")[scope]).alias("_j", "_s"))
+    df = df.select("_d", "_i", "_j", "_resource", F.posexplode(F.col("_s")[item]).alias("_k", "x"))
+    return df.select(F.concat_ws("/", "_d", "_i", "_j", "_k").alias("_place"), "_resource", "x")
 
 
 def metrics(docs: DataFrame, as_of: Column) -> DataFrame:
@@ -130,7 +139,7 @@ def metrics(docs: DataFrame, as_of: Column) -> DataFrame:
         points("sum", monotonic, number),
         points("histogram", F.lit("Histogram"), lambda p: p["count"].cast("double")),
     )
-    flat = rows.select("_resource", "x.name", "x.description", "x.unit", F.explode(every).alias("p"))
+    flat = rows.select("_place", "_resource", "x.name", "x.description", "x.unit", F.posexplode(every).alias("_p", "p"))
     metric = as_struct(
         METRIC,
         name=F.col("name"),
@@ -142,6 +151,7 @@ def metrics(docs: DataFrame, as_of: Column) -> DataFrame:
     )
     return flat.filter(F.col("p.value").isNotNull()).select(
         *as_record(
+            id=F.sha2(F.concat_ws("/", "_place", "_p"), 256),
             timestamp=nano_time(F.col("p.nano"), as_of),
             record_type=F.lit("Metric"),
             source=F.lit("otlp_metrics"),
@@ -179,6 +189,7 @@ def logs(docs: DataFrame, as_of: Column) -> DataFrame:
     )
     return rows.select(
         *as_record(
+            id=F.sha2("_place", 256),
             timestamp=nano_time(F.col("x.timeUnixNano"), as_of),
             record_type=F.lit("Log"),
             source=F.lit("otlp_logs"),
@@ -227,6 +238,7 @@ def spans(docs: DataFrame, as_of: Column) -> DataFrame:
     )
     return rows.select(
         *as_record(
+            id=F.sha2("_place", 256),
             timestamp=start,
             record_type=F.lit("Trace"),
             source=F.lit("otlp_spans"),

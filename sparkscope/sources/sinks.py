@@ -44,16 +44,21 @@ def routed(df: DataFrame) -> DataFrame:
     )
 
 
-def write_partitioned(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
-    """Write records below ``table=/year=/month=/day=``.
+DAY = ["table", "year", "month", "day"]
 
-    Rows are spread by partition value and ``files_per_day`` hash parts, so a day
-    that holds a large share of the rows is written by that many tasks.
+
+def write_balanced(df: DataFrame, path: str, mode: str = "append", keys: Sequence[str] = DAY) -> None:
+    """Write below ``key=value/`` folders from tasks of about equal size.
+
+    Rows are rebalanced by the keys: small values share a task, and one that holds a large
+    share of all rows is split among as many tasks as its bytes ask for.
     """
-    keys = ["table", "year", "month", "day"]
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
-    spread = routed(df).repartition(*keys, salt) if files_per_day > 1 else routed(df).repartition(*keys)
-    spread.write.mode(mode).partitionBy(*keys).parquet(path)
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+
+
+def write_partitioned(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write records below ``table=/year=/month=/day=``."""
+    write_balanced(routed(df), path, mode)
 
 
 def destinations() -> Column:
@@ -77,13 +82,16 @@ def fan_out(df: DataFrame) -> DataFrame:
     return df.withColumn("destination", F.explode(destinations()))
 
 
-def compact(spark: SparkSession, path: str, target: str, files: int) -> tuple[int, int]:
-    """Rewrite a table's many small files as ``files`` larger ones in ``target``.
+def compact(spark: SparkSession, path: str, target: str, file_bytes: int = 128 << 20) -> tuple[int, int]:
+    """Rewrite a table's many small files as files of about ``file_bytes`` in ``target``.
 
-    Returns the row counts before and after; they must agree before a swap.
+    Their number follows from the table's bytes. Returns the row counts before and after; they
+    must agree before a swap.
     """
     before = spark.read.parquet(path)
-    before.repartition(files).write.parquet(target)
+    sizes = before.select("_metadata.file_path", "_metadata.file_size").distinct()
+    total = sizes.agg(F.sum("file_size")).first()[0] or 0
+    before.repartition(max(1, -(-total // file_bytes))).write.parquet(target)
     return before.count(), spark.read.parquet(target).count()
 
 
