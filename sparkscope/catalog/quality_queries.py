@@ -312,10 +312,10 @@ LETTERS = f"""WITH rec AS ({FLAT_SQL}), dl AS (SELECT id, ts AS timestamp, conca
     ({_type_sql('log_message')}).t AS error_type, 'events' AS source, CAST(k % 5 AS INTEGER) AS retry_count FROM rec WHERE log_level IN ('Error', 'Fatal')) """
 
 
-@query("dlq_write", LETTERS + "SELECT * FROM dl ORDER BY timestamp DESC, id DESC LIMIT 500")
+@query("dlq_write", LETTERS + "SELECT * FROM dl")
 def dlq_write(spark, d):
     path = scratch(spark, "letters")
-    dlq.write(dead_letters(spark, d), path, max_records=500)
+    dlq.write(dead_letters(spark, d), path)
     return spark.read.parquet(path).drop("day")
 
 

@@ -175,7 +175,7 @@ def ten_request_check(spark, d):
 
 @query(
     "ten_autoscale",
-    f"""WITH q AS ({QUOTA_SQL}), s AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, value / 20 AS cpu, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE NOT (user_id % 10 = 0 AND event_id > 200)),
+    f"""WITH q AS ({QUOTA_SQL}), s AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, value / 20 AS cpu, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
     m AS (SELECT tenant_id, count(*) AS samples, avg(cpu) AS a FROM s WHERE rn <= 5 GROUP BY tenant_id),
     c AS (SELECT CAST(user_id AS VARCHAR) AS tenant_id, max(ts) AS at FROM events WHERE event_type = 'signup' GROUP BY 1)
     SELECT m.tenant_id, samples, round(a, 6) AS avg_cpu, samples >= 5 AND a / coalesce(q.cpu_cores, 1) * 100 > 95 AND NOT coalesce(epoch_us((SELECT max(ts) FROM events)) - epoch_us(c.at) < 86400000000, false) AS scale_up
@@ -184,8 +184,6 @@ def ten_request_check(spark, d):
 def ten_autoscale(spark, d):
     e = table(spark, d, "events")
     tenant = F.col("user_id").cast("string").alias("tenant_id")
-    samples = e.filter("NOT (user_id % 10 = 0 AND event_id > 200)").select(
-        tenant, "ts", F.col("event_id").alias("seq"), (F.col("value") / 20).alias("cpu_cores")
-    )
+    samples = e.select(tenant, "ts", F.col("event_id").alias("seq"), (F.col("value") / 20).alias("cpu_cores"))
     scaled = e.filter("event_type = 'signup'").groupBy(tenant).agg(F.max("ts").alias("scaled_at"))
     return tn.needs_scaling(samples, quotas(spark, d), cooldown_seconds=86_400, scaled=scaled, as_of=newest(e, "ts"))

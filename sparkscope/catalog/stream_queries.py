@@ -14,22 +14,32 @@ SLICES = 4
 END = "(SELECT max(ts) FROM events)"
 
 
+SLICE_FILE_BYTES = 64 << 20
+
+
 def slices(spark, d, number=SLICES, last=None):
-    """Write events as ``number`` files in time order; rows that match ``last`` come in one more file at the end."""
-    path = scratch(spark, "slices")
+    """Write events in ``number`` slices in time order, each of equally many files, and return that number.
+
+    Rows that match ``last`` come in one more slice at the end. The events are scanned once and
+    written by slice; each slice is then added by several tasks, more for larger tables.
+    """
+    path, apart = scratch(spark, "slices"), scratch(spark, "apart")
     e = table(spark, d, "events")
+    sizes = e.select("_metadata.file_path", "_metadata.file_size").distinct()
+    files = max(4, -(-(sizes.agg(F.sum("file_size")).first()[0] or 0) // (number * SLICE_FILE_BYTES)))
     bounds = e.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
     width = (bounds["hi"] - bounds["lo"]) // number + 1
     part = F.call_function("div", F.unix_micros("ts") - bounds["lo"], F.lit(width))
     marked = e.withColumn("_part", part if last is None else F.when(last, number).otherwise(part))
+    marked.write.partitionBy("_part").parquet(apart)
     for n in range(number + (last is not None)):
-        marked.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return path, e.schema
+        spark.read.schema(e.schema).parquet(f"{apart}/_part={n}").repartition(files).write.mode("append").parquet(path)
+    return path, e.schema, files
 
 
 def stream(spark, d, **options):
-    path, schema = slices(spark, d, **options)
-    return stream_files(spark, path, schema, files_per_trigger=1)
+    path, schema, files = slices(spark, d, **options)
+    return stream_files(spark, path, schema, files_per_trigger=files)
 
 
 @query("src_file_stream", "SELECT event_id, ts, event_type, value FROM events")
@@ -209,3 +219,17 @@ def st_stream_static_join(spark, d):
 def st_micro_batching(spark, d):
     rows = jobs.drain_batches(stream(spark, d).select("event_id"), "micro-batches", "append")
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "st_alert_changes",
+    """WITH e AS (SELECT event_type AS key, ts, event_id AS seq, value > 60 AS hit FROM events),
+    c AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY key ORDER BY ts, seq), false) AS was FROM e),
+    x AS (SELECT *, lag(ts) OVER (PARTITION BY key ORDER BY ts, seq) AS ended FROM c WHERE hit <> was)
+    SELECT key, ts, seq, CASE WHEN hit THEN 'Active' ELSE 'Resolved' END AS status, hit AND coalesce(epoch_us(ts) - epoch_us(ended) < 3600 * 1000000::BIGINT, false) AS in_cooldown FROM x""",
+)
+def st_alert_changes(spark, d):
+    rows = stream(spark, d).select(
+        F.col("event_type").alias("key"), "ts", F.col("event_id").alias("seq"), (F.col("value") > 60).alias("hit"), F.lit(3600).alias("cooldown_seconds")
+    )
+    return jobs.drain(state.alert_changes(rows), "alert-changes")

@@ -154,6 +154,9 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     points = stage(points.select("id", "x"), "points")
     n = points.count()
     k = min(k, n - 1)
+    if k < 1:  # nobody has another point
+        none = F.array().cast("array<struct<distance: double, other: bigint>>")
+        return points.select("id", none.alias("near"))
     side = _even_radius(points, n, BLOCK // 8)
 
     def best_of(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
@@ -427,9 +430,11 @@ def single_link(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
 def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
     """Power iteration on Gaussian affinities of nearest neighbours; sigma is their median distance.
 
-    Copies of a point share the label of their place.
+    Copies of a point share the label of their place; a single place has label 0.
     """
     places = stage(distinct_points(points.select("id", "x")).select("id", "x"), "places")
+    if len(places.take(2)) < 2:
+        return points.select("id", "x", F.lit(0).alias("label"))
     near = stage(nearest(places, neighbours), "near")
     edges = near.select(F.col("id").alias("src"), F.inline("near")).select("src", F.col("other").alias("dst"), "distance")
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance").distinct()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkscope.operators import ordered
 from sparkscope.operators.quality import classify_error
+from sparkscope.sources.sinks import write_balanced
 
 
 def letters(df: DataFrame, operation: Column, message: Column, retries: Column | None = None) -> DataFrame:
@@ -20,15 +22,15 @@ def letters(df: DataFrame, operation: Column, message: Column, retries: Column |
     )
 
 
-def write(df: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
-    """Write letters partitioned by operation and day; over ``max_records`` the oldest go.
+def retained(df: DataFrame, max_records: int) -> DataFrame:
+    """The newest ``max_records`` letters, by their positions: a retention setting, off unless asked for."""
+    keyed = df.withColumn("_back", -F.unix_micros("timestamp"))
+    return ordered.indexed(keyed, [], ["_back", "id"], "_i").filter(F.col("_i") < max_records).drop("_i", "_back")
 
-    The cap is a retention setting of the queue, so it is off unless asked for.
-    """
-    if max_records is not None:
-        df = df.orderBy(F.desc("timestamp"), F.desc("id")).limit(max_records)
-    dated = df.withColumn("day", F.to_date("timestamp"))
-    dated.write.mode(mode).partitionBy("operation", "day").parquet(path)
+
+def write(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Write letters partitioned by operation and day."""
+    write_balanced(df.withColumn("day", F.to_date("timestamp")), path, mode, ["operation", "day"])
 
 
 def find(

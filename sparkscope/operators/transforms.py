@@ -47,18 +47,22 @@ def _place(target: str) -> tuple[str, str]:
 
 
 def put(entries: Column, key: str, value: Column) -> Column:
-    """The map with ``key`` set; a null value leaves the map as it is."""
-    others = F.map_filter(entries, lambda k, _: k != key)
+    """The map with ``key`` set, a null map counting as empty; a null value leaves the map as it is."""
+    others = F.map_filter(_held(entries), lambda k, _: k != key)
     return F.when(value.isNotNull(), F.map_concat(others, F.create_map(F.lit(key), value))).otherwise(entries)
 
 
+def _held(entries: Column) -> Column:
+    return F.coalesce(entries, F.create_map().cast(model.STRINGS))
+
+
 def put_all(entries: Column, values: dict[str, Column]) -> Column:
-    """The map with several keys set in one rebuild; null values leave their key as it is."""
+    """The map with several keys set in one rebuild, a null map counting as empty; null values leave their key as it is."""
     names = list(values)
     pairs = F.array(
         *[F.struct(F.lit(n).alias("key"), F.coalesce(c, entries[n]).alias("value")) for n, c in values.items()]
     )
-    others = F.map_filter(entries, lambda k, _: ~k.isin(names))
+    others = F.map_filter(_held(entries), lambda k, _: ~k.isin(names))
     return F.map_concat(others, F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())))
 
 

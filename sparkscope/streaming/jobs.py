@@ -85,16 +85,16 @@ def split_late(df: DataFrame, ts: str, delay_seconds: int, path: str, checkpoint
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.persist()
-        newest = rows.agg(F.max(F.unix_micros(ts)).alias("us"))
-        newest.write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
-        limit = None
-        if batch:
-            seen = spark.read.option("basePath", f"{path}/seen").parquet(f"{path}/seen/batch=*")
-            limit = seen.filter(F.col("batch") < batch).agg(F.max("us")).first()[0]
-        late = F.lit(False) if limit is None else F.unix_micros(ts) < limit - delay_seconds * 1_000_000
-        rows.filter(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
-        rows.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
-        rows.unpersist()
+        try:
+            # The note of the batch before holds the newest time of all batches up to it.
+            limit = spark.read.parquet(f"{path}/seen/batch={batch - 1}").first()["us"] if batch else None
+            newest = rows.agg(F.greatest(F.max(F.unix_micros(ts)), F.lit(limit).cast("bigint")).alias("us"))
+            newest.write.mode("overwrite").parquet(f"{path}/seen/batch={batch}")
+            late = F.lit(False) if limit is None else F.unix_micros(ts) < limit - delay_seconds * 1_000_000
+            rows.filter(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+            rows.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch}")
+        finally:
+            rows.unpersist()
 
     writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -41,18 +42,22 @@ def store(commands: DataFrame) -> DataFrame:
 
 
 def count_windows(df: DataFrame, size: int) -> DataFrame:
-    """Close a window of a key after every ``size`` rows of ``(key, seq, value)``: its number, sum and mean."""
+    """Close a window of a key after every ``size`` rows of ``(key, seq, value)``: its number, sum and mean.
+
+    A key's rows of one micro-batch are sorted and cut as arrays; only the open window is state.
+    """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, count, total = state.get if state.exists else (0, 0, 0.0)
-        out = []
-        for value in pd.concat(list(chunks)).sort_values("seq")["value"]:
-            count, total = count + 1, total + float(value)
-            if count == size:
-                out.append((key[0], number, size, total, total / size))
-                number, count, total = number + 1, 0, 0.0
-        state.update((number, count, total))
-        yield pd.DataFrame(out, columns=["key", "window_no", "rows", "total", "mean"])
+        rows = pd.concat(list(chunks)).sort_values("seq")["value"].to_numpy(dtype=float)
+        window = (count + np.arange(len(rows))) // size
+        sums = np.bincount(window, weights=rows)
+        sums[0] += total
+        closed = (count + len(rows)) // size
+        left = (count + len(rows)) % size
+        state.update((number + closed, left, float(sums[closed]) if left else 0.0))
+        sums = sums[:closed]
+        yield pd.DataFrame({"key": key[0], "window_no": number + np.arange(closed), "rows": size, "total": sums, "mean": sums / size})
 
     return df.groupBy("key").applyInPandasWithState(
         run,
@@ -64,23 +69,41 @@ def count_windows(df: DataFrame, size: int) -> DataFrame:
 
 
 def alert_changes(df: DataFrame) -> DataFrame:
-    """Rows ``(key, ts, seq, hit)`` as changes of an alert: active at its first hit, resolved at the first miss after."""
+    """Rows ``(key, ts, seq, hit, cooldown_seconds)`` as changes of an alert, with ``in_cooldown``.
+
+    An alert is active at its first hit and resolved at the first miss after. ``in_cooldown``
+    marks one that starts within the cooldown after the previous one of its key was resolved.
+    State is whether the alert is active and when the last one ended.
+    """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else False
-        out = []
+        active, ended = state.get if state.exists else (False, None)
         rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
-        for ts, seq, hit in zip(rows["ts"], rows["seq"], rows["hit"]):
-            if bool(hit) != active:
-                active = bool(hit)
-                out.append((key[0], ts, seq, "Active" if active else "Resolved"))
-        state.update((active,))
-        yield pd.DataFrame(out, columns=["key", "ts", "seq", "status"])
+        hit = rows["hit"].to_numpy(dtype=bool)
+        changed = rows[hit != np.concatenate([[active], hit[:-1]])]
+        starts = changed["hit"].to_numpy(dtype=bool)
+        ends = changed["ts"].where(~starts)
+        before = ends.shift(1)
+        if len(changed) and ended is not None and starts[0]:
+            before.iloc[0] = pd.Timestamp(ended, unit="us")
+        gap = (changed["ts"] - before).dt.total_seconds()
+        if not ends.dropna().empty:
+            ended = int(ends.dropna().iloc[-1].value // 1000)
+        state.update((bool(hit[-1]), ended))
+        yield pd.DataFrame(
+            {
+                "key": key[0],
+                "ts": changed["ts"],
+                "seq": changed["seq"],
+                "status": np.where(starts, "Active", "Resolved"),
+                "in_cooldown": starts & (gap < changed["cooldown_seconds"]).to_numpy(),
+            }
+        )
 
     return df.groupBy("key").applyInPandasWithState(
         run,
-        "key string, ts timestamp, seq bigint, status string",
-        "active boolean",
+        "key string, ts timestamp, seq bigint, status string, in_cooldown boolean",
+        "active boolean, ended bigint",
         "append",
         GroupStateTimeout.NoTimeout,
     )

@@ -192,12 +192,14 @@ def test_gate_reports_the_first_reason(mixed):
     assert {r["reject_reason"] for r in bad.collect()} == {quality.TOO_OLD}
 
 
-def test_dead_letters_cap_drops_the_oldest(spark):
+def test_dead_letters_retention_drops_the_oldest(spark):
     rows = [(str(i), f"2024-01-{i:02d}", "s") for i in range(1, 11)]
     df = spark.createDataFrame(rows, "id string, t string, source string").select("id", F.col("t").cast("timestamp").alias("timestamp"), "source")
+    letters = dlq.letters(df, F.lit("op"), F.lit("timeout"))
     path = scratch(spark, "letters")
-    dlq.write(dlq.letters(df, F.lit("op"), F.lit("timeout")), path, max_records=4)
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["10", "7", "8", "9"]
+    dlq.write(letters, path)
+    assert spark.read.parquet(path).count() == 10
+    assert sorted(r["id"] for r in dlq.retained(letters, 4).collect()) == ["10", "7", "8", "9"]
 
 
 def test_schema_evolution(spark):
@@ -274,3 +276,22 @@ def test_small_side_is_checked(spark):
     hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hinted(small_side(spark.range(10), 10))
     assert not hinted(small_side(spark.range(11), 10))
+
+
+def test_a_record_without_id_is_a_dead_letter(spark, sf_dir):
+    from sparkscope.model import newest, records
+    from sparkscope.plans import ingest
+
+    rows = records(spark, sf_dir).filter("record_type in ('Metric', 'Event')")
+    flowed = ingest.flow(rows.withColumn("id", F.lit(None).cast("string")), newest(rows)).cache()
+    assert flowed.count() == rows.count()
+    assert {r["table"] for r in flowed.select("table").distinct().collect()} == {ingest.DEAD_LETTERS}
+    assert flowed.filter("reject_reason is null").isEmpty()
+
+
+def test_put_on_a_null_map(spark):
+    from sparkscope.operators import transforms as tr
+
+    df = spark.sql("select cast(null as map<string, string>) as m, 'x' as v")
+    got = df.select(tr.put(F.col("m"), "k", F.col("v")).alias("a"), tr.put_all(F.col("m"), {"k": F.col("v")}).alias("b")).first()
+    assert got["a"] == {"k": "x"} and got["b"] == {"k": "x"}

@@ -18,8 +18,8 @@ def rows(df):
 
 
 def stream(spark, sf_dir):
-    path, schema = slices(spark, sf_dir)
-    return stream_files(spark, path, schema, files_per_trigger=1)
+    path, schema, files = slices(spark, sf_dir)
+    return stream_files(spark, path, schema, files_per_trigger=files)
 
 
 def test_windows_match_their_batch_form(spark, sf_dir):
@@ -37,7 +37,7 @@ def test_a_windowed_stream_needs_a_watermark(spark, sf_dir):
 
 def test_alert_states_match_the_batch_episodes(spark, sf_dir):
     judged = alerts.judge(hourly(spark, sf_dir), RULES)
-    keyed = judged.select(F.concat_ws("/", "rule_id", "event_type").alias("key"), "ts", "seq", "hit")
+    keyed = judged.select(F.concat_ws("/", "rule_id", "event_type").alias("key"), "ts", "seq", "hit", "cooldown_seconds")
     source = stage(keyed.repartitionByRange(3, "ts"))
     path = scratch(spark, "judged")
     for n, cut in enumerate(("2024-01-11", "2024-01-21", "2024-02-11")):
@@ -53,13 +53,15 @@ def test_alert_states_match_the_batch_episodes(spark, sf_dir):
         )
     )
     assert rows(live.select("key", "ts", "status")) == rows(batch)
+    cold = episodes.filter("in_cooldown").select(key.alias("key"), F.col("active_at").alias("ts"))
+    assert rows(live.filter("in_cooldown").select("key", "ts")) == rows(cold)
 
 
 def test_late_rows_split_the_same_way_when_a_batch_repeats(spark, sf_dir):
-    path, schema = slices(spark, sf_dir, last=F.col("event_id") % 10 == 0)
+    path, schema, files = slices(spark, sf_dir, last=F.col("event_id") % 10 == 0)
     out = scratch(spark, "late")
     for n in range(2):
-        live = stream_files(spark, path, schema, files_per_trigger=1).select("event_id", "ts")
+        live = stream_files(spark, path, schema, files_per_trigger=files).select("event_id", "ts")
         jobs.split_late(live, "ts", 86_400, out, scratch(spark, f"checkpoint-{n}")).awaitTermination()
     read = lambda part: spark.read.parquet(f"{out}/{part}/batch=*").count()
     assert read("rows") + read("late") == table(spark, sf_dir, "events").count()
