@@ -146,12 +146,22 @@ def agg_pct_round(spark, d):
     return ag.percentiles(table(spark, d, "events"), ["event_type"], "value", (50, 90, 95, 99), ag.round_rank)
 
 
-@query("agg_pct_approx")
+@query("agg_pct_approx", "SELECT l_returnflag, count(*) AS n, true AS p50_within, true AS p99_within FROM lineitem GROUP BY l_returnflag")
 def agg_pct_approx(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+    """Approximate percentiles, and whether their ranks lie within the promised error of n / 10,000."""
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = rows.groupBy("l_returnflag").agg(
         F.percentile_approx("l_extendedprice", F.lit(0.5), F.lit(10_000)).alias("p50"),
         F.percentile_approx("l_extendedprice", F.lit(0.99), F.lit(10_000)).alias("p99"),
     )
+    price, n = F.col("l_extendedprice"), F.count(F.lit(1))
+
+    def within(column, q):
+        below, up_to = F.count_if(price < F.col(column)), F.count_if(price <= F.col(column))
+        slack = n / 10_000 + 1
+        return ((below <= q * n + slack) & (up_to >= q * n - slack)).alias(column + "_within")
+
+    return rows.join(found, "l_returnflag").groupBy("l_returnflag").agg(n.alias("n"), within("p50", 0.5), within("p99", 0.99))
 
 
 @query(

@@ -220,7 +220,8 @@ def select_where(spark, d):
     "tq_metrics",
     REC
     + """SELECT metric_name, count(*) AS n, round(avg(metric_value), 6) AS avg_value, round(sum(metric_value), 6) AS sum_value,
-       min(metric_value) AS lo, max(metric_value) AS hi, count(DISTINCT metric_value) AS card
+       min(metric_value) AS lo, max(metric_value) AS hi, count(DISTINCT metric_value) AS card, median(metric_value) AS mid,
+       list_sort(list(metric_value))[least(floor(0.9 * count(metric_value))::BIGINT, count(metric_value) - 1) + 1] AS p90
     FROM rec WHERE record_type = 'Metric' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-20'
       AND t_region IN ('r1', 'r2', 'r3') AND TRY_CAST(a_k AS DOUBLE) >= 20 GROUP BY metric_name""",
 )
@@ -237,11 +238,30 @@ def tq_metrics(spark, d):
             Aggregation("min", "metric.value", "lo"),
             Aggregation("max", "metric.value", "hi"),
             Aggregation("cardinality", "metric.value", "card"),
+            Aggregation("median", "metric.value", "mid"),
+            Aggregation("percentile", "metric.value", "p90", 90),
         ],
     )
     return run(ask, records(spark, d))
 
 
+@query(
+    "tq_histogram",
+    REC
+    + """SELECT metric_name, string_agg(b0::VARCHAR || ':' || n::VARCHAR, ',' ORDER BY b0) AS spread FROM (SELECT metric_name, floor(metric_value / 25) * 25 AS b0, count(*) AS n
+    FROM rec WHERE record_type = 'Metric' AND metric_value IS NOT NULL GROUP BY ALL) GROUP BY metric_name""",
+)
+def tq_histogram(spark, d):
+    ask = TelemetryQuery("Metrics", group_by={"metric_name": "metric.name"}, aggregations=[Aggregation("histogram", "metric.value", "spread", 25)])
+    return run(ask, records(spark, d))
+
+
+@query("tq_paged", REC + "SELECT id, ts AS timestamp, log_level AS level FROM rec WHERE record_type = 'Log' ORDER BY ts, id OFFSET 20")
+def tq_paged(spark, d):
+    """All logs after the first twenty, placed by position."""
+    return run(TelemetryQuery("Logs", select={"level": "log.level"}, offset=20), records(spark, d))
+
+
 @query(
     "tq_traces",
     REC

@@ -73,22 +73,23 @@ def by_rules(df: DataFrame, rules: Sequence[AggregateRule], order: Sequence[str]
     active = [r for r in rules if r.enabled]
     if not active:
         return df
-    out = None
+    # One scan: each row once for every rule it belongs to, grouped by rule and key.
+    entries = []
     for rule in active:
-        rows = df if rule.where is None else df.filter(rule.where)
         parts = [group_key(F.col(c).cast("string")) for c in rule.group_by]
         key = F.concat_ws("|", *parts) if parts else F.lit("default")
-        value = F.col(rule.value)
-        grouped = rows.groupBy(key.alias("_group_key")).agg(
-            F.count(F.lit(1)).alias("_record_count"),
-            *[FUNCTIONS[f](value, order).cast("double").alias(f) for f in rule.functions],
-        )
-        results = F.array(
-            *[F.struct(F.lit(f).alias("function"), F.col(f).alias("result")) for f in rule.functions]
-        )
-        one = grouped.select(F.lit(rule.name).alias("_rule_name"), "_group_key", "_record_count", F.inline(results))
-        out = one if out is None else out.unionByName(one)
-    return out
+        entry = F.struct(F.lit(rule.name).alias("_rule_name"), key.alias("_group_key"), F.col(rule.value).alias("_value"))
+        entries.append(entry if rule.where is None else F.when(rule.where, entry))
+    rows = df.select(*order, F.inline(F.array_compact(F.array(*entries))))
+    names = list(dict.fromkeys(f for r in active for f in r.functions))
+    grouped = rows.groupBy("_rule_name", "_group_key").agg(
+        F.count(F.lit(1)).alias("_record_count"), *[FUNCTIONS[f](F.col("_value"), order).cast("double").alias(f) for f in names]
+    )
+    results = F.inline(F.array(*[F.struct(F.lit(f).alias("function"), F.col(f).alias("result")) for f in names]))
+    wanted = F.lit(False)
+    for rule in active:
+        wanted = wanted | ((F.col("_rule_name") == rule.name) & F.col("function").isin(list(rule.functions)))
+    return grouped.select("_rule_name", "_group_key", "_record_count", results).filter(wanted)
 
 
 # -- order statistics ------------------------------------------------------------------

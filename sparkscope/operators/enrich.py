@@ -131,14 +131,22 @@ def _rule_value(rule: EnrichRule) -> Column:
 
 
 def by_rules(df: DataFrame, rules: Sequence[EnrichRule]) -> DataFrame:
-    """Apply the rules in order; an empty result takes the rule's default, else sets nothing."""
+    """Apply the rules in order; an empty result takes the rule's default, else sets nothing.
+
+    Rules that don't name an earlier one's target are set in one rebuild of the map.
+    """
+    held: dict[str, Column] = {}
     for rule in rules:
-        if rule.enabled:
-            value = F.nullif(_rule_value(rule), F.lit(""))
-            if rule.default is not None:
-                value = F.coalesce(value, F.lit(rule.default))
-            df = tr.set_field(df, "attributes." + rule.target, value)
-    return df
+        if not rule.enabled:
+            continue
+        reads = f"{rule.source} {rule.argument}" if rule.kind != "static" else ""
+        if rule.target in held or any(target in reads for target in held):
+            df, held = df.withColumn("attributes", tr.put_all(F.col("attributes"), held)), {}
+        value = F.nullif(_rule_value(rule), F.lit(""))
+        if rule.default is not None:
+            value = F.coalesce(value, F.lit(rule.default))
+        held[rule.target] = value.cast("string")
+    return df.withColumn("attributes", tr.put_all(F.col("attributes"), held)) if held else df
 
 
 def is_error(status: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sparkscope.operators import ordered
+from sparkscope.operators.aggregates import floor_rank, median
 from sparkscope.operators.filters import Rule, predicate
 
 
@@ -36,7 +38,11 @@ class TimeRange:
 
 @dataclass(frozen=True)
 class Aggregation:
-    """One function over one field; ``param`` is the percentile, bucket width or rate window."""
+    """One function over one field; ``param`` is the percentile or the histogram's bucket width.
+
+    Medians and percentiles are exact (nearest rank for the latter). A histogram is text,
+    ``start:rows`` per bucket in ascending order.
+    """
 
     function: str
     field: str | None
@@ -54,7 +60,6 @@ class Aggregation:
             "max": lambda: F.max(c),
             "std": lambda: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 6),
             "rate": lambda: F.coalesce(F.try_divide(F.count(c), seconds), F.lit(0.0)),
-            "percentile": lambda: F.percentile_approx(c, self.param / 100, 10_000),
             "cardinality": lambda: F.countDistinct(c),
             "approx_cardinality": lambda: F.approx_count_distinct(c),
         }
@@ -63,6 +68,43 @@ class Aggregation:
         return build[self.function]().alias(self.alias)
 
 
+RANKED = ("median", "percentile", "histogram")
+
+
+def _ranked(a: Aggregation, df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per group with the aggregation's value, from values placed in order or counted per bucket."""
+    if a.function == "median":
+        return median(df, keys, a.field, a.alias)
+    if a.function == "percentile":
+        return ordered.values_at(df, keys, a.field, {a.alias: floor_rank(a.param)})
+    start = (F.floor(F.col(a.field) / a.param) * a.param).cast("double")
+    counted = df.filter(F.col(a.field).isNotNull()).groupBy(*keys, start.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    line = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_n"))), lambda b: F.concat_ws(":", b["_at"], b["_n"]))
+    return counted.groupBy(*keys).agg(F.array_join(line, ",").alias(a.alias))
+
+
+def _grouped(ask: TelemetryQuery, df: DataFrame) -> DataFrame:
+    """All aggregations per group; those over ranked values are joined to the others by the group keys."""
+    names = list(ask.group_by)
+    inner = [f"_key{i}" for i in range(len(names))]
+    keyed = df.withColumns({k: F.col(path) for k, path in zip(inner, ask.group_by.values())})
+    plain = [a.column() for a in ask.aggregations if a.function not in RANKED] or [F.count(F.lit(1)).alias("_rows")]
+    out = keyed.groupBy(*inner).agg(*plain)
+    for i, a in enumerate(a for a in ask.aggregations if a.function in RANKED):
+        values = keyed.select(*inner, F.col(a.field).alias("_value"))
+        one = _ranked(replace(a, field="_value"), values, inner).withColumnsRenamed({k: f"_{i}{k}" for k in inner})
+        on = F.lit(True)
+        for k in inner:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{i}{k}"))
+        out = out.join(one, on, "left")
+    return out.select(*[F.col(k).alias(n) for k, n in zip(inner, names)], *[a.alias for a in ask.aggregations])
+
+
+def _from(df: DataFrame, order: list[str], offset: int) -> DataFrame:
+    """The rows from ``offset`` on, by their positions, so that no task sees them all."""
+    return ordered.indexed(df, [], order, "_at").filter(F.col("_at") >= offset).drop("_at")
+
+
 KINDS = {"Metrics": "Metric", "Traces": "Trace", "Logs": "Log", "Events": "Event"}
 
 TYPED = {
@@ -107,12 +149,13 @@ def run(ask: TelemetryQuery, records: DataFrame) -> DataFrame:
     for rule in ask.filters:
         df = df.filter(predicate(rule))
     if ask.aggregations:
-        keys = [F.col(path).alias(name) for name, path in ask.group_by.items()]
-        df = df.groupBy(*keys).agg(*[a.column() for a in ask.aggregations])
+        df = _grouped(ask, df)
         order = list(ask.group_by)
     else:
         df = df.select("id", "timestamp", *[F.col(p).alias(n) for n, p in ask.select.items()])
         order = ["timestamp", "id"]
+    if ask.offset and ask.limit is None and order:
+        return _from(df, order, ask.offset)
     if ask.limit is not None or ask.offset:
         if order:
             df = df.orderBy(*order)
