@@ -293,10 +293,10 @@ def dead_letters(spark, d):
     return dlq.letters(rows, operation, F.col("log_message"), F.col("k") % 5)
 
 
-def _type_sql(message: str) -> str:
+def _type_sql(message: str, own: tuple = ()) -> str:
     found = ", ".join(
         f"CASE WHEN regexp_matches({message}, '{p}') THEN {{'s': {prio} + strlen(regexp_extract({message}, '{p}', 0)), 'o': {-i}, 't': '{t}', 'v': '{sev}', 'm': 'pattern', 'n': '{name}'}} END"
-        for i, (name, p, t, sev, prio) in enumerate(q.ERROR_PATTERNS)
+        for i, (name, p, t, sev, prio) in enumerate((*q.ERROR_PATTERNS, *own))
     )
     words = " ".join(
         f"WHEN contains(lower({message}), '{w}') THEN {{'s': 0, 'o': 0, 't': '{t}', 'v': '{sev}', 'm': 'keyword', 'n': '{w}'}}"
@@ -383,3 +383,20 @@ def err_classify(spark, d):
         table(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("message"))
     )
     return m.select("id", q.classify_error(F.col("message")).alias("a")).select("id", "a.*")
+
+
+OWN_PATTERNS = (
+    q.ErrorPattern("shouted", "[A-Z]{3,}!!", "Validation", "Warning", 60),
+    q.ErrorPattern("never", "[a-z]", "Unknown", "Fatal", 900, enabled=False),
+)
+
+
+@query(
+    "err_classify_own",
+    f"""WITH c AS (SELECT doc_id, {_type_sql('text', tuple((p.name, p.pattern, p.error_type, p.severity, p.priority) for p in OWN_PATTERNS if p.enabled))} AS a FROM documents)
+    SELECT doc_id, a.t AS error_type, a.v AS severity, a.m AS method, a.n AS matched FROM c""",
+)
+def err_classify_own(spark, d):
+    """Documents by the built-in patterns and a caller's own."""
+    answer = q.classify_error(F.col("text"), OWN_PATTERNS)
+    return table(spark, d, "documents").select("doc_id", answer.alias("a")).select("doc_id", "a.*")

@@ -464,11 +464,26 @@ def _may_match(message: Column, pattern: str) -> Column:
     return out
 
 
-def classify_error(message: Column) -> Column:
+@dataclass(frozen=True)
+class ErrorPattern:
+    """A caller's regular expression with what it stands for; ``priority`` competes with the built-in ones."""
+
+    name: str
+    pattern: str
+    error_type: str
+    severity: str
+    priority: int = 0
+    enabled: bool = True
+
+
+def classify_error(
+    message: Column, patterns: Sequence[ErrorPattern] = (), disabled: Sequence[str] = (), default: tuple[str, str] = ("Unknown", "Error")
+) -> Column:
     """Struct (error_type, severity, method, matched) of an error message.
 
-    Among the patterns that match, the highest priority plus match length wins (the
-    earlier one on a tie); then the first keyword; then Unknown / Error.
+    Among the built-in patterns (without the ``disabled`` names) and the caller's that match, the
+    highest priority plus match length wins (the earlier one on a tie, built-in ones first); then
+    the first keyword; then ``default``.
     """
 
     def answer(kind: str, severity: str, method: str, matched: str) -> Column:
@@ -485,14 +500,20 @@ def classify_error(message: Column) -> Column:
         entry = F.struct(
             score.alias("score"), F.lit(-order).alias("order"), answer(kind, severity, "pattern", name).alias("answer")
         )
-        scored.append(F.when(_may_match(message, pattern) & message.rlike(pattern), entry))
+        if name not in disabled:
+            scored.append(F.when(_may_match(message, pattern) & message.rlike(pattern), entry))
+    for order, own in enumerate((p for p in patterns if p.enabled), len(ERROR_PATTERNS)):
+        score = F.lit(own.priority) + F.octet_length(F.regexp_extract(message, own.pattern, 0))
+        found = answer(own.error_type, own.severity, "pattern", own.name)
+        entry = F.struct(score.alias("score"), F.lit(-order).alias("order"), found.alias("answer"))
+        scored.append(F.when(message.rlike(own.pattern), entry))
     best = F.array_max(F.array_compact(F.array(*scored)))["answer"]
 
     def by_word(lower: Column) -> Column:
         out = F
         for word, kind, severity in ERROR_KEYWORDS:
             out = out.when(lower.contains(word), answer(kind, severity, "keyword", word))
-        return out.otherwise(answer("Unknown", "Error", "default", ""))
+        return out.otherwise(answer(*default, "default", ""))
 
     # The one-element transform lower-cases the message once for all keywords.
     return F.coalesce(best, F.transform(F.array(F.lower(message)), by_word)[0])
