@@ -15,10 +15,12 @@ from sparkscope.llm.common import ROW, Words, mix, named, numbered, offsets_of,
 #: Labelled documents of each class that the models are fitted on, at most, and the share of
 #: them that only sets the cuts.
 SAMPLE, HELD = 4_000, 3
-#: Counts that a bucket has in either model from the start.
-PRIOR = 4.0
+#: Raw documents in the fit for which a bucket has one count in either model from the start (at least one).
+PER_COUNT = 300
 #: Log ratios are multiplied by this before the Gumbel noise (standard, times 1) is added.
 SHARPNESS = 8.0
+#: What the share of target texts that a cut rejects weighs against the share of raw text that it accepts.
+LOST = 4.0
 ADDED = ("log_ratio", "score", "kept")
 
 
@@ -112,12 +114,12 @@ class Model:
 
 
 def best_cut(target: np.ndarray, raw: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the smallest sum of both error rates."""
+    """The middle of the widest gap among the cuts with the least error; a lost target text counts ``LOST`` times."""
     values = np.unique(np.concatenate([target, raw]))
     if len(values) < 2 or not len(target) or not len(raw):
         return 0.0
     cuts = (values[1:] + values[:-1]) / 2
-    error = np.searchsorted(np.sort(target), cuts) / len(target) + 1 - np.searchsorted(np.sort(raw), cuts) / len(raw)
+    error = LOST * np.searchsorted(np.sort(target), cuts) / len(target) + 1 - np.searchsorted(np.sort(raw), cuts) / len(raw)
     best = np.flatnonzero(error <= error.min() + 1e-12)
     return float(cuts[best[np.argmax(np.diff(values)[best])]])
 
@@ -173,14 +175,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sides = [F.sum(F.when(side, F.col("n")).otherwise(0)).alias(name) for name, side in (("target", ~F.col("raw")), ("other", F.col("raw")))]
     counts = stage(counted.groupBy("model", "bucket").agg(*sides), "quality-counts")
     totals = {r["model"]: (r["t"], r["o"]) for r in counts.groupBy("model").agg(F.sum("target").alias("t"), F.sum("other").alias("o")).collect()}
+    sizes = {r["class"]: r["count"] for r in sample.filter("not held").groupBy("class").count().collect()}
     models = []
     for i, k in enumerate(KINDS):
+        prior = max(1.0, sizes.get(k.raw, 0) / PER_COUNT)
         target, other = totals.get(i, (0, 0))
         if not target or not other:
             continue
         # Both models are brought to the smaller number of n-grams, so unseen ones favour neither.
         least = min(target, other)
-        weight = F.log(F.col("target") * F.lit(least / target) + PRIOR) - F.log(F.col("other") * F.lit(least / other) + PRIOR)
+        weight = F.log(F.col("target") * F.lit(least / target) + prior) - F.log(F.col("other") * F.lit(least / other) + prior)
         rows = counts.filter(F.col("model") == i).select("bucket", weight.alias("w")).filter(F.abs("w") >= k.least).toPandas()
         models.append(Model(k, rows["bucket"].to_numpy(), rows["w"].to_numpy().astype(np.float32)))
     held = sample.filter("held").select(F.col("class").cast("bigint").alias("r"), "t")
