@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
 from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, answered, array_of, at_chunks, by_bucket, chunked, in_set, messages, notes, unpack
-from sparkscope.llm.common import Words, mix, positions, shingle_hashes, stage, table
+from sparkscope.llm.common import Words, drop, mix, positions, recorded, shingle_hashes, stage, table
 from sparkscope.operators import ordered
 from sparkscope.operators.graph import components
 
@@ -333,7 +333,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The first row (smallest id) of every component of near duplicates, with the columns of ``docs``."""
     chunks = chunked(docs, text, "near-chunks")
-    kept = stage(notes(_judged(chunks, text, key).filter("first").select("chunk", "at"), []), "near-kept")
+    with recorded() as made:
+        kept = stage(notes(_judged(chunks, text, key).filter("first").select("chunk", "at"), []), "near-kept")
+    # Only the chunks and this last table are read from here on.
+    drop(docs.sparkSession, made[:-1])
 
     def emit(chunk: int, by: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
         at = array_of(by.get(NOTE, []), "a", np.int64)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkscope.llm import query
 from sparkscope.llm.common import ROW, Words, mix, named, numbered, offsets_of, pieces_of, plain, positions, stage, table, without
@@ -195,6 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return models
 
 
+def gumbel(key: str, seed: int) -> Column:
+    """Standard Gumbel noise from a hash of seed and id."""
+    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    return -F.log(-F.log(unit))
+
+
 def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str = "doc_id", seed: int = 5) -> DataFrame:
     """Every row of ``docs`` with log_ratio, score and kept.
 
@@ -211,9 +217,8 @@ def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str
     own, names = plain(without(docs, ADDED))
     rows = numbered(own, "quality-rows")
     scored = rows.select(F.col(ROW).alias("r"), F.col(names[text]).alias("t")).mapInArrow(lambda b: _scored(b, models), "r bigint, ratios array<double>")
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col(names[key])), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     ratios = stage(scored.select("r", F.coalesce(F.array_min("ratios"), F.lit(0.0)).alias("log_ratio")), "quality-ratios")
-    noisy = rows.select(F.col(ROW).alias("r"), (-F.log(-F.log(unit))).alias("noise")).join(ratios, "r")
+    noisy = rows.select(F.col(ROW).alias("r"), gumbel(names[key], seed).alias("noise")).join(ratios, "r")
     score = (F.col("log_ratio") * SHARPNESS + F.col("noise")).alias("score")
     k = ratios.filter("log_ratio >= 0").count()
     placed = positions(noisy.select("r", "log_ratio", score), [F.col("score").desc(), F.col("r")], "_at", "quality-scores")
@@ -221,10 +226,28 @@ def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str
     return rows.join(decided, F.col(ROW) == F.col("r")).select(*named(names), *ADDED)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier keeps, with the columns of ``docs``."""
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 5) -> DataFrame:
+    """The rows that :func:`classify` keeps, with the columns of ``docs``.
+
+    Only the scores are written: the k-th one is the bound, and the rows are scored once more as
+    they pass. Rows that tie with the k-th score all stay.
+    """
+    models = fit(docs, labels, text, key)
     own, names = plain(docs)
-    return classify(own, fit(docs, labels), names["text"], names["doc_id"]).filter("kept").select(*named(names))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = list(names).index(text)
+        for batch in pieces_of(batches, names[text], 2 << 20):
+            ratio = np.min([m.ratios(batch.column(at)) for m in models], axis=0) if models else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], [*batch.schema.names, "_ratio"])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields], "_ratio double"])
+    scored = own.mapInArrow(score, schema).withColumn("_score", F.col("_ratio") * SHARPNESS + gumbel(names[key], seed))
+    scores = stage(scored.select(F.col("_ratio").alias("log_ratio"), F.col("_score").alias("score")), "quality-scores")
+    k = scores.filter("log_ratio >= 0").count()
+    placed = positions(scores.select("score"), [F.col("score").desc()], "_at", "quality-order")
+    bound = placed.filter(F.col("_at") == k - 1).select("score").first()
+    return scored.filter(F.col("_score") >= bound["score"] if bound else F.lit(False)).select(*named(names))
 
 
 @query("op8_importance_resampling")

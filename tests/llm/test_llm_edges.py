@@ -250,6 +250,8 @@ def test_quality(spark, docs, none):
     models = quality.fit(known, labels)
     kept = {r["doc_id"]: r["kept"] for r in quality.classify(known, models).collect()}
     assert not any(kept[i] for i in range(100, 130)) and sum(kept[i] for i in range(300, 360)) >= 55
+    stay = quality.keep_good(known, labels).collect()
+    assert {r["doc_id"] for r in stay} == {i for i, k in kept.items() if k}
     out = quality.classify(docs, models)
     assert out.count() == len(rows()) and set(docs.columns) <= set(out.columns)
     assert all(r["kept"] for r in quality.classify(docs, []).collect())
