@@ -21,6 +21,8 @@ WIDTH = 5
 SHARED, ALL = 5, 4
 #: Documents under one key beyond which they are compared in blocks; shingles in a block; columns of a matrix.
 CROWD, BLOCK, STRIP = 64, 65_536, 4096
+#: Documents in a block; rows of a matrix that are judged at a time.
+DOCS_IN_BLOCK, ROWS = 1024, 256
 _U = np.uint64
 
 
@@ -239,69 +241,105 @@ def crowded(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (document, smallest document it reaches within a cell) among documents under crowded keys.
 
     Documents that crowded keys connect form a crowd. A crowd is sorted by set size and cut into
-    blocks of about ``BLOCK`` shingles; a cell is a pair of blocks whose sizes allow links. A
-    task holds one cell, multiplies its documents' incidence matrices for the exact sizes of all
-    intersections, and returns at most one row per document, never the pairs.
+    blocks of about ``BLOCK`` shingles and at most ``DOCS_IN_BLOCK`` documents; a cell is a pair
+    of blocks whose sizes allow links. A task holds one cell, multiplies the incidence matrices
+    of its two blocks for the exact sizes of all intersections, and returns at most one row per
+    document, never the pairs.
     """
     roots = stage(members.groupBy("key").agg(F.min("doc").alias("root")), "near-roots")
     edges = members.join(roots, "key").select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct()
     crowds = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
     docs = members.select("doc", "n").distinct().join(crowds, "doc")
-    placed = ordered.cumulative(docs, ["crowd"], ["n", "doc"], "n", "before", "whole")
+    # A document weighs so much at least that a block's weight bounds its documents too.
+    weighed = docs.withColumn("weight", F.greatest("n", F.lit(-(-BLOCK // DOCS_IN_BLOCK)).cast("bigint")))
+    placed = ordered.cumulative(weighed, ["crowd"], ["n", "doc"], "weight", "before", "whole")
     blocks = stage(placed.select("crowd", "doc", "n", F.expr(f"before div {BLOCK}").alias("block")), "near-blocks")
     spans = stage(blocks.groupBy("crowd", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "near-spans")
     one = spans.select("crowd", F.col("block").alias("i"), F.col("high").alias("most"))
     two = spans.select("crowd", F.col("block").alias("j"), F.col("low").alias("least"))
     cells = one.join(two, "crowd").filter(f"i <= j and {SHARED} * most >= {ALL} * least").select("crowd", "i", "j")
     ends = F.array_distinct(F.array("i", "j"))
-    wanted = cells.select("crowd", F.concat_ws("/", "crowd", "i", "j").alias("cell"), F.explode(ends).alias("block"))
-    rows = sets.join(blocks.select("doc", "crowd", "block"), "doc").join(wanted, ["crowd", "block"]).select("cell", "doc", "shingles")
+    wanted = cells.select("crowd", "i", F.concat_ws("/", "crowd", "i", "j").alias("cell"), F.explode(ends).alias("block"))
+    rows = sets.join(blocks.select("doc", "crowd", "block"), "doc").join(wanted, ["crowd", "block"]).select("cell", "doc", "shingles", (F.col("block") != F.col("i")).alias("other"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, held = None, ([], [])
         for batch in batches:
-            for name, doc, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if name != cell and held:
-                    yield _reached(held)
-                    held = []
+            for name, doc, blob, other in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != cell and held[0]:
+                    yield _reached(*held)
+                    held = ([], [])
                 cell = name
-                held.append((doc, np.frombuffer(blob, _U)))
-        if held:
-            yield _reached(held)
+                held[other].append((doc, np.frombuffer(blob, _U)))
+        if held[0]:
+            yield _reached(*held)
 
     return rows.repartition("cell").sortWithinPartitions("cell", "doc").mapInArrow(work, "a bigint, b bigint")
 
 
-def _reached(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """(smallest document reached, document) within one cell, for the documents that reach another."""
-    docs, n = np.array([d for d, _ in held]), np.array([len(s) for _, s in held])
-    known, column, often = np.unique(np.concatenate([s for _, s in held]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(n)), n)
-    # Only shingles that two documents have count; they are numbered anew and taken in strips.
-    number = np.cumsum(often > 1) - 1
-    live = often[column] > 1
-    row, column = row[live], number[column[live]]
+def _incidence(sets: list[np.ndarray], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and place in ``known`` of all shingles that are known, by place."""
+    all_, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    live = in_set(all_, known)
+    row, column = row[live], np.searchsorted(known, all_[live])
     by = np.argsort(column, kind="stable")
-    row, column = row[by], column[by]
-    shared = np.zeros((len(n), len(n)), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
-        a, b = np.searchsorted(column, [at, at + STRIP])
-        strip = np.zeros((len(n), STRIP), np.float32)
-        strip[row[a:b], column[a:b] - at] = 1
-        shared += strip @ strip.T
-    shared = shared.astype(np.int64)
-    links = SHARED * shared >= ALL * (n[:, None] + n[None, :] - shared)
-    low = np.arange(len(n))
-    a, b = np.nonzero(links)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    some = low != np.arange(len(n))
-    return pa.RecordBatch.from_arrays([pa.array(docs[low[some]]), pa.array(docs[some])], ["a", "b"])
+    return row[by], column[by]
+
+
+def _linking(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``one`` links with each of ``two``, a byte a pair."""
+    same = one is two
+    known, often = np.unique(np.concatenate(one), return_counts=True)
+    # Only shingles that can meet count; they are numbered anew and taken in strips.
+    known = known[often > 1] if same else known[in_set(known, np.unique(np.concatenate(two)))]
+    sides = [_incidence(one, known)]
+    sides.append(sides[0] if same else _incidence(two, known))
+    shared = np.zeros((len(one), len(two)), np.int32)
+    for at in range(0, len(known), STRIP):
+        width = min(STRIP, len(known) - at)
+        strips = []
+        for (row, column), n in zip(sides, shared.shape):
+            a, b = np.searchsorted(column, [at, at + width])
+            strip = np.zeros((n, width), np.float32)
+            strip[row[a:b], column[a:b] - at] = 1
+            strips.append(strip)
+        for a in range(0, len(one), ROWS):
+            # A product counts to STRIP at most, which a float32 holds exactly.
+            shared[a : a + ROWS] += (strips[0][a : a + ROWS] @ strips[1].T).astype(np.int32)
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (one, two))
+    links = np.zeros(shared.shape, bool)
+    for a in range(0, len(one), ROWS):
+        part = shared[a : a + ROWS].astype(np.int64)
+        links[a : a + ROWS] = SHARED * part >= ALL * (n[a : a + ROWS, None] + m[None, :] - part)
+    return links
+
+
+def _reached(one: list[tuple[int, np.ndarray]], two: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """(smallest document reached, document) by links within one block or, with ``two``, between two blocks."""
+    same = not two
+    two = one if same else two
+    docs, others = (np.array([d for d, _ in side], np.int64) for side in (one, two))
+    sets = [s for _, s in one]
+    links = _linking(sets, sets if same else [s for _, s in two])
+    if same:
+        np.fill_diagonal(links, False)
+    seen, met = np.zeros(len(docs), bool), np.zeros(len(others), bool)
+    low: dict[int, int] = {}
+    for row in np.flatnonzero(links.any(axis=1)).tolist():
+        if seen[row]:
+            continue
+        # Breadth first between the two sides; every row and column is taken once.
+        new, rows, columns = np.array([row]), [], []
+        while len(new):
+            seen[new] = True
+            rows.append(new)
+            reach = np.flatnonzero(links[new].any(axis=0) & ~met)
+            met[reach] = True
+            columns.append(reach)
+            new = np.flatnonzero(links[:, reach].any(axis=1) & ~seen)
+        whole = np.union1d(docs[np.concatenate(rows)], others[np.concatenate(columns)])
+        low.update(dict.fromkeys(whole[1:].tolist(), int(whole[0])))
+    return pa.RecordBatch.from_arrays([pa.array(list(low.values()), pa.int64()), pa.array(list(low), pa.int64())], ["a", "b"])
 
 
 def _joined(links: DataFrame) -> DataFrame:

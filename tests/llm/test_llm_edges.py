@@ -350,6 +350,30 @@ def test_near_crowd(spark, monkeypatch):
     assert 50 < sum(c == i for i, _, c in want) < 350
 
 
+def test_near_crowd_of_short_texts(spark):
+    """Texts on one template, of six shingles each, most of which link with nothing, under the template's keys."""
+    data = [(i, f"a{i} b{i} c d e f g h i j" if i % 50 else f"a{i} c d e f g h i j k{i % 100} l m n") for i in range(100_000)]
+    got = near.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string").repartition(16))
+    linked = {r["doc_id"]: r["component_id"] for r in got.filter("doc_id <> component_id").collect()}
+    assert linked == {i: i % 100 for i in range(100, 100_000, 50)}
+
+
+def test_near_cells_are_bounded():
+    """A cell of many short sets is judged without a matrix of longs of all its pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    sets = [np.sort(np.append(np.arange(4), rng.integers(10, 2**60, 2)).astype(np.uint64)) for _ in range(near.DOCS_IN_BLOCK)]
+    sets[900] = sets[3]
+    tracemalloc.start()
+    got = near._reached(list(enumerate(sets)), [])
+    crossed = near._reached(list(enumerate(sets[:500])), [(i + 500, s) for i, s in enumerate(sets[500:])])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == crossed.to_pylist() == [{"a": 3, "b": 900}]
+    assert peak < 16 * near.DOCS_IN_BLOCK**2
+
+
 @pytest.mark.parametrize("name,step", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, sf_dir, docs, none, name, step):
     """Every stage takes odd rows and empty tables; all but the last return the columns of their input."""
