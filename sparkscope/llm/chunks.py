@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkscope.llm.common import pieces_of, stage
+from sparkscope.llm.common import most_words, pieces_of, stage
 
 #: Text bytes in a chunk, about; one longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
-#: Key bits that name a bucket: keys of one bucket are a range.
+#: Key bits that name a bucket, at least: keys of one bucket are a range.
 BUCKET_BITS = 7
+#: Words of all texts for a bucket. A word gives at most two keys, and about half a one as a rule.
+BUCKET_WORDS = 2 << 20
 MESSAGE = "chunk bigint, kind int, bucket int, a binary, b binary, c binary"
 _TYPES = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 #: Kinds of messages, in the order in which a chunk's task meets them.
@@ -47,23 +49,30 @@ def unpack(blob: bytes) -> pa.RecordBatch:
 
 
 def chunked(docs: DataFrame, text: str, label: str) -> DataFrame:
-    """A written table of messages, one per chunk, each with all columns of its documents."""
+    """A written table of messages, one per chunk, each with all columns of its documents; ``b`` bounds its words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
         for n, piece in enumerate(pieces_of(batches, text, CHUNK_BYTES)):
-            yield messages([(base + n, DOCS, 0, pack(piece), None, None)])
+            words = most_words(piece.column(piece.schema.get_field_index(text)))
+            yield messages([(base + n, DOCS, 0, pack(piece), np.array([words], ">i8"), None)])
 
     return stage(docs.mapInArrow(work, MESSAGE), label)
 
 
-def by_bucket(rows: list[tuple], chunk: int, kind: int, key: np.ndarray, *more: np.ndarray) -> None:
-    """Append a message for each bucket that has some of these ascending keys."""
+def bucket_bits(chunks: DataFrame) -> int:
+    """Key bits that name a bucket, so that a bucket's share of the keys does not grow with the chunks."""
+    words = chunks.agg(F.sum(F.conv(F.hex("b"), 16, 10).cast("bigint"))).first()[0] or 0
+    return min(30, max(BUCKET_BITS, (-(-words // BUCKET_WORDS) - 1).bit_length()))
+
+
+def by_bucket(rows: list[tuple], chunk: int, kind: int, bits: int, key: np.ndarray, *more: np.ndarray) -> None:
+    """Append a message for each bucket, named by ``bits`` bits, that has some of these ascending keys."""
     if not len(key):
         return
-    bucket = (key >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)]])
     for a, b in zip(cuts[:-1], cuts[1:]):
         rows.append((chunk, kind, int(bucket[a]), *(list(x[a:b] for x in (key, *more)) + [None, None])[:3]))

@@ -146,6 +146,12 @@ _LOWER[65:91] += 32
 _U = np.uint64
 
 
+def most_words(column: pa.Array) -> int:
+    """A bound on the words of the texts of one array: its white space and a word more per text."""
+    at, data = offsets_of(column)
+    return int(np.count_nonzero(_SPACE[data[int(at[0]) : int(at[-1])]])) + len(column)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
     h = h.astype(_U, copy=True)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
-from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, answered, array_of, at_chunks, by_bucket, chunked, in_set, messages, notes, unpack
+from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, answered, array_of, at_chunks, bucket_bits, by_bucket, chunked, in_set, messages, notes, unpack
 from sparkscope.llm.common import Words, drop, mix, positions, recorded, shingle_hashes, stage, table
 from sparkscope.operators import ordered
 from sparkscope.operators.graph import components
@@ -134,6 +134,7 @@ def candidates(chunks: DataFrame, info: DataFrame, text: str) -> DataFrame:
     others all but ``need - 1`` are kept, the rarest first, in one order for all documents, so
     the blocks of passages that many texts share are the ones left out, and no link is lost.
     """
+    bits = bucket_bits(chunks)
 
     def chosen(sets: Shingles, by: dict) -> tuple[np.ndarray, np.ndarray]:
         note = array_of(by[NOTE], "a", np.int64).reshape(-1, 3)
@@ -146,7 +147,7 @@ def candidates(chunks: DataFrame, info: DataFrame, text: str) -> DataFrame:
             sets = Shingles(_column(unpack(row["a"]), text))
             keys, counts = np.unique(Sketches(sets, chosen(sets, by)[1]).key, return_counts=True)
             out: list[tuple] = []
-            by_bucket(out, chunk, ANSWER, keys, counts > 1)
+            by_bucket(out, chunk, ANSWER, bits, keys, counts > 1)
             yield messages([(*x[:4], np.packbits(x[4]), None) for x in out])
 
     shared = answered(at_chunks([info, chunks], ask, chunks.schema), _several, "near-shared")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sparkscope.llm import query
-from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, SECOND, answered, array_of, at_chunks, by_bucket, chunked, in_set, messages, notes, unpack
+from sparkscope.llm.chunks import ANSWER, DOCS, NOTE, SECOND, answered, array_of, at_chunks, bucket_bits, by_bucket, chunked, in_set, messages, notes, unpack
 from sparkscope.llm.common import Words, binary_array, mix, named, plain, positions, shingle_hashes, stage, table, without
 
 WINDOW = 20
@@ -133,6 +133,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     docs = without(docs, ADDED)
     chunks = chunked(docs, text, "repeat-chunks")
+    bits = bucket_bits(chunks)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +158,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
                 _, anchor = Places(_texts(row, text)[1]).anchors()
                 keys, counts = np.unique(anchor, return_counts=True)
                 out: list[tuple] = []
-                by_bucket(out, row["chunk"], ANSWER, keys, np.minimum(counts, 65_535).astype(np.uint16))
+                by_bucket(out, row["chunk"], ANSWER, bits, keys, np.minimum(counts, 65_535).astype(np.uint16))
                 yield messages(out)
 
     shared = answered(chunks.mapInArrow(ask_anchors, chunks.schema), _shared, "repeat-anchors")
@@ -166,7 +167,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         for row in by.get(DOCS, []):
             own = Asked(Places(_texts(row, text)[1]), array_of(by[NOTE], "a", np.int64).reshape(-1, 3), np.sort(array_of(by.get(ANSWER, []), "a", _U)))
             out: list[tuple] = []
-            by_bucket(out, chunk, SECOND, own.one, own.two, own.least)
+            by_bucket(out, chunk, SECOND, bits, own.one, own.two, own.least)
             yield messages(out)
 
     later = answered(at_chunks([info, shared, chunks], ask_windows, chunks.schema), _earliest, "repeat-windows")

@@ -9,10 +9,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm import brute
-from sparkscope.llm import bpe, chat, exact, near, packing, quality, sharding, substring, tokens, topk
+from sparkscope.llm import bpe, chat, chunks, exact, near, packing, quality, sharding, substring, tokens, topk
 from sparkscope.llm.common import Words
 from sparkscope.llm.encoder import ByteLevel, WordLevel, encoder
 
@@ -374,6 +375,27 @@ def test_near_cells_are_bounded():
     assert peak < 16 * near.DOCS_IN_BLOCK**2
 
 
+def test_buckets_grow_with_the_words(spark, monkeypatch):
+    """More words make more buckets, not larger ones, and the results stay."""
+    data = [(i, prose(i // 3, 120)) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)
+    most: list[int] = []
+
+    def answered(asked, answer, label):
+        sizes = asked.groupBy("bucket").agg(F.sum(F.length("a") / 8).alias("n")).collect()
+        most.append(max((r["n"] for r in sizes), default=0))
+        return chunks.answered(asked, answer, label)
+
+    monkeypatch.setattr(chunks, "BUCKET_WORDS", 100)
+    monkeypatch.setattr(near, "answered", answered)
+    monkeypatch.setattr(substring, "answered", answered)
+    got = near.near_duplicates(df).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute.components(data)
+    got = substring.remove_repeats(df).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], (r["text"] or "").encode()) for r in got) == brute.repeats(data)
+    assert len(most) == 3 and max(most) < 100
+
+
 @pytest.mark.parametrize("name,step", corpus_pipeline.STAGES, ids=[n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, sf_dir, docs, none, name, step):
     """Every stage takes odd rows and empty tables; all but the last return the columns of their input."""
