@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for every operator and stage."""
 
 import functools
+import hashlib
 import random
 import zlib
 
@@ -241,6 +242,31 @@ def test_chat(spark):
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_segments(spark):
+    """A conversation with most of the rows, and the one without an id, are formatted in bounded pieces by many tasks."""
+    data = [(3 if i % 3 else None, i // 2, "user" if i % 2 else "assistant", f"{i}ß <|end|>" * (i % 9)) for i in range(6000)] + [(4, 1, None, None)]
+    df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    # Else AQE makes one task of so few bytes.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        segments = chat.format_segments(df, limit=2_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(len(r["formatted"].encode()) for r in segments) < 4_000
+    assert len({r["segment"] >> 32 for r in segments if r["conv_id"] == 3}) > 2
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_segments(df, limit=2_000)).collect()}
+    whole = {r["conv_id"]: r["formatted"] for r in chat.format_chats(df).collect()}
+    assert set(got) == set(whole) == {3, 4, None}
+    for c, r in got.items():
+        own = sorted((t, p or "", x or "") for i, t, p, x in data if i == c)
+        loss = "".join(x for _, p, x in own if p == "assistant")
+        said = "".join(f"{p}\n{x}\n" for _, p, x in own)
+        assert r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and r["n_turns"] == len(own)
+        assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert r["formatted_chars"] == len(whole[c])
+        assert "".join(x["formatted"] for x in sorted((x for x in segments if x["conv_id"] == c), key=lambda x: x["segment"])) == whole[c]
+
+
 def test_quality(spark, docs, none):
     label = "doc_id bigint, quality int, toxic int"
     bad = [(100 + i, "BUY!! NOW!! " * 20) for i in range(30)] + [(200 + i, prose(i, 50) + " vile words") for i in range(30)]
