@@ -152,3 +152,30 @@ def test_pipeline_is_its_stages(spark, sf_dir):
     got = [r.asDict() | {"ids_crc32": zlib.crc32(r["ids"])} for r in corpus_pipeline.run(spark, sf_dir).collect()]
     check_packed(got, ids)
     assert np.array([r["length"] for r in got]).max() <= 4096
+
+
+def test_op8_is_its_models_row_by_row(spark, sf_dir):
+    """Ratios, scores and kept rows of op8, and the rows the stage keeps, against sums in plain Python over the models' weights."""
+    import pyarrow as pa
+
+    from sparkscope.llm import quality
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    models = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert models
+    weights = [dict(zip(m.bucket.tolist(), m.weight.tolist())) for m in models]
+    want, noise = {}, {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.gumbel("doc_id", 5).alias("g")).collect()}
+    for key, text, _ in documents(sf_dir):
+        grams = [m.kind.grams(pa.array([text], pa.string()))[1].tolist() for m in models]
+        ratio = min(sum(w.get(g, 0.0) for g in own) - m.cut for m, w, own in zip(models, weights, grams))
+        want[key] = (ratio, ratio * quality.SHARPNESS + noise[key])
+    k = sum(ratio >= 0 for ratio, _ in want.values())
+    kept = set(sorted(want, key=lambda i: -want[i][1])[:k])
+    assert 0 < k < len(want)
+    got = {r["doc_id"]: r for r in rows_of(spark, sf_dir, "op8_importance_resampling")}
+    assert set(got) == set(want)
+    for key, r in got.items():
+        assert (r["log_ratio"], r["score"]) == pytest.approx(want[key], abs=1e-6)
+    assert {key for key, r in got.items() if r["kept"]} == kept
+    stage = dict(corpus_pipeline.STAGES)["quality_classifier"]
+    assert {r["doc_id"] for r in stage(spark, docs, sf_dir).collect()} == kept
