@@ -23,6 +23,9 @@ PARTS = (
     "exact",
     "quality",
     "near",
+    "lines",
+    "phrases",
+    "whiten",
 )
 
 

@@ -80,3 +80,58 @@ def shards(rows, shards=16, seed=17):
         s = p * shards // n
         out[key] = (s, p - -(-s * n // shards))
     return out
+
+
+def line_dedup(rows, least=10):
+    """(id, lines, dropped, kept text) of (id, text) rows; ids may be null (the smallest) or repeat."""
+    blanks = " \t\n\x0b\x0c\r"
+    lower = lambda x: re.sub("[A-Z]", lambda m: m.group().lower(), x)
+    split = [(key is not None, key, (text or "").split("\n")) for key, text in rows]
+    holders = collections.defaultdict(set)
+    for there, key, lines in split:
+        for line in lines:
+            holders[lower(line.strip(blanks))].add((there, key or 0))
+    out = []
+    for there, key, lines in split:
+        kept = [x for x in lines if len(x.strip(blanks)) < least or min(holders[lower(x.strip(blanks))]) == (there, key or 0)]
+        out.append((key, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def collocations(rows, least=100, top=2000, contained=100):
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows."""
+    counts, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower):
+            w = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for k in range(1, 6):
+                counts[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        dropped = set()
+        for p, a in candidates.items():
+            parts = {p[i:j] for i in range(len(p)) for j in range(i + 2, len(p) + 1)} - {p}
+            dropped |= {q for q in parts if 100 * a >= contained * f[q]}
+        best = []
+        for p in candidates.keys() - dropped:
+            a = candidates[p]
+            score, k = min((1000 * a * total[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            best.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for i, (score, a, p, left, right) in enumerate(sorted(best)[:top]):
+            out.append((lang, i + 1, p.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+def whitened(vectors, k=8):
+    """n, deviations, whitened entries and explained shares of integer rows (any sign)."""
+    x = np.array(vectors, object)
+    n, sums = len(x), x.sum(0)
+    deviation = [int(v) for v in ((n * x - sums) ** 2).sum(1)]
+    centred = ((n * x - sums) / n).astype(float)
+    values, axes = np.linalg.eigh(centred.T @ centred / n)
+    values, axes = values[::-1][:k], axes[:, ::-1][:, :k]
+    return n, deviation, centred @ axes / np.sqrt(values), values / np.trace(centred.T @ centred / n)

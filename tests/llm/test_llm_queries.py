@@ -35,7 +35,7 @@ def test_matches_sql(spark, sf_dir, name):
 def test_registered():
     assert set(llm.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_op1(spark, sf_dir):
@@ -179,3 +179,24 @@ def test_op8_is_its_models_row_by_row(spark, sf_dir):
     assert {key for key, r in got.items() if r["kept"]} == kept
     stage = dict(corpus_pipeline.STAGES)["quality_classifier"]
     assert {r["doc_id"] for r in stage(spark, docs, sf_dir).collect()} == kept
+
+
+def test_op12(spark, sf_dir):
+    """Whole table against plain counts; the smallest scale has few phrases that frequent, so the next one is read too."""
+    rows = duckdb.sql("SELECT text, lang FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    want = brute.collocations(rows)
+    assert len(want) > 50
+    assert sorted(map(tuple, llm.QUERIES["op12_collocations"](spark, "/root/testdata/sf0.01").collect())) == want
+
+
+def test_op13(spark, sf_dir):
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{sf_dir}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    n, deviation, values, explained = brute.whitened([[int(np.floor(float(c) * 1024)) + 100_000 for c in v] for _, v in rows])
+    got = llm.QUERIES["op13_whitened"](spark, sf_dir).toPandas().sort_values(["component", "vec_id"])
+    assert len(got) == 8 * len(rows) and set(got.n) == {n}
+    for c, own in got.groupby("component"):
+        assert own.vec_id.tolist() == [key for key, _ in rows] and own.deviation.tolist() == deviation
+        sign = np.sign(own.whitened.to_numpy() @ values[:, c - 1])
+        assert np.abs(own.whitened * sign - values[:, c - 1]).max() < 1e-9
+        assert own.explained.to_numpy() == pytest.approx(explained[c - 1], rel=1e-9)
+    assert 0 <= got.identity_error.max() < 1e-9
