@@ -168,23 +168,50 @@ def test_encoders_match_their_libraries(texts):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library(t) for t in texts]
 
 
+def top_brute(rows, every, k):
+    """(query id, rank, vec_id, score) of (id, integer vector) rows; each row is a query or candidate of its own."""
+    out = []
+    for q, (key, v) in enumerate(rows):
+        if key % every == 0:
+            best = sorted((-int(v @ x), i) for r, (i, x) in enumerate(rows) if r != q)[:k]
+            out += [(key, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
-    vectors = {i: np.floor(rng.normal(size=8)).tolist() for i in range(150)}
-    vectors |= {i: [1.0] * 8 for i in range(150, 260)}  # ties
-    data = [(i, v) for i, v in vectors.items()]
+    data = [(i, np.floor(rng.normal(size=8)).tolist()) for i in range(150)]
+    data += [(i, [1.0] * 8) for i in range(150, 260)]  # ties
+    data += [(40, [2.0] * 8), (40, [2.0] * 8), (7, [1.0] * 8), (-20, [3.0] * 3)]  # repeated ids, a negative one, a short vector
     odd = [(300, None), (320, [1.0, None]), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(data + odd, "vec_id bigint, embedding array<float>")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
-    whole = {i: np.floor(np.array(v) * 64).astype(int) for i, v in vectors.items()}
-    want = []
-    for q in (i for i in whole if i % 20 == 0):
-        best = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q)[:10]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    df = spark.createDataFrame([(*r, "x", "y") for r in data + odd], "vec_id bigint, embedding array<float>, rank string, score string")
+    whole = [(i, np.floor(np.array([*v, *[0.0] * (8 - len(v))]) * 64).astype(int)) for i, v in data]
+    got = topk.top_k(df)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == top_brute(whole, 20, 20)
+    assert sorted(map(tuple, topk.top_k(df, every=7, k=3).collect())) == top_brute(whole, 7, 3)
     assert topk.top_k(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 64 * 128)]
+    bare = spark.createDataFrame([(0, []), (1, [])], few.schema)
+    assert [tuple(r) for r in topk.top_k(bare).collect()] == [(0, 1, 1, 0)]
+
+
+def test_top_k_ships_few_runs_of_clusters(spark, monkeypatch):
+    """Many runs: results as before, and runs of far clusters never meet."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "RUN", 2)
+    met, real = [], topk._pairs
+    monkeypatch.setattr(topk, "_pairs", lambda *a: met.append(real(*a)) or met[-1])
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4, 16)) * 40
+    x = centres[rng.integers(0, 4, 700)] + rng.normal(size=(700, 16))
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    whole = [(i, np.floor(np.array(v) * 64).astype(int)) for i, v in data]
+    assert sorted(map(tuple, topk.top_k(df, every=5, k=4).collect())) == top_brute(whole, 5, 4)
+    runs = -(-700 // 32)
+    assert 0 < met[0].count() < runs * (runs - 1) / 2
 
 
 def test_top_k_stops_early():
@@ -192,9 +219,9 @@ def test_top_k_stops_early():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 32)) * 300
     x = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 4).astype(np.int64)
-    pivots, queries = x[:32], x[:20]
-    best = topk.Best(np.arange(20), 10)
-    done = topk.search(best, queries, topk.distances(queries, pivots), np.arange(4000), x, topk.distances(x, pivots))
+    pivots, queries, rows = x[:32], x[:20], np.arange(4000)
+    best = topk.Best(rows[:20], 10)
+    done = topk.search(best, queries, topk.distances(queries, pivots), rows, rows, x, topk.distances(x, pivots))
     scores = queries @ x.T
     scores[np.arange(20), np.arange(20)] = -(10**15)
     assert (best.score == -np.sort(-scores, axis=1)[:, :10]).all()
