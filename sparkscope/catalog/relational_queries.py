@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
 from sparkscope.model import SERIES_SQL, SPANS_SQL, series, spans, table
-from sparkscope.operators import ordered, relational as rel
+from sparkscope.operators import intervals, ordered, relational as rel
 from sparkscope.session import small_side
 
 S = f"WITH s AS ({SERIES_SQL}) "
@@ -107,13 +107,12 @@ _BANDS = "SELECT n_nationkey AS band, n_nationkey * 20.0 AS low, n_nationkey * 2
 
 @query("join_theta", f"SELECT event_id AS id, band, value FROM events JOIN ({_BANDS}) b ON value >= low AND value < high")
 def join_theta(spark, d):
-    """Match each value to its band; the band table is a dimension of checked size."""
+    """Match each value to its band, by the slots of both."""
     bands = table(spark, d, "nation").selectExpr(
         "n_nationkey AS band", "CAST(n_nationkey * 20 AS DOUBLE) AS low", "CAST(n_nationkey * 20 + 20 AS DOUBLE) AS high"
     )
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), "value")
-    b = small_side(bands, max_rows=10_000)
-    return e.join(b, (e.value >= b.low) & (e.value < b.high)).select("id", "band", "value")
+    return intervals.join(e, bands, "value", "low", "high").select("id", "band", "value")
 
 
 @query(

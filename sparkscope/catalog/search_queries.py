@@ -116,7 +116,7 @@ def ten_scope(spark, d):
 
 RESOURCES = ["cpu_cores", "connections", "requests_per_second", "memory_bytes"]
 USAGE_SQL = """SELECT CAST(user_id AS VARCHAR) AS tenant_id, sum(value) / 1000 AS cpu_cores, CAST(count(*) AS DOUBLE) AS connections, count(DISTINCT date_trunc('hour', ts)) * 10.0::DOUBLE AS requests_per_second, sum(value) * 250000 AS memory_bytes FROM events GROUP BY 1"""
-QUOTA_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS tenant_id, 2 + c_custkey % 4 AS cpu_cores, 60 + c_custkey % 30 AS connections, NULL AS requests_per_second, NULL AS memory_bytes FROM customer WHERE c_custkey % 3 <> 0"
+QUOTA_SQL = "SELECT CAST(c_custkey AS VARCHAR) AS tenant_id, 2 + c_custkey % 4 AS cpu_cores, 60 + c_custkey % 30 AS connections, NULL AS requests_per_second, NULL AS memory_bytes FROM customer"
 LIMITS = f"""WITH u AS ({USAGE_SQL}), q AS ({QUOTA_SQL}), l AS (SELECT u.tenant_id, unnest(['cpu_cores', 'connections', 'requests_per_second', 'memory_bytes']) AS resource, unnest([u.cpu_cores, u.connections, u.requests_per_second, u.memory_bytes]) AS used,
     unnest([coalesce(q.cpu_cores, 1)::DOUBLE, coalesce(q.connections, 100)::DOUBLE, coalesce(q.requests_per_second, 1000)::DOUBLE, coalesce(q.memory_bytes, 1073741824)::DOUBLE]) AS quota FROM u LEFT JOIN q ON u.tenant_id = q.tenant_id) """
 _LEVEL = "CASE WHEN {p} >= 95 THEN 'critical' WHEN {p} >= 80 THEN 'warning' ELSE 'normal' END"
@@ -132,7 +132,7 @@ def usage(spark, d):
 
 
 def quotas(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 3 <> 0")
+    c = table(spark, d, "customer")
     none = F.lit(None).cast("double")
     return c.select(
         F.col("c_custkey").cast("string").alias("tenant_id"),

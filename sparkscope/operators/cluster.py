@@ -1,28 +1,26 @@
 """Window features and clusterings of points ``(id, x array<double>)``.
 
-Neighbour searches put points on a grid of cells as wide as the search radius and cut
-each cell into blocks of bounded size; a task compares one pair of blocks from the same
-or neighbouring cells. Tasks return per-point results (counts, nearest neighbours, one
-link per point), never the pairs.
+Neighbour searches (:mod:`sparkscope.operators.space`) put points into blocks of neighbours; a task
+compares one pair of blocks whose boxes are within reach. Tasks return per-point or per-tree results (counts,
+nearest neighbours, one link per point), never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkscope.operators import ordered
+from sparkscope.operators import ordered, space
 from sparkscope.operators.graph import components
 from sparkscope.operators.series import index
 from sparkscope.session import stage
 
 BLOCK = 2_048
-GRID_DIMS = 3
 FEATURES = ["mean", "std_dev", "value_range", "trend", "seasonality"]
 
 
@@ -78,78 +76,46 @@ def window_features(df: DataFrame, block: int = 16_384) -> DataFrame:
 # -- neighbour search ------------------------------------------------------------------
 
 
-def _blocks(points: DataFrame, side: float, dims: int, block: int) -> DataFrame:
-    """Points with their grid cell and the number of their block in that cell."""
-    cell = F.transform(F.slice("x", 1, dims), lambda v: F.floor(v / side))
-    placed = points.withColumn("_cell", cell)
-    return ordered.indexed(placed, ["_cell"], ["id"], "_i").withColumn("_part", F.floor(F.col("_i") / block)).drop("_i")
-
-
-def _near_cells(cell: Column, dims: int) -> Column:
-    """The cell and its neighbours."""
-    out = F.array(F.array().cast("array<bigint>"))
-    for k in range(dims):
-        out = F.flatten(
-            F.transform(
-                out,
-                lambda head: F.transform(
-                    F.array(*[F.lit(s) for s in (-1, 0, 1)]), lambda s: F.concat(head, F.array(cell[k] + s))
-                ),
-            )
-        )
-    return out
-
-
-def block_pairs(
-    points: DataFrame, radius: float, compare: Callable, schema: str, block: int = BLOCK, targets: Column | None = None
-) -> DataFrame:
-    """Run ``compare(a, b, distances)`` on every pair of blocks that may lie within ``radius``.
-
-    Cells are at least as wide as the radius, and wide enough to hold about an eighth of a
-    block if the points were spread evenly.
+def block_pairs(points: DataFrame, radius: float, compare: Callable, schema: str, block: int | None = None) -> DataFrame:
+    """Run ``compare(a, b, distances)`` on every pair of blocks that may hold points within ``radius``.
 
     ``a`` and ``b`` are frames of points, ``distances`` the matrix between them. Each
-    point of ``a`` meets every point within the radius in one of its pairs. With
-    ``targets`` only the points where it holds take the side of ``a``.
+    point of ``a`` meets every point within the radius, itself too, in one of its pairs; points of ``a`` with nothing of
+    ``b`` in reach may be missing there.
     """
-    dims = min(GRID_DIMS, len(points.select("x").first()["x"]))
-    extra = [f.name for f in points.schema.fields if f.name not in ("id", "x")]
-    side = max(radius, _even_radius(points, points.count(), block // 8))
-    placed = stage(_blocks(points, side, dims, block), "blocks")
-    wanted = placed if targets is None else placed.filter(targets)
-    here = wanted.select("_cell", "_part").distinct()
-    there = placed.select("_cell", "_part").distinct()
-    near = here.withColumn("_near", F.explode(_near_cells(F.col("_cell"), dims)))
-    pairs = near.alias("h").join(
-        there.alias("t"), F.col("h._near") == F.col("t._cell")
-    ).select(
-        F.col("h._cell").alias("_ca"), F.col("h._part").alias("_pa"), F.col("t._cell").alias("_cb"), F.col("t._part").alias("_pb")
-    )
-    keys = ["_ca", "_pa", "_cb", "_pb"]
-    side_a = wanted.withColumnsRenamed({"_cell": "_ca", "_part": "_pa"}).join(pairs, ["_ca", "_pa"])
-    side_b = placed.withColumnsRenamed({"_cell": "_cb", "_part": "_pb"}).join(pairs, ["_cb", "_pb"])
-    cols = [*keys, "id", "x", *extra]
-    both = side_a.select(*cols, F.lit(True).alias("_a")).unionByName(side_b.select(*cols, F.lit(False).alias("_a")))
+    placed = space.blocks(points, block or BLOCK)
+    kind = F.lit(None).cast("bigint").alias("kind")
+    box = stage(space.boxes(placed).select("*", kind), "boxes")
+    pairs = space.near(box.withColumn("reach", F.lit(float(radius))), box)
+    return space.compared(pairs, placed.withColumn("_reach", F.lit(float(radius))), placed, compare, schema)
+
+
+def _closest(k: int) -> Callable:
+    """The ``k`` nearest others of each point of ``a`` among ``b``."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["_a"]], rows[~rows["_a"]]
-        xa, xb = np.vstack(a["x"].to_numpy()), np.vstack(b["x"].to_numpy())
-        squared = np.zeros((len(xa), len(xb)))
-        for k in range(xa.shape[1]):
-            squared += (xa[:, k][:, None] - xb[:, k][None, :]) ** 2
-        return compare(a, b, np.sqrt(squared))
+    def best(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
+        ids, others = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+        out = []
+        for row, own in enumerate(ids):
+            reach = distances[row]
+            if len(reach) > 4 * k:  # no farther than the (k + 1)-th, ties included
+                ok = np.flatnonzero(reach <= np.partition(reach, k)[k])
+            else:
+                ok = np.arange(len(reach))
+            ok = ok[others[ok] != own]
+            ok = ok[np.lexsort((others[ok], reach[ok]))[:k]]
+            out.append((np.full(len(ok), own), reach[ok], others[ok]))
+        columns = [np.concatenate(c) for c in zip(*out)]
+        return pd.DataFrame(dict(zip(("id", "distance", "other"), columns)))
 
-    # A fixed number of partitions: the work per pair is large for its bytes.
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(parts, *keys).groupBy(*keys).applyInPandas(run, schema)
+    return best
 
 
 def nearest(points: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest other points of each point, as array ``near`` of (distance, other).
 
-    A point takes its k best among its own and the neighbouring cells; they are final when
-    the k-th is no farther than a cell is wide, as nothing closer can lie outside. The
-    other points search again in cells as wide as their worst k-th distance so far.
+    Its own block gives each point ``k`` others that bound the search: only blocks whose box is no farther
+    than a point's k-th distance so far can hold a nearer one, and only such points are compared with them.
     """
     points = stage(points.select("id", "x"), "points")
     n = points.count()
@@ -157,50 +123,21 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
     if k < 1:  # nobody has another point
         none = F.array().cast("array<struct<distance: double, other: bigint>>")
         return points.select("id", none.alias("near"))
-    side = _even_radius(points, n, BLOCK // 8)
-
-    def best_of(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        out = []
-        for row, own in enumerate(ids):
-            ok = np.flatnonzero(others != own)
-            ok = ok[np.lexsort((others[ok], distances[row, ok]))[:k]]
-            out.append(pd.DataFrame({"id": own, "distance": distances[row, ok], "other": others[ok]}))
-        return pd.concat(out)
-
+    schema = "id bigint, distance double, other bigint"
+    placed = space.blocks(points, BLOCK)
+    own = placed.select("_block").distinct().select(F.col("_block").alias("a"), F.col("_block").alias("b"))
+    first = stage(space.compared(own, placed, placed, _closest(k), schema), "near")
+    reach = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_reach"))
+    bounded = stage(placed.join(reach, "id", "left").withColumn("_reach", F.coalesce("_reach", F.lit(float("inf")))), "bounded")
+    box = stage(space.boxes(bounded, F.max("_reach").alias("reach")).withColumn("kind", F.col("_block")), "boxes")
+    pairs = space.near(box, box)
+    found = first.unionByName(space.compared(pairs, bounded, placed, _closest(k), schema))
     # The rank limit also applies per task before the shuffle, so a point in a crowded
     # place sends k rows per task and not k rows per block.
     closest = Window.partitionBy("id").orderBy("distance", "other")
-    done = None
-    marked = points.withColumn("_open", F.lit(True))
-    while True:
-        found = block_pairs(marked, side, best_of, "id bigint, distance double, other bigint", targets=F.col("_open"))
-        best = found.withColumn("_r", F.row_number().over(closest)).filter(F.col("_r") <= k)
-        lists = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near"))
-        lists = stage(lists, "near")
-        reach = F.element_at("near", -1)["distance"]
-        ready = lists.filter((F.size("near") >= k) & (reach <= side))
-        done = ready if done is None else done.unionByName(ready)
-        left = stage(points.select("id").join(done.select("id"), "id", "left_anti"), "open")
-        state = left.join(lists, "id", "left").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.when(F.size("near") >= k, reach)).alias("far"),
-            F.count_if(F.coalesce(F.size("near"), F.lit(0)) < k).alias("short"),
-        ).first()
-        if not state["n"]:
-            return done
-        side = max(state["far"] or 0.0, 4 * side if state["short"] else 0.0, side * 1.01)
-        marked = points.join(left.withColumn("_open", F.lit(True)), "id", "left").fillna(False, ["_open"])
-
-
-def _even_radius(points: DataFrame, n: int, k: int) -> float:
-    """A radius that holds about ``k`` points if they were spread evenly over the grid dimensions."""
-    dims = min(GRID_DIMS, len(points.first()["x"]))
-    spans = points.agg(*[(F.max(F.col("x")[d]) - F.min(F.col("x")[d])).alias(f"s{d}") for d in range(dims)]).first()
-    widths = [float(s) for s in spans if s]
-    if not widths:
-        return 1.0
-    return float(np.prod(widths) * k / n) ** (1 / len(widths))
+    best = found.withColumn("_r", F.row_number().over(closest)).filter(F.col("_r") <= k)
+    lists = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near"))
+    return stage(lists, "near")
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -307,97 +244,71 @@ def dbscan(points: DataFrame, eps: float | None = None, min_points: int | None =
     return everything.join(known, "x", "left").select("id", "x", F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"))
 
 
-def _forest(points: DataFrame, radius: float) -> DataFrame:
-    """Edges that hold every minimum spanning forest edge up to ``radius``.
-
-    Each pair of blocks returns its own spanning forest; an edge that is not in one of
-    those closes a longer cycle and cannot be in the whole forest.
+def _ways(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
+    """For each tree of ``a`` its shortest edge to a point of another tree in ``b``; equal ones by the smaller ids."""
+    ta, tb = a["tree"].to_numpy(np.int64), b["tree"].to_numpy(np.int64)
+    ia, ib = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+    out = np.where(ta[:, None] != tb[None, :], distances, np.inf)
+    w = out.min(1)
+    rows = np.flatnonzero(np.isfinite(w))
+    top = np.iinfo(np.int64).max
+    same = out[rows] == w[rows, None]
+    low = np.where(same, np.minimum(ia[rows, None], ib[None, :]), top).min(1)
+    same &= np.minimum(ia[rows, None], ib[None, :]) == low[:, None]
+    high = np.where(same, np.maximum(ia[rows, None], ib[None, :]), top).min(1)
+    order = np.lexsort((high, low, w[rows], ta[rows]))
+    first = order[np.unique(ta[rows][order], return_index=True)[1]]
+    return pd.DataFrame({"tree": ta[rows][first], "w": w[rows][first], "a": low[first], "b": high[first]})
+
+
+def _spanning(points: DataFrame, block: int) -> DataFrame:
+    """The edges (a, b, w) of the minimum spanning tree; of equal lengths the smaller (a, b) counts as shorter.
+
+    In each round every tree takes its shortest edge to a point outside. Edges inside blocks, and for trees that
+    fill their blocks the block nearest to one of theirs, give each tree an upper bound; then only blocks
+    whose boxes are nearer than that are searched, and blocks that lie in one and the same tree never meet. So
+    the inside of a cluster is not searched for its way out, and an outlier costs its own search only. Trees halve
+    in number each round at least.
     """
-
-    def forest(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()]))
-        pos_a, pos_b = np.searchsorted(ids, a["id"].to_numpy()), np.searchsorted(ids, b["id"].to_numpy())
-        m = len(ids)
-        weight = np.full((m, m), np.inf)
-        weight[np.ix_(pos_a, pos_b)] = distances
-        weight = np.minimum(weight, weight.T)
-        weight[weight > radius] = np.inf
-        np.fill_diagonal(weight, np.inf)
-        best, source, inside = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        edges = []
-        for _ in range(m):
-            open_ = np.where(inside, np.inf, best)
-            node = int(open_.argmin())
-            if not np.isfinite(open_[node]):
-                node = int(np.flatnonzero(~inside)[0])
-            else:
-                edges.append((int(ids[source[node]]), int(ids[node]), float(best[node])))
-            inside[node] = True
-            closer = weight[node] < best
-            best[closer], source[closer] = weight[node][closer], node
-        return pd.DataFrame(edges, columns=["a", "b", "w"])
-
-    raw = block_pairs(points, radius, forest, "a bigint, b bigint, w double")
-    return raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct()
-
-
-def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The edges of one partition that are in its own minimum spanning forest."""
-    edges = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": [], "w": []})])
-    edges = edges.sort_values(["w", "a", "b"])
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    keep = []
-    for a, b in zip(edges["a"], edges["b"]):
-        ra, rb = root(a), root(b)
-        keep.append(ra != rb)
-        parent[ra] = rb
-    yield edges[np.array(keep, dtype=bool)]
-
-
-def _spanning(edges: DataFrame, points: DataFrame) -> DataFrame:
-    """The minimum spanning forest of an edge table.
-
-    Partitions first drop what closes a cycle among their own edges. If a forest is left
-    it is the answer, else there are rounds in which every tree takes its shortest way out.
-    """
-    edges = stage(edges.mapInPandas(_local_forest, "a bigint, b bigint, w double"), "edges")
-    trees = components(edges.select("a", "b")).agg(F.count(F.lit(1)) - F.countDistinct("component")).first()[0]
-    if edges.count() == trees:
-        return edges
-    labels = points.select(F.col("id").alias("node"), F.col("id").alias("component"))
+    placed = space.blocks(points, block)
+    fixed = stage(space.boxes(placed), "boxes")
+    labels = placed.select("id", F.col("id").alias("tree"))
+    schema = "tree bigint, w double, a bigint, b bigint"
+    shortest = F.min(F.struct("w", "a", "b")).alias("e")
     taken = None
     while True:
-        tree = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias("t" + side))
-        open_ = edges.join(tree("a"), "a").join(tree("b"), "b").filter("ta <> tb")
-        ways = open_.select(F.col("ta").alias("t"), "a", "b", "w", "ta", "tb").unionByName(
-            open_.select(F.col("tb").alias("t"), "a", "b", "w", "ta", "tb")
-        )
-        picked = ways.groupBy("t").agg(F.min(F.struct("w", "a", "b", "ta", "tb")).alias("e")).select("e.*").distinct()
-        picked = stage(picked, "picked")
-        if picked.isEmpty():
-            return taken if taken is not None else picked.select("a", "b", "w")
-        one = picked.select("a", "b", "w")
+        now = stage(placed.join(labels, "id"), "trees")
+        low, high = F.min("tree").alias("_low"), F.max("tree").alias("_high")
+        kinds = now.groupBy("_block").agg(low, high)
+        box = fixed.join(kinds, "_block").withColumn("kind", F.when(F.col("_low") == F.col("_high"), F.col("_low")))
+        box = stage(box.drop("_low", "_high"), "kinds")
+        own = box.filter("kind IS NULL").select(F.col("_block").alias("a"), F.col("_block").alias("b"))
+        inside = stage(space.compared(own, now, now, _ways, schema), "ways")
+        # Trees that fill all their blocks: the nearest box that holds something else.
+        closed = box.filter("kind IS NOT NULL").join(inside.select(F.col("tree").alias("kind")).distinct(), "kind", "left_anti")
+        seeds = space.near(closed.withColumn("reach", F.lit(float("inf"))), box, nearest=True)
+        seeds = seeds.join(closed.select(F.col("_block").alias("a"), "kind"), "a").groupBy("kind").agg(F.min(F.struct("gap", "a", "b")).alias("s")).select("s.a", "s.b")
+        first = stage(inside.unionByName(space.compared(seeds, now, now, _ways, schema)).groupBy("tree").agg(shortest), "bounds")
+        if first.isEmpty():  # one tree
+            return taken if taken is not None else first.select("e.a", "e.b", "e.w")
+        bounded = stage(now.join(first.select("tree", F.col("e.w").alias("_reach")), "tree"), "bounded")
+        heads = box.join(bounded.groupBy("_block").agg(F.max("_reach").alias("reach")), "_block")
+        pairs = space.near(heads, box).filter("a <> b")
+        found = first.select("tree", "e.*").unionByName(space.compared(pairs, bounded, now, _ways, schema))
+        picked = stage(found.groupBy("tree").agg(shortest).select("tree", "e.*"), "picked")
+        one = picked.select("a", "b", "w").distinct()
         taken = one if taken is None else taken.unionByName(one)
-        merged = components(picked.select(F.col("ta").alias("a"), F.col("tb").alias("b")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-        labels = stage(
-            labels.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component")),
-            "trees",
-        )
+        # Trees joined by a picked edge become one.
+        tree = lambda side: labels.select(F.col("id").alias(side), F.col("tree").alias("t" + side))
+        merged = components(picked.join(tree("a"), "a").join(tree("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))
+        labels = labels.join(merged.select(F.col("node").alias("tree"), "component"), "tree").select("id", F.col("component").alias("tree"))
+        labels = stage(labels, "labels")
 
 
 def single_link(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """Merge the closest clusters until ``k`` are left; the label is the smallest id in the cluster.
 
-    That is the minimum spanning tree without its ``k - 1`` longest edges. The tree grows
-    with the search radius until what is missing could only be longer edges.
+    That is the minimum spanning tree without its ``k - 1`` longest edges.
     """
     everything = points.select("id", "x")
     points = stage(distinct_points(everything).select("id", "x"), "places")
@@ -408,17 +319,10 @@ def single_link(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
         n = points.count()
         if n <= k:
             return everything.withColumn("label", F.col("id"))
-    radius = _even_radius(points, n, min(8, n - 1))
-    while True:
-        tree = stage(_spanning(_forest(points, radius), points), "tree")
-        pieces = n - tree.count()
-        if pieces <= k:
-            break
-        radius *= 2
-    cut = k - pieces
+    tree = stage(_spanning(points, block), "tree")
     kept = tree
-    if cut:
-        longest = tree.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(cut)
+    if k > 1:
+        longest = tree.orderBy(F.desc("w"), F.desc("a"), F.desc("b")).limit(k - 1)
         kept = tree.join(longest, ["a", "b", "w"], "left_anti")
     labels = components(kept.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("label"))
     labelled = points.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -427,23 +331,93 @@ def single_link(points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     return everything.join(labelled.select("x", "label"), "x").select("id", "x", "label")
 
 
-def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
-    """Power iteration on Gaussian affinities of nearest neighbours; sigma is their median distance.
-
-    Copies of a point share the label of their place; a single place has label 0.
-    """
-    places = stage(distinct_points(points.select("id", "x")).select("id", "x"), "places")
-    if len(places.take(2)) < 2:
-        return points.select("id", "x", F.lit(0).alias("label"))
+def _affinities(places: DataFrame, neighbours: int) -> DataFrame:
+    """Both directions (src, dst, m) of the normalised Gaussian affinities of nearest neighbours; sigma is their median distance."""
     near = stage(nearest(places, neighbours), "near")
     edges = near.select(F.col("id").alias("src"), F.inline("near")).select("src", F.col("other").alias("dst"), "distance")
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance").distinct()
     middle = ordered.values_at(pairs.withColumn("_all", F.lit(0)), ["_all"], "distance", {"sigma": lambda n: F.floor(n / 2)})
     sigma = float(middle.first()["sigma"]) or 1.0
-    weighted = pairs.withColumn("weight", F.exp(-F.pow("distance", F.lit(2)) / (2 * sigma * sigma)))
-    model = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight")
-    labels = model.assignClusters(weighted.select("src", "dst", "weight"))
-    placed = places.join(labels.select("id", F.col("cluster").alias("label")), "id").select("x", "label")
+    weighted = stage(pairs.withColumn("w", F.exp(-F.pow("distance", F.lit(2)) / (2 * sigma * sigma))), "weighted")
+    both = weighted.select("src", "dst", "w").unionByName(weighted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    degree = stage(both.groupBy("src").agg(F.sum("w").alias("d")).withColumnRenamed("src", "node"), "degrees")
+    out = both.join(degree.select(F.col("node").alias("src"), F.col("d").alias("_s")), "src")
+    out = out.join(degree.select(F.col("node").alias("dst"), F.col("d").alias("_t")), "dst")
+    return stage(out.select("src", "dst", (F.col("w") / F.sqrt(F.col("_s") * F.col("_t"))).alias("m")), "affinities")
+
+
+def _times(matrix: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (id, y, p) with ``my``, the rows of the matrix times y; written."""
+    sent = matrix.join(rows.select(F.col("id").alias("src"), "y"), "src")
+    none = F.lit(None).cast("array<double>")
+    parts = sent.select(F.col("dst").alias("id"), *[(F.col("m") * F.col("y")[j]).alias(f"s{j}") for j in range(width)], none.alias("y"), none.alias("p"))
+    own = rows.select("id", *[F.lit(0.0).alias(f"s{j}") for j in range(width)], "y", "p")
+    sums = parts.unionByName(own).groupBy("id").agg(
+        *[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)], F.max("y").alias("y"), F.max("p").alias("p")
+    )
+    return stage(sums.select("id", "y", "p", F.array(*[f"s{j}" for j in range(width)]).alias("my")), "times")
+
+
+def _products(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """y'y, y'My and (My)'My of all rows."""
+    y, my = [F.col("y")[j] for j in range(width)], [F.col("my")[j] for j in range(width)]
+    sums = rows.agg(*[F.sum(a[i] * b[j]) for a, b in ((y, y), (y, my), (my, my)) for i in range(width) for j in range(width)]).first()
+    return tuple(np.array(sums, float).reshape(3, width, width))
+
+
+def eigenvectors(matrix: DataFrame, nodes: DataFrame, k: int, tolerance: float = 1e-3, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
+    """Rows (id, v) of the ``k`` first eigenvectors of a symmetric table (src, dst, m) with eigenvalues in [-1, 1], and their values.
+
+    Orthogonal iteration on ``k`` and a few more vectors, which start from hashes of the ids. Between
+    orthogonalisations a Chebyshev polynomial of the matrix damps what lies below the wanted values. A product is one
+    join and one partial aggregate through a written table; the driver only sees matrices of a few numbers
+    a side. Stops when no wanted vector leaves a residual over ``tolerance``.
+    """
+    width = min(k + 3, nodes.count())
+    start = [(F.xxhash64("id", F.lit(j)) / float(2**63)).alias(f"y{j}") for j in range(width)]
+    none = F.lit(None).cast("array<double>")
+    rows = nodes.select("id", F.array(*start).alias("y"), none.alias("p"))
+    for turn in range(rounds):
+        found = _times(matrix, rows, width)
+        gram, mixed, square = _products(found, width)
+        values, axes = np.linalg.eigh(gram)
+        white = axes / np.sqrt(np.maximum(values, values.max() * 1e-14))
+        ritz, turned = np.linalg.eigh(white.T @ (mixed + mixed.T) / 2 @ white)
+        order = np.argsort(-ritz)
+        ritz, turn_by = ritz[order], white @ turned[:, order]
+        left = np.sqrt(np.maximum(np.diag(turn_by.T @ square @ turn_by) - ritz**2, 0))
+        mix = lambda c, n: F.array(*[sum(F.col(c)[i] * float(turn_by[i, j]) for i in range(width)) for j in range(n)])
+        if left[:k].max() <= tolerance or width == k or turn + 1 == rounds:
+            return stage(found.select("id", mix("y", min(k, width)).alias("v")), "eigenvectors"), ritz[:k]
+        # The polynomial is small on [-1, low] and grows above; not so steep that the vectors fall together.
+        low = float(min(ritz[-1], 1 - 1e-6))
+        middle, half = (low - 1) / 2, (low + 1) / 2 or 1e-6
+        steep = np.arccosh(max((1 - middle) / half, 1 + 1e-12))
+        degree = int(min(8, max(1, np.arccosh(1e5) / steep)))
+        rows = found.select("id", mix("y", width).alias("y"), mix("my", width).alias("my"))
+        step = lambda twice, c: F.array(*[(F.col("my")[j] - F.col("y")[j] * middle) * (twice / half) - (F.col("p")[j] if c else F.lit(0.0)) for j in range(width)])
+        rows = rows.select("id", step(1.0, False).alias("_n"), F.col("y").alias("p")).withColumnRenamed("_n", "y")
+        for _ in range(degree - 1):
+            rows = _times(matrix, rows, width).select("id", step(2.0, True).alias("_n"), F.col("y").alias("p")).withColumnRenamed("_n", "y")
+    raise AssertionError("unreachable")
+
+
+def spectral(points: DataFrame, k: int, neighbours: int = 10) -> DataFrame:
+    """k-means on the rows of the first ``k`` eigenvectors of the normalised affinities, each scaled to length one.
+
+    Copies of a point share the label of their place; with at most ``k`` places each has a label of its own.
+    """
+    places = stage(distinct_points(points.select("id", "x")).select("id", "x"), "places")
+    few = places.orderBy("id").limit(k + 1).select("id").collect()
+    if len(few) <= k:
+        numbers = F.array(*[F.lit(r["id"]) for r in few]) if few else F.array().cast("array<bigint>")
+        placed = places.select("x", (F.array_position(numbers, F.col("id")) - 1).cast("int").alias("label"))
+        return points.join(placed, "x").select("id", "x", "label")
+    vectors, _ = eigenvectors(_affinities(places, neighbours), places.select("id"), k)
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
+    scaled = vectors.select("id", F.transform("v", lambda e: F.when(length > 0, e / length).otherwise(0.0)).alias("x"))
+    labels = kmeans(scaled, k).select("id", "label")
+    placed = places.join(labels, "id").select("x", "label")
     return points.join(placed, "x").select("id", "x", "label")
 
 

@@ -11,9 +11,23 @@ from pyspark.sql import DataFrame, functions as F
 from sparkscope.session import stage
 
 
+#: Edges that a task shrinks at once; a node with more than one of so many equal shares of all links is a hub.
+BLOCK, HUBS = 1 << 20, 256
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One link per node to the smallest node it reaches over the edges of one partition."""
-    edges = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": []}, dtype="int64")])
+    """One link per node to the smallest node it reaches, over blocks of at least ``BLOCK`` edges of one partition."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= BLOCK:
+            yield _stars(pd.concat(held))
+            held = []
+    if held:
+        yield _stars(pd.concat(held))
+
+
+def _stars(edges: pd.DataFrame) -> pd.DataFrame:
     nodes, ends = np.unique(edges[["a", "b"]].to_numpy(), return_inverse=True)
     ends = ends.reshape(-1, 2)
     low = np.arange(len(nodes))
@@ -26,43 +40,54 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if (new == low).all():
             break
         low = new
-    yield pd.DataFrame({"hi": nodes, "lo": nodes[low]}, dtype="int64")
+    return pd.DataFrame({"hi": nodes, "lo": nodes[low]}, dtype="int64")
+
+
+def with_least(links: DataFrame, rows: int) -> DataFrame:
+    """``links`` (u, v), at most ``rows`` of them, with m, the smallest v of each u, and no u's links in one task.
+
+    Minima are partial aggregates. Nodes with more than a share of all rows, at most ``HUBS`` of them,
+    get theirs by a broadcast; the links of all others meet them in a shuffle.
+    """
+    around = stage(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    hubs = around.filter(F.col("n") > rows // HUBS)
+    hot = links.join(F.broadcast(hubs.select("u", "m")), "u")
+    rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(around.select("u", "m"), "u")
+    return hot.unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node of its component for every node of ``edges`` (columns a, b).
 
-    Each partition first shrinks its own edges to stars. Then, until nothing changes, alternates large-star and small-star steps (Kiveris et al., 2014), which need a
+    Each partition first shrinks its own edges to stars, a bounded block at a time. Then, until nothing changes,
+    alternates large-star and small-star steps (Kiveris et al., 2014), which need a
     logarithmic number of rounds and never gather a node's neighbours: each step is a
-    minimum per node and a join back. Rounds go through written tables.
+    minimum per node and a join back, in which hubs are split (:func:`with_least`). Rounds go through written tables.
     """
     numbered = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     contracted = stage(numbered.mapInPandas(_contract, "hi bigint, lo bigint"), "edges")
     nodes = contracted.select(F.col("hi").alias("node")).distinct()
     pairs = contracted.filter("hi <> lo")
-    before = None
+    rows, before = pairs.count(), None
     while True:
         # Large star: every neighbour above a node links to the smallest one around it.
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        around = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(around, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        ).filter("hi <> lo").distinct()
+        up = with_least(both, 2 * rows).filter("v > u")
+        large = stage(up.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        down = with_least(large, 2 * rows)
         small = (
-            large.join(least, "hi")
-            .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .unionByName(least.select("hi", F.col("m").alias("lo")))
+            down.select(F.explode(F.array(F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")))).alias("link"))
+            .select("link.*")
             .filter("hi <> lo")
             .distinct()
         )
         pairs = stage(small, "stars")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
+        rows, before = now[0], now
     root = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
