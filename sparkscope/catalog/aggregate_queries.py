@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
 from sparkscope.model import FLAT_SQL, SERIES_SQL, SPANS_SQL, flat, records, series, spans, table
-from sparkscope.operators import aggregates as ag
+from sparkscope.operators import aggregates as ag, rollups
 from sparkscope.operators.aggregates import AggregateRule
+from sparkscope.session import stage
 
 REC = f"WITH rec AS ({FLAT_SQL}) "
 S = f"WITH s AS ({SERIES_SQL}) "
@@ -190,6 +191,31 @@ def agg_cardinality(spark, d):
     )
 
 
+@query(
+    "agg_sketch_rollup",
+    """SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high,
+      true AS p50_within, true AS p99_within, true AS users_within FROM events GROUP BY 1, 2""",
+)
+def agg_sketch_rollup(spark, d):
+    """Hourly summaries, written, merged into days and those into weeks, against the rows: ranks within 3 %, distinct users within 8 %."""
+    e = table(spark, d, "events")
+    hourly = stage(rollups.rollup(e, "ts", "1 hour", ["event_type"], "value", "user_id"), "rollup")
+    weekly = rollups.widen(rollups.widen(hourly, "1 day", ["event_type"]), "7 days", ["event_type"])
+    found = weekly.select(
+        "window_start", "event_type", "n", "total", "low", "high",
+        rollups.quantile(0.5).alias("p50"), rollups.quantile(0.99).alias("p99"), rollups.uniques().alias("users"),
+    )
+    rows = e.select(F.window("ts", "7 days")["start"].alias("window_start"), "event_type", "value", "user_id").join(found, ["window_start", "event_type"])
+    within = lambda c, p: (
+        (F.count_if(F.col("value") < F.col(c)) <= (p + 0.03) * F.first("n") + 1) & (F.count_if(F.col("value") <= F.col(c)) >= (p - 0.03) * F.first("n") - 1)
+    ).alias(c + "_within")
+    users = F.abs(F.first("users") - F.countDistinct("user_id")) <= 0.08 * F.countDistinct("user_id") + 1
+    return rows.groupBy("window_start", "event_type").agg(
+        F.first("n").alias("n"), F.round(F.first("total"), 4).alias("total"), F.first("low").alias("low"), F.first("high").alias("high"),
+        within("p50", 0.5), within("p99", 0.99), users.alias("users_within"),
+    )
+
+
 @query(
     "agg_time_group",
     T + "SELECT date_trunc('minute', timestamp) AS minute, record_type, count(*) AS n, round(avg(duration_ms), 6) AS avg_ms FROM t GROUP BY 1, 2",

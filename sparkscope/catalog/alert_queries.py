@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
 from sparkscope.model import table
-from sparkscope.operators import alerts as al, anomalies
+from sparkscope.operators import alerts as al, anomalies, rules
 from sparkscope.operators.alerts import AlertRule
 from sparkscope.plans import reports as rp
 
@@ -49,6 +49,37 @@ def alert_rules(spark, d):
     return hits.select("rule_id", "event_type", "ts", "severity", F.round("value", 6).alias("value"))
 
 
+_MANY = """SELECT c_custkey AS rule_id, CASE c_custkey % 2 WHEN 0 THEN 'avg_ms' ELSE 'requests' END AS metric, CASE c_custkey % 6 WHEN 0 THEN 'gt' WHEN 1 THEN 'between' WHEN 2 THEN 'eq' WHEN 3 THEN 'outside' WHEN 4 THEN 'lt' ELSE 'ne' END AS op,
+    CASE WHEN c_custkey % 2 = 1 THEN floor(abs(c_acctbal) / 1000) ELSE round(abs(c_acctbal) / 100, 1) END AS low, CASE WHEN c_custkey % 2 = 1 THEN floor(abs(c_acctbal) / 1000) ELSE round(abs(c_acctbal) / 100, 1) END + 2 AS high FROM customer"""
+
+
+@query(
+    "alert_rules_table",
+    f"""WITH m AS ({HOURLY}), r AS ({_MANY}), j AS (SELECT rule_id, op, value, CASE op WHEN 'gt' THEN value > low WHEN 'lt' THEN value < low WHEN 'eq' THEN abs(value - low) < 2.220446049250313e-16
+    WHEN 'ne' THEN abs(value - low) >= 2.220446049250313e-16 WHEN 'between' THEN value >= low AND value <= high ELSE value < low OR value > high END AS hit FROM m JOIN r ON m.metric = r.metric)
+    SELECT CAST(rule_id AS VARCHAR) AS rule_id, op, count(*) AS hits, round(min(value), 6) AS least, round(max(value), 6) AS most FROM j WHERE hit GROUP BY 1, 2""",
+)
+def alert_rules_table(spark, d):
+    """A rule per customer, from a table: how often and how far each hit."""
+    c = table(spark, d, "customer")
+    key, amount = F.col("c_custkey"), F.abs("c_acctbal")
+    low = F.when(key % 2 == 1, F.floor(amount / 1000).cast("double")).otherwise(F.round(amount / 100, 1))
+    ops = F.array(*[F.lit(o) for o in ("gt", "between", "eq", "outside", "lt", "ne")])
+    many = c.select(
+        key.cast("string").alias("id"),
+        F.when(key % 2 == 0, "avg_ms").otherwise("requests").alias("metric"),
+        F.get(ops, (key % 6).cast("int")).alias("op"),
+        low.alias("low"),
+        (low + 2).alias("high"),
+        F.lit("Info").alias("severity"),
+        F.lit(0).cast("bigint").alias("cooldown_seconds"),
+        F.lit(True).alias("enabled"),
+    )
+    found = rules.hits(hourly(spark, d), many)
+    ends = F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most")
+    return found.groupBy("rule_id", "op").agg(F.count(F.lit(1)).alias("hits"), *ends)
+
+
 @query(
     "alert_lifecycle",
     JUDGED

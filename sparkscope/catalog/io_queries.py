@@ -9,7 +9,7 @@ from sparkscope.model import FLAT_SQL, flat, newest, nest, records, table
 from sparkscope.operators import flatten, schemas
 from sparkscope.operators import transforms as tr
 from sparkscope.session import scratch
-from sparkscope.sources import bodies, files, kafka, otlp, sinks
+from sparkscope.sources import bodies, files, kafka, otlp, sinks, snapshots
 
 REC = f"WITH rec AS ({FLAT_SQL}) "
 MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -622,6 +622,48 @@ def sink_upsert_latest(spark, d):
     changes = e.filter("event_id % 3 = 0").withColumn("value", F.col("value") * 2)
     return sinks.upsert_latest(e.filter("event_id % 3 <> 0"), changes, ["user_id", "event_type"], "ts")
 
+@query(
+    "sink_upsert_files",
+    """WITH a AS (SELECT user_id, event_type, ts, event_id, value, 0 AS new FROM events WHERE event_id % 3 <> 0
+      UNION ALL SELECT user_id, event_type, ts, event_id, value * 2, 1 FROM events WHERE event_id % 3 = 0 AND user_id <= (SELECT max(user_id) / 10 FROM events)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC, new DESC) AS rn FROM a)
+    SELECT user_id, event_type, ts, event_id, value, true AS few FROM r WHERE rn = 1""",
+)
+def sink_upsert_files(spark, d):
+    """Newest rows per user and type in files by user; changes of a tenth of the users rewrite few of them."""
+    e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    keys, path = ["user_id", "event_type"], scratch(spark, "upserts")
+    order = F.struct("ts", "event_id")
+    first = sinks.upsert_latest(e.filter("event_id % 3 <> 0").withColumn("at", order), e.limit(0).withColumn("at", order), keys, "at")
+    snapshots.create(first.repartitionByRange(16, "user_id"), path)
+    tenth = e.agg(F.max("user_id") / 10).first()[0]
+    changes = e.filter((F.col("event_id") % 3 == 0) & (F.col("user_id") <= tenth)).withColumn("value", F.col("value") * 2)
+    rewritten, kept = snapshots.upsert(spark, path, changes.withColumn("at", order), keys, "at")
+    return snapshots.read(spark, path).drop("at").withColumn("few", F.lit(0 < rewritten < kept))
+
+
+@query(
+    "sink_cluster",
+    """SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total, (SELECT count(*) FROM lineitem WHERE l_partkey < 100 AND l_quantity < 10) AS picked, true AS fewer FROM lineitem""",
+)
+def sink_cluster(spark, d):
+    """Compaction along a curve: all rows stay, and a filter on two columns needs fewer files."""
+    path = scratch(spark, "clustered")
+    rows = table(spark, d, "lineitem")
+    before = snapshots.create(rows.repartition(16), path)
+    size = snapshots.files(spark, path).agg(F.sum("bytes")).first()[0]
+    after = snapshots.cluster(spark, path, ["l_partkey", "l_quantity"], file_bytes=-(-size // 16))
+    wanted = (F.col("l_partkey") < 100) & (F.col("l_quantity") < 10)
+
+    def needed(version):
+        held = snapshots.read(spark, path, version).select("l_partkey", "l_quantity", F.col("_metadata.file_path").alias("file"))
+        low = held.groupBy("file").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").alias("l_quantity"))
+        return low.filter(wanted).count()
+
+    now = snapshots.read(spark, path)
+    out = now.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count_if(wanted).alias("picked"))
+    return out.withColumn("fewer", F.lit(needed(after) < needed(before)))
+
 
 @query(
     "schema_evolve",

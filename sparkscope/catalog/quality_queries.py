@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.catalog import query
 from sparkscope.model import FLAT_SQL, LOG, STRINGS, as_record, as_struct, flat, newest, nest, records, table
-from sparkscope.operators import dlq, quality as q
+from sparkscope.operators import dlq, quality as q, rules
 from sparkscope.operators import transforms as tr
 from sparkscope.operators.quality import Check, FieldRule
 from sparkscope.session import scratch
@@ -400,3 +400,42 @@ def err_classify_own(spark, d):
     """Documents by the built-in patterns and a caller's own."""
     answer = q.classify_error(F.col("text"), OWN_PATTERNS)
     return table(spark, d, "documents").select("doc_id", answer.alias("a")).select("doc_id", "a.*")
+
+
+def _builtin_sql() -> str:
+    rows = ", ".join(f"('a{i:04d}', '{n}', '{p}', '{t}', '{sev}', {prio})" for i, (n, p, t, sev, prio) in enumerate(q.ERROR_PATTERNS))
+    return f"SELECT * FROM (VALUES {rows}) b(rule, name, pattern, kind, severity, priority)"
+
+
+_HEAD = "regexp_extract(text, '^[A-Za-z]+ [a-z]+', 0)"
+
+
+@query(
+    "err_classify_table",
+    f"""WITH h AS (SELECT item_id, {_HEAD} AS head FROM benchmark), p AS ({_builtin_sql()} UNION ALL
+      SELECT 'bitem' || item_id, 'item' || item_id, CASE WHEN item_id % 3 = 0 THEN replace(head, ' ', '.*') WHEN item_id % 3 = 1 THEN head || '|[0-9]' || item_id ELSE head || '|' || item_id || '!!' END,
+        'Validation', 'Warning', CAST(item_id % 40 + 40 AS INTEGER) FROM h WHERE head <> '' AND item_id % 5 <> 4),
+    c AS (SELECT doc_id, rule, name, kind, severity, priority + strlen(regexp_extract(text, pattern, 0)) AS s FROM documents, p WHERE regexp_matches(text, pattern)),
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, rule) = 1),
+    w AS (SELECT doc_id, {_type_sql('text')} AS a FROM documents)
+    SELECT w.doc_id, coalesce(kind, a.t) AS error_type, coalesce(b.severity, a.v) AS severity, CASE WHEN b.doc_id IS NULL THEN a.m ELSE 'pattern' END AS method, coalesce(name, a.n) AS matched
+    FROM w LEFT JOIN b ON b.doc_id = w.doc_id""",
+)
+def err_classify_table(spark, d):
+    """Documents by patterns that the benchmark items make, one a row, some switched off."""
+    item, head = F.col("item_id").cast("string"), F.regexp_extract("text", "^[A-Za-z]+ [a-z]+", 0)
+    pattern = (
+        F.when(F.col("item_id") % 3 == 0, F.regexp_replace(head, " ", ".*"))
+        .when(F.col("item_id") % 3 == 1, F.concat(head, F.lit("|[0-9]"), item))
+        .otherwise(F.concat(head, F.lit("|"), item, F.lit("!!")))
+    )
+    patterns = table(spark, d, "benchmark").filter(head != "").select(
+        F.concat(F.lit("item"), item).alias("name"),
+        pattern.alias("pattern"),
+        F.lit("Validation").alias("error_type"),
+        F.lit("Warning").alias("severity"),
+        (F.col("item_id") % 40 + 40).cast("int").alias("priority"),
+        (F.col("item_id") % 5 != 4).alias("enabled"),
+    )
+    found = rules.classify(table(spark, d, "documents").select("doc_id", "text"), patterns, "text")
+    return found.drop("text")

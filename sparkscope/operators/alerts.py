@@ -27,7 +27,8 @@ class AlertRule:
     enabled: bool = True
 
 
-def _holds(op: Column, value: Column, low: Column, high: Column) -> Column:
+def holds(op: Column, value: Column, low: Column, high: Column) -> Column:
+    """Whether a value meets a rule."""
     same = F.abs(value - low) < EPSILON
     return (
         F.when(op == "gt", value > low)
@@ -56,7 +57,7 @@ def judge(metrics: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
     ]
     own = F.filter(F.array(*entries), lambda e: e["rule_metric"] == F.col("metric"))
     ruled = metrics.withColumn("_rule", F.explode(own)).select("*", "_rule.*").drop("_rule", "rule_metric")
-    hit = F.coalesce(_holds(F.col("op"), F.col("value"), F.col("low"), F.col("high")), F.lit(False))
+    hit = F.coalesce(holds(F.col("op"), F.col("value"), F.col("low"), F.col("high")), F.lit(False))
     return ruled.withColumn("hit", hit)
 
 

@@ -83,7 +83,7 @@ def block_pairs(points: DataFrame, radius: float, compare: Callable, schema: str
     point of ``a`` meets every point within the radius, itself too, in one of its pairs; points of ``a`` with nothing of
     ``b`` in reach may be missing there.
     """
-    placed = space.blocks(points, block or BLOCK)
+    placed = space.blocks(points, block or BLOCK).drop("_safe")
     kind = F.lit(None).cast("bigint").alias("kind")
     box = stage(space.boxes(placed).select("*", kind), "boxes")
     pairs = space.near(box.withColumn("reach", F.lit(float(radius))), box)
@@ -124,7 +124,7 @@ def nearest(points: DataFrame, k: int) -> DataFrame:
         none = F.array().cast("array<struct<distance: double, other: bigint>>")
         return points.select("id", none.alias("near"))
     schema = "id bigint, distance double, other bigint"
-    placed = space.blocks(points, BLOCK)
+    placed = space.blocks(points, BLOCK).drop("_safe")
     own = placed.select("_block").distinct().select(F.col("_block").alias("a"), F.col("_block").alias("b"))
     first = stage(space.compared(own, placed, placed, _closest(k), schema), "near")
     reach = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_reach"))
@@ -261,10 +261,48 @@ def _ways(a: pd.DataFrame, b: pd.DataFrame, distances: np.ndarray) -> pd.DataFra
     return pd.DataFrame({"tree": ta[rows][first], "w": w[rows][first], "a": low[first], "b": high[first]})
 
 
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """The edges (a, b, w) of the spanning tree that one block can tell alone, and the tree (id, tree) of each of its points.
+
+    A tree's shortest edge inside the block is its shortest at all if it is shorter than the way out of the block
+    from any of its points. Trees joined by such edges go on until none has one.
+    """
+    ids, safe, x = rows["id"].to_numpy(np.int64), rows["_safe"].to_numpy(float), space.matrix(rows["x"])
+    squared = np.zeros((len(x), len(x)))
+    for k in range(x.shape[1]):
+        squared += (x[:, k][:, None] - x[:, k][None, :]) ** 2
+    distances = np.sqrt(squared)
+    tree, edges = ids.copy(), []
+    while True:
+        points = pd.DataFrame({"id": ids, "tree": tree})
+        out = pd.Series(safe).groupby(tree).min()
+        ways = _ways(points, points, distances)
+        ways = ways[ways["w"].to_numpy() < out.loc[ways["tree"]].to_numpy()]
+        if not len(ways):
+            break
+        edges.append(ways[["a", "b", "w"]])
+        at = dict(zip(ids.tolist(), tree.tolist()))
+        parent = {t: t for t in np.unique(tree).tolist()}
+
+        def root(t: int) -> int:
+            while parent[t] != t:
+                parent[t] = parent[parent[t]]
+                t = parent[t]
+            return t
+
+        for a, b in zip(ways["a"].tolist(), ways["b"].tolist()):
+            low, high = sorted((root(at[a]), root(at[b])))
+            parent[high] = low
+        tree = np.array([root(t) for t in tree.tolist()])
+    found = pd.concat(edges).drop_duplicates(["a", "b"]) if edges else pd.DataFrame({"a": [], "b": [], "w": []})
+    out = pd.concat([pd.DataFrame({"id": ids, "tree": tree}), found], ignore_index=True)
+    return out.astype({c: "Int64" for c in ("id", "tree", "a", "b")})[["id", "tree", "a", "b", "w"]]
+
+
 def _spanning(points: DataFrame, block: int) -> DataFrame:
     """The edges (a, b, w) of the minimum spanning tree; of equal lengths the smaller (a, b) counts as shorter.
 
-    In each round every tree takes its shortest edge to a point outside. Edges inside blocks, and for trees that
+    Blocks first settle what they can alone. Then, in each round, every tree takes its shortest edge to a point outside. Edges inside blocks, and for trees that
     fill their blocks the block nearest to one of theirs, give each tree an upper bound; then only blocks
     whose boxes are nearer than that are searched, and blocks that lie in one and the same tree never meet. So
     the inside of a cluster is not searched for its way out, and an outlier costs its own search only. Trees halve
@@ -272,10 +310,11 @@ def _spanning(points: DataFrame, block: int) -> DataFrame:
     """
     placed = space.blocks(points, block)
     fixed = stage(space.boxes(placed), "boxes")
-    labels = placed.select("id", F.col("id").alias("tree"))
+    alone = stage(placed.groupBy("_block").applyInPandas(_settled, "id bigint, tree bigint, a bigint, b bigint, w double"), "settled")
+    placed = placed.drop("_safe")
+    labels, taken = alone.filter("id IS NOT NULL").select("id", "tree"), alone.filter("a IS NOT NULL").select("a", "b", "w")
     schema = "tree bigint, w double, a bigint, b bigint"
     shortest = F.min(F.struct("w", "a", "b")).alias("e")
-    taken = None
     while True:
         now = stage(placed.join(labels, "id"), "trees")
         low, high = F.min("tree").alias("_low"), F.max("tree").alias("_high")
@@ -290,14 +329,14 @@ def _spanning(points: DataFrame, block: int) -> DataFrame:
         seeds = seeds.join(closed.select(F.col("_block").alias("a"), "kind"), "a").groupBy("kind").agg(F.min(F.struct("gap", "a", "b")).alias("s")).select("s.a", "s.b")
         first = stage(inside.unionByName(space.compared(seeds, now, now, _ways, schema)).groupBy("tree").agg(shortest), "bounds")
         if first.isEmpty():  # one tree
-            return taken if taken is not None else first.select("e.a", "e.b", "e.w")
+            return taken
         bounded = stage(now.join(first.select("tree", F.col("e.w").alias("_reach")), "tree"), "bounded")
         heads = box.join(bounded.groupBy("_block").agg(F.max("_reach").alias("reach")), "_block")
         pairs = space.near(heads, box).filter("a <> b")
         found = first.select("tree", "e.*").unionByName(space.compared(pairs, bounded, now, _ways, schema))
         picked = stage(found.groupBy("tree").agg(shortest).select("tree", "e.*"), "picked")
         one = picked.select("a", "b", "w").distinct()
-        taken = one if taken is None else taken.unionByName(one)
+        taken = taken.unionByName(one)
         # Trees joined by a picked edge become one.
         tree = lambda side: labels.select(F.col("id").alias(side), F.col("tree").alias("t" + side))
         merged = components(picked.join(tree("a"), "a").join(tree("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")))

@@ -68,8 +68,13 @@ def components(edges: DataFrame) -> DataFrame:
     contracted = stage(numbered.mapInPandas(_contract, "hi bigint, lo bigint"), "edges")
     nodes = contracted.select(F.col("hi").alias("node")).distinct()
     pairs = contracted.filter("hi <> lo")
-    rows, before = pairs.count(), None
-    while True:
+
+    def state(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+
+    now = state(pairs.distinct())
+    while now[0]:
+        rows, before = now[0], now
         # Large star: every neighbour above a node links to the smallest one around it.
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -85,9 +90,8 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         pairs = stage(small, "stars")
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        now = state(pairs)
         if now == before:
             break
-        rows, before = now[0], now
     root = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))

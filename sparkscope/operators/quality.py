@@ -486,34 +486,40 @@ def classify_error(
     the first keyword; then ``default``.
     """
 
-    def answer(kind: str, severity: str, method: str, matched: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("error_type"),
-            F.lit(severity).alias("severity"),
-            F.lit(method).alias("method"),
-            F.lit(matched).alias("matched"),
-        )
-
     scored = []
     for order, (name, pattern, kind, severity, priority) in enumerate(ERROR_PATTERNS):
         score = F.lit(priority) + F.octet_length(F.regexp_extract(message, pattern, 0))
         entry = F.struct(
-            score.alias("score"), F.lit(-order).alias("order"), answer(kind, severity, "pattern", name).alias("answer")
+            score.alias("score"), F.lit(-order).alias("order"), _answer(kind, severity, "pattern", name).alias("answer")
         )
         if name not in disabled:
             scored.append(F.when(_may_match(message, pattern) & message.rlike(pattern), entry))
     for order, own in enumerate((p for p in patterns if p.enabled), len(ERROR_PATTERNS)):
         score = F.lit(own.priority) + F.octet_length(F.regexp_extract(message, own.pattern, 0))
-        found = answer(own.error_type, own.severity, "pattern", own.name)
+        found = _answer(own.error_type, own.severity, "pattern", own.name)
         entry = F.struct(score.alias("score"), F.lit(-order).alias("order"), found.alias("answer"))
         scored.append(F.when(message.rlike(own.pattern), entry))
     best = F.array_max(F.array_compact(F.array(*scored)))["answer"]
+    return F.coalesce(best, by_keyword(message, default))
+
+
+def _answer(kind: str, severity: str, method: str, matched: str) -> Column:
+    return F.struct(
+        F.lit(kind).alias("error_type"),
+        F.lit(severity).alias("severity"),
+        F.lit(method).alias("method"),
+        F.lit(matched).alias("matched"),
+    )
+
+
+def by_keyword(message: Column, default: tuple[str, str]) -> Column:
+    """Struct (error_type, severity, method, matched) of the first keyword that a message holds, or ``default``."""
 
     def by_word(lower: Column) -> Column:
         out = F
         for word, kind, severity in ERROR_KEYWORDS:
-            out = out.when(lower.contains(word), answer(kind, severity, "keyword", word))
-        return out.otherwise(answer(*default, "default", ""))
+            out = out.when(lower.contains(word), _answer(kind, severity, "keyword", word))
+        return out.otherwise(_answer(*default, "default", ""))
 
     # The one-element transform lower-cases the message once for all keywords.
-    return F.coalesce(best, F.transform(F.array(F.lower(message)), by_word)[0])
+    return F.transform(F.array(F.lower(message)), by_word)[0]

@@ -26,11 +26,16 @@ SLACK = 1 - 1e-9
 
 @dataclass
 class Tree:
-    """Inner nodes go left where ``x[axis] < cut``; their children are ``child`` and ``child + 1``. Leaves have child -1."""
+    """Inner nodes go left where ``x[axis] < cut``; their children are ``child`` and ``child + 1``. Leaves have child -1.
+
+    ``low`` and ``high`` are the sides of each node's cell, infinite where nothing cuts it.
+    """
 
     axis: np.ndarray
     cut: np.ndarray
     child: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
@@ -46,6 +51,7 @@ class Tree:
 def grow(x: np.ndarray, least: int = SAMPLE) -> Tree:
     """Halve the widest dimension at its median until a node holds ``least`` points or one place."""
     axis, cut, child, todo = [0], [0.0], [-1], [(0, np.arange(len(x)))]
+    low, high = [np.full(x.shape[1], -np.inf)], [np.full(x.shape[1], np.inf)]
     while todo:
         node, own = todo.pop()
         if not len(own):
@@ -59,10 +65,12 @@ def grow(x: np.ndarray, least: int = SAMPLE) -> Tree:
         cut[node] = float(middle if middle > values.min() else values[values > middle].min())
         child[node] = len(child)
         right = values >= cut[node]
-        for part in (own[~right], own[right]):
+        for part, sides in ((own[~right], high), (own[right], low)):
             todo.append((len(child), part))
             axis.append(0), cut.append(0.0), child.append(-1)
-    return Tree(np.array(axis), np.array(cut), np.array(child))
+            low.append(low[node].copy()), high.append(high[node].copy())
+            sides[-1][axis[node]] = cut[node]
+    return Tree(np.array(axis), np.array(cut), np.array(child), np.array(low), np.array(high))
 
 
 def matrix(x: pd.Series) -> np.ndarray:
@@ -70,7 +78,7 @@ def matrix(x: pd.Series) -> np.ndarray:
 
 
 def blocks(points: DataFrame, size: int) -> DataFrame:
-    """``points`` with the number of their ``_block``, of at most ``size`` points; written.
+    """``points`` with the number of their ``_block``, of at most ``size`` points, and ``_safe``, within which all other points are of the same block; written.
 
     The tree has about four leaves a block, at most ``LEAVES``, and is fitted on ``SAMPLE`` points for each,
     chosen by a hash of the id. Leaves that hold more than a block are cut along their widest dimension.
@@ -82,16 +90,21 @@ def blocks(points: DataFrame, size: int) -> DataFrame:
     found = chosen.select("x").toPandas() if n > size else pd.DataFrame({"x": []})
     tree = grow(matrix(found["x"]), max(SAMPLE, n // max(1, leaves)) if n <= wanted else SAMPLE)
 
-    @F.pandas_udf("struct<_leaf: bigint, _along: double>")
+    @F.pandas_udf("struct<_leaf: bigint, _along: double, _safe: double>")
     def place(x: pd.Series) -> pd.DataFrame:
         rows = matrix(x)
         leaf = tree.leaves(rows)
-        return pd.DataFrame({"_leaf": leaf, "_along": rows[np.arange(len(rows)), tree.axis[leaf]]})
-
-    placed = points.withColumn("_at", place("x")).select(*points.columns, "_at._leaf", "_at._along")
-    numbered = ordered.indexed(placed, ["_leaf"], ["_along", "id"], "_i")
+        if len(tree.child) == 1:
+            safe = np.full(len(rows), np.inf)
+        else:
+            safe = np.minimum(rows - tree.low[leaf], tree.high[leaf] - rows).min(1) * SLACK
+        return pd.DataFrame({"_leaf": leaf, "_along": rows[np.arange(len(rows)), tree.axis[leaf]], "_safe": safe})
+
+    placed = points.withColumn("_at", place("x")).select(*points.columns, "_at._leaf", "_at._along", "_at._safe")
+    numbered = ordered.indexed(placed, ["_leaf"], ["_along", "id"], "_i", "_n")
     block = F.shiftleft("_leaf", 32) + F.floor(F.col("_i") / size)
-    return stage(numbered.select(*points.columns, block.alias("_block")), "blocks")
+    safe = F.when(F.col("_n") <= size, F.col("_safe")).otherwise(0.0)
+    return stage(numbered.select(*points.columns, block.alias("_block"), safe.alias("_safe")), "blocks")
 
 
 def boxes(placed: DataFrame, *more: Column) -> DataFrame:

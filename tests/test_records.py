@@ -295,3 +295,16 @@ def test_put_on_a_null_map(spark):
     df = spark.sql("select cast(null as map<string, string>) as m, 'x' as v")
     got = df.select(tr.put(F.col("m"), "k", F.col("v")).alias("a"), tr.put_all(F.col("m"), {"k": F.col("v")}).alias("b")).first()
     assert got["a"] == {"k": "x"} and got["b"] == {"k": "x"}
+
+
+def test_tenants_without_a_quota_take_the_default(spark):
+    usage = spark.createDataFrame([("a", 1.9, 50.0), ("b", 0.9, 99.0)], "tenant_id string, cpu_cores double, connections double")
+    quotas = spark.createDataFrame([("a", 2.0, None), ("z", 9.0, 9.0)], usage.schema)
+    got = {(r["tenant_id"], r["resource"]): (r["quota"], r["level"]) for r in tenancy.utilisation(usage, quotas, ["cpu_cores", "connections"]).collect()}
+    assert got == {
+        ("a", "cpu_cores"): (2.0, "critical"), ("a", "connections"): (100.0, "normal"),
+        ("b", "cpu_cores"): (1.0, "warning"), ("b", "connections"): (100.0, "critical"),
+    }
+    samples = spark.createDataFrame([(t, i, i, 1.0) for t in "ab" for i in range(5)], "tenant_id string, ts long, seq long, cpu_cores double")
+    scale = {r["tenant_id"]: r["scale_up"] for r in tenancy.needs_scaling(samples, quotas).collect()}
+    assert scale == {"a": False, "b": True}
