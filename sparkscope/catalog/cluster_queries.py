@@ -66,7 +66,17 @@ def clu_dbscan(spark, d):
     return cl.dbscan(customers(spark, d)).select("id", "label")
 
 
-@query("clu_single_link")
+@query(
+    "clu_single_link",
+    f"""WITH RECURSIVE pt AS ({POINTS}), t(node, best, src, done) USING KEY (node) AS (
+      SELECT id, CASE WHEN id = (SELECT min(id) FROM pt) THEN 0 ELSE 'infinity'::DOUBLE END, CAST(NULL AS BIGINT), false FROM pt UNION
+      (WITH open_ AS (SELECT * FROM recurring.t WHERE NOT done), nxt AS (SELECT node, x, y, z FROM open_ JOIN pt ON id = node ORDER BY best, node LIMIT 1),
+        d AS (SELECT o.*, nxt.node AS via, o.node = nxt.node AS now, sqrt((p.x - nxt.x) * (p.x - nxt.x) + (p.y - nxt.y) * (p.y - nxt.y) + (p.z - nxt.z) * (p.z - nxt.z)) AS far FROM open_ o JOIN pt p ON p.id = o.node, nxt)
+       SELECT node, CASE WHEN now OR best <= far THEN best ELSE far END, CASE WHEN now OR best <= far THEN src ELSE via END, now FROM d)),
+    e AS (SELECT *, row_number() OVER (ORDER BY best DESC) <= 4 OR src IS NULL AS cut FROM t),
+    r AS (SELECT node, node AS top FROM e WHERE cut UNION ALL SELECT e.node, r.top FROM e JOIN r ON e.src = r.node WHERE NOT cut)
+    SELECT node AS id, min(node) OVER (PARTITION BY top) AS label FROM r""",
+)
 def clu_single_link(spark, d):
     return cl.single_link(customers(spark, d), 5).select("id", "label")
 

@@ -132,14 +132,19 @@ def values_at(
     ranks: dict[str, Callable[[Column], Column]],
     total: str | None = None,
     parts: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """The exact order statistics of ``value`` per key, one column per entry of ``ranks``.
 
     Each entry maps the number of values ``n`` to a 0-based rank. Equal values are
-    counted before they are placed, so a value that repeats without end is one row.
+    counted before they are placed, so a value that repeats without end is one row. ``weight`` names
+    the counts if that was done before.
     """
     rows = df.filter(F.col(value).isNotNull())
-    counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    if weight:
+        counted = rows.select(*keys, value, F.col(weight).alias("_c"))
+    else:
+        counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     placed = cumulative(counted, keys, [value], "_c", "_b", "_n", parts)
     picks = []
     for name, rank in ranks.items():

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkscope.operators import aggregates as ag, anomalies, cluster, ordered, series as ts
+from sparkscope.session import stage
 
 METRICS = ("response_time_ms", "error_rate", "cpu_usage", "memory_usage")
 
@@ -16,23 +17,30 @@ def service_hours(spans: DataFrame) -> DataFrame:
 
     An anomaly is a request more than three sample deviations from its service's mean.
     """
-    hourly = spans.withColumn("hour", F.date_trunc("hour", "timestamp"))
     keys = ["service_name", "hour"]
-    norm = spans.groupBy("service_name").agg(
-        F.avg("duration_ms").alias("_m"), F.stddev_samp("duration_ms").alias("_sd")
+    ms, n = F.col("duration_ms"), F.col("n")
+    # One pass over the spans: equal durations are counted, and all numbers follow from the counts.
+    counts = spans.groupBy("service_name", F.date_trunc("hour", "timestamp").alias("hour"), "duration_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") >= 400).alias("errors")
     )
-    odd = F.abs(F.col("duration_ms") - F.col("_m")) > 3 * F.col("_sd")
+    counts = stage(counts, "durations")
+    known = F.sum(F.when(ms.isNotNull(), n))
+    means = counts.groupBy("service_name").agg((F.sum(ms * n) / known).alias("_m"))
+    around = counts.join(means, "service_name")
+    off = F.col("duration_ms") - F.col("_m")
+    spread = around.groupBy("service_name").agg(F.sqrt(F.try_divide(F.sum(off * off * n), known - 1)).alias("_sd"))
+    odd = F.abs(off) > 3 * F.col("_sd")
     totals = (
-        hourly.join(norm, "service_name")
+        around.join(spread, "service_name")
         .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias("requests"),
-            F.round(F.avg(F.when(F.col("status_code") >= 400, 1.0).otherwise(0.0)), 6).alias("error_rate"),
-            F.round(F.avg("duration_ms"), 6).alias("avg_ms"),
-            F.count_if(odd).alias("anomalies"),
+            F.sum("n").alias("requests"),
+            F.round(F.sum("errors") / F.sum("n"), 6).alias("error_rate"),
+            F.round(F.sum(ms * n) / known, 6).alias("avg_ms"),
+            F.sum(F.when(odd, n).otherwise(0)).alias("anomalies"),
         )
     )
-    p95 = ag.percentiles(hourly, keys, "duration_ms", [95]).withColumnRenamed("p95", "p95_ms")
+    p95 = ordered.values_at(counts, keys, "duration_ms", {"p95_ms": ag.floor_rank(95)}, weight="n")
     return totals.join(p95, keys)
 
 

@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkscope.operators import ordered
-from sparkscope.operators.aggregates import floor_rank, median
+from sparkscope.operators.aggregates import MIDDLE, floor_rank
 from sparkscope.operators.filters import Rule, predicate
+from sparkscope.session import stage
 
 
 @dataclass(frozen=True)
@@ -71,28 +72,48 @@ class Aggregation:
 RANKED = ("median", "percentile", "histogram")
 
 
-def _ranked(a: Aggregation, df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group with the aggregation's value, from values placed in order or counted per bucket."""
-    if a.function == "median":
-        return median(df, keys, a.field, a.alias)
-    if a.function == "percentile":
-        return ordered.values_at(df, keys, a.field, {a.alias: floor_rank(a.param)})
-    start = (F.floor(F.col(a.field) / a.param) * a.param).cast("double")
-    counted = df.filter(F.col(a.field).isNotNull()).groupBy(*keys, start.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+def _orders(own: Sequence[Aggregation], df: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """Medians and percentiles of one field per group, all from values placed in order once."""
+    ranks = {}
+    for a in own:
+        if a.function == "median":
+            ranks |= {f"{a.alias}{end}": rank for end, rank in MIDDLE.items()}
+        else:
+            ranks[a.alias] = floor_rank(a.param)
+    found = ordered.values_at(df, keys, field, ranks)
+    middle = lambda a: (F.col(f"{a.alias}_low") + F.col(f"{a.alias}_high")) / 2
+    return found.select(*keys, *[(middle(a) if a.function == "median" else F.col(a.alias)).alias(a.alias) for a in own])
+
+
+def _histogram(a: Aggregation, df: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """The rows per bucket of one field as text per group, counted before they are gathered."""
+    start = (F.floor(F.col(field) / a.param) * a.param).cast("double")
+    counted = df.filter(F.col(field).isNotNull()).groupBy(*keys, start.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
     line = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_n"))), lambda b: F.concat_ws(":", b["_at"], b["_n"]))
     return counted.groupBy(*keys).agg(F.array_join(line, ",").alias(a.alias))
 
 
 def _grouped(ask: TelemetryQuery, df: DataFrame) -> DataFrame:
-    """All aggregations per group; those over ranked values are joined to the others by the group keys."""
+    """All aggregations per group; those over ranked values are joined to the others by the group keys.
+
+    With ranked values the records are read once: keys, times and fields are written, and all passes go over those.
+    """
     names = list(ask.group_by)
     inner = [f"_key{i}" for i in range(len(names))]
-    keyed = df.withColumns({k: F.col(path) for k, path in zip(inner, ask.group_by.values())})
-    plain = [a.column() for a in ask.aggregations if a.function not in RANKED] or [F.count(F.lit(1)).alias("_rows")]
+    fields = {f: f"_f{i}" for i, f in enumerate(dict.fromkeys(a.field for a in ask.aggregations if a.field))}
+    keyed = df.select(*[F.col(path).alias(k) for k, path in zip(inner, ask.group_by.values())], "timestamp", *[F.col(f).alias(c) for f, c in fields.items()])
+    ranked = [a for a in ask.aggregations if a.function in RANKED]
+    if ranked:
+        keyed = stage(keyed, "query")
+    plain = [replace(a, field=fields.get(a.field)).column() for a in ask.aggregations if a.function not in RANKED] or [F.count(F.lit(1)).alias("_rows")]
     out = keyed.groupBy(*inner).agg(*plain)
-    for i, a in enumerate(a for a in ask.aggregations if a.function in RANKED):
-        values = keyed.select(*inner, F.col(a.field).alias("_value"))
-        one = _ranked(replace(a, field="_value"), values, inner).withColumnsRenamed({k: f"_{i}{k}" for k in inner})
+    parts = []
+    for field, c in fields.items():
+        own = [a for a in ranked if a.field == field and a.function != "histogram"]
+        parts += [_orders(own, keyed.select(*inner, c), inner, c)] if own else []
+    parts += [_histogram(a, keyed, inner, fields[a.field]) for a in ranked if a.function == "histogram"]
+    for i, one in enumerate(parts):
+        one = one.withColumnsRenamed({k: f"_{i}{k}" for k in inner})
         on = F.lit(True)
         for k in inner:
             on = on & F.col(k).eqNullSafe(F.col(f"_{i}{k}"))
@@ -100,9 +121,13 @@ def _grouped(ask: TelemetryQuery, df: DataFrame) -> DataFrame:
     return out.select(*[F.col(k).alias(n) for k, n in zip(inner, names)], *[a.alias for a in ask.aggregations])
 
 
-def _from(df: DataFrame, order: list[str], offset: int) -> DataFrame:
-    """The rows from ``offset`` on, by their positions, so that no task sees them all."""
-    return ordered.indexed(df, [], order, "_at").filter(F.col("_at") >= offset).drop("_at")
+def _page(df: DataFrame, order: list[str], offset: int, limit: int | None) -> DataFrame:
+    """``limit`` rows from ``offset`` on, by their positions, so that no task sees all rows up to there."""
+    placed = ordered.indexed(df, [], order, "_at")
+    wanted = F.col("_at") >= offset
+    if limit is None:
+        return placed.filter(wanted).drop("_at")
+    return placed.filter(wanted & (F.col("_at") < offset + limit)).orderBy("_at").drop("_at")
 
 
 KINDS = {"Metrics": "Metric", "Traces": "Trace", "Logs": "Log", "Events": "Event"}
@@ -154,8 +179,8 @@ def run(ask: TelemetryQuery, records: DataFrame) -> DataFrame:
     else:
         df = df.select("id", "timestamp", *[F.col(p).alias(n) for n, p in ask.select.items()])
         order = ["timestamp", "id"]
-    if ask.offset and ask.limit is None and order:
-        return _from(df, order, ask.offset)
+    if ask.offset and order:
+        return _page(df, order, ask.offset, ask.limit)
     if ask.limit is not None or ask.offset:
         if order:
             df = df.orderBy(*order)
