@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,10 @@ from sparkscope.llm import query
 from sparkscope.llm.common import binary_array, pieces_of, table
 from sparkscope.llm.encoder import ByteLevel, Pieces, encoder
 
-NONE = np.int64(2**62)
-#: Tree nodes handled at once.
-NODES = 1 << 21
+NONE_ = 2**62
+NONE = np.int64(NONE_)
+#: Tree nodes handled at once, and matches that are not worth handling side by side.
+NODES, FEW = 1 << 21, 10
 
 
 class Ranks:
@@ -65,6 +67,18 @@ class Ranks:
             open_ = open_[~hit & (found != -1)]
         return out
 
+    def rank_of(self, left: int, right: int) -> int:
+        """:meth:`rank` of one pair."""
+        key, mask = left << 32 | right, (1 << self.bits) - 1
+        slot = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while True:
+            found = self.keys.item(slot)
+            if found == key:
+                return self.ranks.item(slot)
+            if found == -1:
+                return NONE_
+            slot = (slot + 1) & mask
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit bytes; a piece that is a token is that token."""
         out: list[bytes | None] = [None] * len(pieces)
@@ -125,6 +139,12 @@ class Ranks:
 
         rows = np.flatnonzero(tree[1 :: 2 * size] < NONE) if size > 1 else np.zeros(0, np.int64)
         while len(rows):
+            if len(rows) <= FEW:
+                for row in rows.tolist():
+                    own = slice(row * wide, (row + 1) * wide), slice(row * size, (row + 1) * size)
+                    token[own[0]], gone = self._finish(size, tree[row * 2 * size : (row + 1) * 2 * size], token[own[0]], after[own[0]], before[own[1]])
+                    live[row * size + gone] = False
+                break
             best = tree[rows * (2 * size) + 1]
             at, merged = best % size, best // size
             here = rows * wide + at
@@ -151,6 +171,43 @@ class Ranks:
         ends = np.cumsum(live.sum(axis=1)) * 4
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def _finish(self, size: int, tree: np.ndarray, token: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rest of the merges of one match, one at a time in its tree: its tokens, and the positions that died.
+
+        With few matches left a loop over plain arrays is faster than steps over all of them; a climb ends where a node keeps its value.
+        """
+        tree, token, after, before = (array("q", x.astype(np.int64).tobytes()) for x in (tree, token, after, before))
+        gone = array("q")
+
+        def put(at: int, value: int) -> None:
+            node = at + size
+            while tree[node] != value:
+                tree[node] = value
+                if node == 1:
+                    return
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
+                node >>= 1
+
+        while tree[1] < NONE_:
+            merged, at = divmod(tree[1], size)
+            dead = after[at]
+            next_ = after[dead]
+            token[at], after[at] = merged, next_
+            gone.append(dead)
+            put(dead, NONE_)
+            rank = NONE_
+            if next_ < size:
+                before[next_] = at
+                rank = self.rank_of(merged, token[next_])
+            put(at, NONE_ if rank == NONE_ else rank * size + at)
+            prior = before[at]
+            if prior >= 0:
+                rank = self.rank_of(token[prior], merged)
+                put(prior, NONE_ if rank == NONE_ else rank * size + prior)
+        return np.frombuffer(token, np.int64), np.frombuffer(gone, np.int64) if gone else np.zeros(0, np.int64)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 

@@ -143,6 +143,23 @@ ODD = st.lists(st.sampled_from(list("aAbB '.!1é́İΣς \x85\x1c\n\t\r") + ["
 
 
 @functools.cache
+def test_bpe_long_match():
+    """A match of 200,000 bytes without a break, as the library merges it, within seconds."""
+    import time
+
+    import tiktoken
+
+    ranks = bpe.Ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks.ids, special_tokens={})
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    short = ["".join(rng.choices("abcd", k=rng.randint(1, 30))) for _ in range(40)]
+    start = time.monotonic()
+    got = ranks.merge([x.encode() for x in (long, *short)])
+    assert time.monotonic() - start < 30
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(x) for x in (long, *short)]
+
+
 def libraries():
     import base64
 
@@ -294,6 +311,30 @@ def test_chat_segments(spark):
         assert "".join(x["formatted"] for x in sorted((x for x in segments if x["conv_id"] == c), key=lambda x: x["segment"])) == whole[c]
 
 
+def test_texts_without_known_grams_stay(spark):
+    """With a positive cut too: nothing in them tells the classes apart."""
+    one = pa.array(["good words here", "", None, "zzz", "bad"])
+    doc, gram = quality.KINDS[1].grams(pa.array(["good words here"]))
+    bad = quality.KINDS[1].grams(pa.array(["bad"]))[1]
+    model = quality.Model(quality.KINDS[1], np.unique(np.concatenate([gram, bad])), None, cut=3.0)
+    model.weight = np.where(np.isin(model.bucket, bad), -2.0, 1.0).astype(np.float32)
+    ratios = model.ratios(one)
+    assert ratios[0] == len(gram) - 3.0 and ratios[1:4].tolist() == [0.0, 0.0, 0.0] and ratios[4] < -3.0
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(one.to_pylist())] + [(None, "zzz"), (3, "zzz")], "doc_id bigint, text string")
+    kept = {(r["doc_id"], r["text"]) for r in quality.classify(df, [model]).filter("kept").collect()}
+    assert {(1, ""), (2, None), (3, "zzz"), (None, "zzz")} <= kept and (4, "bad") not in kept
+
+
+def test_rows_that_tie_stay_by_both_ways(spark, monkeypatch):
+    """classify and keep_good keep the same rows where scores tie at the bound."""
+    df = spark.createDataFrame([(5, "same text")] * 6 + [(6, "bad")] * 3, "doc_id bigint, text string")
+    bad = quality.KINDS[1].grams(pa.array(["bad"]))[1]
+    model = quality.Model(quality.KINDS[1], np.unique(bad), np.full(len(np.unique(bad)), -9.0, np.float32))
+    monkeypatch.setattr(quality, "fit", lambda *a: [model])
+    assert quality.classify(df, [model]).filter("kept").count() == 6
+    assert quality.keep_good(df, None).count() == 6
+
+
 def test_quality(spark, docs, none):
     label = "doc_id bigint, quality int, toxic int"
     bad = [(100 + i, "BUY!! NOW!! " * 20) for i in range(30)] + [(200 + i, prose(i, 50) + " vile words") for i in range(30)]
