@@ -105,12 +105,17 @@ class Model:
     cut: float = 0.0
 
     def ratios(self, column: pa.Array) -> np.ndarray:
-        """log p(text | target) - log p(text | raw), less the cut."""
+        """log p(text | target) - log p(text | raw), less the cut; not below 0 where no n-gram of the text tells the classes apart."""
         if not hasattr(self, "_dense"):
             self._dense = np.zeros(self.kind.buckets, np.float32)
             self._dense[self.bucket] = self.weight
         doc, gram = self.kind.grams(column)
-        return np.bincount(doc, weights=self._dense[gram], minlength=len(column)) - self.cut
+        weight = self._dense[gram]
+        ratio = np.bincount(doc, weights=weight, minlength=len(column)) - self.cut
+        if self.cut > 0:
+            silent = np.bincount(doc, weights=weight != 0, minlength=len(column)) == 0
+            ratio[silent] = 0.0
+        return ratio
 
 
 def best_cut(target: np.ndarray, raw: np.ndarray) -> float:
@@ -210,8 +215,8 @@ def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str
     whose weights are the importance weights to that power. The noise comes from a hash of seed
     and id. The k-th score is found by a range shuffle of (row, score), not on the driver.
 
-    Null and empty texts hold nothing against them and have the ratio of no n-grams; null ids
-    share one noise; of equal scores the first rows are kept. Without models all ratios are 0 and
+    Texts without n-grams that tell the classes apart, null and empty ones among them, hold nothing against them: their
+    ratio is never below 0. Null ids share one noise; rows that tie with the k-th score all stay. Without models all ratios are 0 and
     all rows stay. Input columns named like the added ones are replaced.
     """
     own, names = plain(without(docs, ADDED))
@@ -222,7 +227,8 @@ def classify(docs: DataFrame, models: list[Model], text: str = "text", key: str
     score = (F.col("log_ratio") * SHARPNESS + F.col("noise")).alias("score")
     k = ratios.filter("log_ratio >= 0").count()
     placed = positions(noisy.select("r", "log_ratio", score), [F.col("score").desc(), F.col("r")], "_at", "quality-scores")
-    decided = placed.select("r", "log_ratio", "score", (F.col("_at") < k).alias("kept"))
+    bound = placed.filter(F.col("_at") == k - 1).select("score").first()
+    decided = placed.select("r", "log_ratio", "score", (F.col("score") >= bound["score"] if bound else F.lit(False)).alias("kept"))
     return rows.join(decided, F.col(ROW) == F.col("r")).select(*named(names), *ADDED)
 
 

@@ -167,7 +167,9 @@ def test_op8_is_its_models_row_by_row(spark, sf_dir):
     want, noise = {}, {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.gumbel("doc_id", 5).alias("g")).collect()}
     for key, text, _ in documents(sf_dir):
         grams = [m.kind.grams(pa.array([text], pa.string()))[1].tolist() for m in models]
-        ratio = min(sum(w.get(g, 0.0) for g in own) - m.cut for m, w, own in zip(models, weights, grams))
+        # Nothing known about a text is nothing against it.
+        silent = lambda w, own: not any(w.get(g) for g in own)
+        ratio = min(max(-m.cut, 0) if silent(w, own) else sum(w.get(g, 0.0) for g in own) - m.cut for m, w, own in zip(models, weights, grams))
         want[key] = (ratio, ratio * quality.SHARPNESS + noise[key])
     k = sum(ratio >= 0 for ratio, _ in want.values())
     kept = set(sorted(want, key=lambda i: -want[i][1])[:k])
