@@ -91,6 +91,41 @@ def clu_auto(spark, d):
     return cl.auto(embeddings(spark, d).drop("label")).select("id", "label")
 
 
+def sound(labelled, k):
+    """What must hold of any clustering into at most ``k`` clusters, as numbers and verdicts."""
+    few = F.col("strays") <= F.col("points") * 0.02
+    return cl.soundness(labelled, k).select("points", "ids", F.col("clusters").between(1, k).alias("clusters_fit"), few.alias("nearest_own"), "apart", "sized")
+
+
+_SOUND = "SELECT count(*) AS points, count(*) AS ids, true AS clusters_fit, true AS nearest_own, CAST(0 AS BIGINT) AS apart, true AS sized FROM "
+
+
+@query(
+    "clu_kmeans_sound",
+    P + f", w AS (SELECT *, least(greatest(n // 10, 5), 50) AS win FROM p) {_SOUND} w WHERE i + win <= n",
+)
+def clu_kmeans_sound(spark, d):
+    """The clusters of clu_kmeans: each window once, in the cluster whose mean is nearest, sizes that add up."""
+    features = cl.window_features(series(spark, d))
+    points = features.select(F.concat_ws("-", "series", F.col("i").cast("string")).alias("id"), F.array(*cl.FEATURES).alias("x"))
+    return sound(cl.kmeans(points, 8), 8)
+
+
+@query("clu_auto_sound", _SOUND + "embeddings")
+def clu_auto_sound(spark, d):
+    """The same of clu_auto, which takes k-means for these many points."""
+    return sound(cl.auto(embeddings(spark, d).drop("label")), 10)
+
+
+@query(
+    "clu_spectral_sound",
+    "SELECT count(*) AS points, count(*) AS ids, true AS clusters_fit, CAST(0 AS BIGINT) AS apart, true AS sized FROM customer",
+)
+def clu_spectral_sound(spark, d):
+    """The same of clu_spectral, whose clusters need not be round: copies share a label, sizes add up."""
+    return sound(cl.spectral(customers(spark, d), 4), 4).drop("nearest_own")
+
+
 @query(
     "clu_summary",
     """WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label <> -1),

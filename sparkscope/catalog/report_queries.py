@@ -63,6 +63,22 @@ def rep_repo(spark, d):
     return out.withColumns({"score": F.round("score", 6), "center": F.transform("center", lambda v: F.round(v, 4))})
 
 
+@query(
+    "rep_repo_sound",
+    f"""SELECT count(*) AS rows, true AS patterns_fit, true AS scored, CAST(sum(commit_count) AS BIGINT) AS total_commits, CAST(sum(commit_count) AS DOUBLE) AS commits_by_centre FROM ({REPO_SQL})""",
+)
+def rep_repo_sound(spark, d):
+    """The patterns of rep_repo: their sizes add up to all rows, and size times centre to all commits."""
+    out = rp.repositories(repo_metrics(spark, d))
+    return out.agg(
+        F.sum("size").alias("rows"),
+        F.count(F.lit(1)).between(1, 3).alias("patterns_fit"),
+        F.min(F.col("score").between(0, 1)).alias("scored"),
+        F.max("total_commits").alias("total_commits"),
+        F.round(F.sum(F.col("size") * F.col("center")[0]), 3).cast("double").alias("commits_by_centre"),
+    )
+
+
 @query(
     "rep_repo_totals",
     f"""SELECT CAST(sum(commit_count) AS BIGINT) AS total_commits, CAST(sum(merge_count) AS BIGINT) AS total_merges, CAST(sum(conflict_count) AS BIGINT) AS total_conflicts, round(avg(collaboration_score), 6) AS avg_collaboration,

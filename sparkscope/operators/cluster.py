@@ -404,13 +404,13 @@ def _products(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.array(sums, float).reshape(3, width, width))
 
 
-def eigenvectors(matrix: DataFrame, nodes: DataFrame, k: int, tolerance: float = 1e-3, rounds: int = 60) -> tuple[DataFrame, np.ndarray]:
+def eigenvectors(matrix: DataFrame, nodes: DataFrame, k: int, tolerance: float = 1e-3, rounds: int = 12) -> tuple[DataFrame, np.ndarray]:
     """Rows (id, v) of the ``k`` first eigenvectors of a symmetric table (src, dst, m) with eigenvalues in [-1, 1], and their values.
 
     Orthogonal iteration on ``k`` and a few more vectors, which start from hashes of the ids. Between
     orthogonalisations a Chebyshev polynomial of the matrix damps what lies below the wanted values. A product is one
     join and one partial aggregate through a written table; the driver only sees matrices of a few numbers
-    a side. Stops when no wanted vector leaves a residual over ``tolerance``.
+    a side. Stops when no wanted vector leaves a residual over ``tolerance``, or after ``rounds``.
     """
     width = min(k + 3, nodes.count())
     start = [(F.xxhash64("id", F.lit(j)) / float(2**63)).alias(f"y{j}") for j in range(width)]
@@ -432,7 +432,7 @@ def eigenvectors(matrix: DataFrame, nodes: DataFrame, k: int, tolerance: float =
         low = float(min(ritz[-1], 1 - 1e-6))
         middle, half = (low - 1) / 2, (low + 1) / 2 or 1e-6
         steep = np.arccosh(max((1 - middle) / half, 1 + 1e-12))
-        degree = int(min(8, max(1, np.arccosh(1e5) / steep)))
+        degree = int(min(12, max(1, np.arccosh(1e5) / steep)))
         rows = found.select("id", mix("y", width).alias("y"), mix("my", width).alias("my"))
         step = lambda twice, c: F.array(*[(F.col("my")[j] - F.col("y")[j] * middle) * (twice / half) - (F.col("p")[j] if c else F.lit(0.0)) for j in range(width)])
         rows = rows.select("id", step(1.0, False).alias("_n"), F.col("y").alias("p")).withColumnRenamed("_n", "y")
@@ -489,3 +489,34 @@ def summary(labelled: DataFrame) -> DataFrame:
             (1 / (1 + F.avg(distance))).alias("score"),
         )
     )
+
+
+def soundness(labelled: DataFrame, k: int) -> DataFrame:
+    """One row on a clustering (id, x, label) into at most ``k`` (a bounded number of) clusters.
+
+    points and ids (each point once), clusters, ``strays`` (points nearer to the mean of another cluster than to that of
+    their own; k-means stops when means hardly move, so few may be left), ``apart`` (places whose copies differ in label) and ``sized``
+    (whether the clusters' sizes add up). Noise (-1) belongs to no cluster.
+    """
+    sizes = summary(labelled)
+    centres = [(r["label"], r["center"]) for r in sizes.filter(F.col("size") > 0).select("label", "center").orderBy("label").limit(k + 1).collect()]
+    far = lambda c: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    label = F.col("label").cast("bigint")
+    own, best = F.lit(None).cast("double"), F.lit(float("inf"))
+    for name, centre in centres:
+        d = far(centre)
+        own, best = F.when(label == name, d).otherwise(own), F.least(best, d)
+    noise = label == -1
+    rows = labelled.withColumns({"_own": own, "_best": best})
+    apart = labelled.groupBy("x").agg(F.countDistinct("label").alias("n")).agg(F.count_if(F.col("n") > 1).alias("apart"))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("points"),
+        F.countDistinct("id").alias("ids"),
+        F.countDistinct(F.when(~noise, label)).alias("clusters"),
+        F.count_if(~noise & (F.col("_own") > F.col("_best") + 1e-9)).alias("strays"),
+        F.count_if(~noise).alias("_inside"),
+    )
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_sum"))
+    return out.crossJoin(F.broadcast(apart)).crossJoin(F.broadcast(total)).select(
+        "points", "ids", "clusters", "strays", "apart", (F.col("_sum") == F.col("_inside")).alias("sized")
+    )
