@@ -82,3 +82,27 @@ def test_a_broken_stage_is_counted_and_skipped(spark):
     chain = jobs.Chain([("bad", lambda d: d.select("nope")), ("good", lambda d: d.withColumn("x", F.lit(1)))])
     assert chain.build(spark.range(2)).columns == ["id", "x"]
     assert list(chain.skipped) == ["bad"]
+
+
+def test_idle_keys_leave_the_state(spark):
+    """When the watermark passes a key by its idle time, its window closes as it is, its alert is resolved, and it is no state any more."""
+    path = scratch(spark, "idle")
+    for hour, rows_ in enumerate([[("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5)], [("b", 6)], [("b", 7)], [("b", 8)]]):
+        made = spark.createDataFrame([(k, seq, float(seq), True, 0) for k, seq in rows_], "key string, seq bigint, value double, hit boolean, cooldown_seconds bigint")
+        made = made.withColumn("ts", F.lit(f"2024-01-01 {hour * 2:02d}:00:00").cast("timestamp")).select("key", "ts", "seq", "value", "hit", "cooldown_seconds")
+        made.coalesce(1).write.mode("append").parquet(path)
+
+    def live():
+        return stream_files(spark, path, made.schema, files_per_trigger=1)
+
+    out, checkpoint = scratch(spark, "idle-out"), scratch(spark, "idle-checkpoint")
+    query = jobs.start(state.count_windows(live(), 2, idle_seconds=3 * 3600), out, checkpoint)
+    query.awaitTermination()
+    got = sorted((r["key"], r["window_no"], r["rows"], r["total"]) for r in spark.read.parquet(out).collect())
+    # a and c were closed when they were full; nothing of them is left to give, and b goes on.
+    assert got == [("a", 0, 2, 3.0), ("b", 0, 2, 9.0), ("b", 1, 2, 15.0), ("c", 0, 2, 9.0)]
+    assert query.recentProgress[-1].stateOperators[0].numRowsTotal == 1
+    odd = sorted((r["key"], r["window_no"], r["rows"], r["total"]) for r in jobs.drain(state.count_windows(live(), 4, idle_seconds=3 * 3600), "odd").collect())
+    assert odd == [("a", 0, 2, 3.0), ("b", 0, 4, 24.0), ("c", 0, 2, 9.0)]
+    alerts_ = jobs.drain(state.alert_changes(live(), idle_seconds=3 * 3600), "idle-alerts")
+    assert sorted((r["key"], r["status"]) for r in alerts_.collect()) == [("a", "Active"), ("a", "Resolved"), ("b", "Active"), ("c", "Active"), ("c", "Resolved")]
