@@ -92,12 +92,23 @@ def test_scores_beyond_64_bits(spark):
 
 
 def test_equal_hashes_are_told_apart():
-    stream = phrases.Stream(np.array([0, 1, 2, 0, 3, 4, 0, 1, 2], np.int32).tobytes(), np.arange(1, 5, dtype=np.uint64).tobytes())
-    at = np.array([1, 4, 7])
-    out = stream.counts(at, 2, np.zeros(3, np.uint64))
-    assert sorted(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == [
-        (np.array([1, 2], ">u8").tobytes(), 2), (np.array([3, 4], ">u8").tobytes(), 1)
-    ]
+    words = np.array([[1, 2], [3, 4], [1, 2], [5, 6], [3, 4]], np.uint64)
+    found = phrases.distinct(words, np.array([1, 1, 2, 7, 1]), np.array([9, 9, 9, 4, 9], np.uint64))
+    assert found.words.tolist() == [[5, 6], [1, 2], [3, 4]] and found.n.tolist() == [7, 3, 2] and found.h.tolist() == [4, 9, 9]
+    assert len(phrases.distinct(words[:0], np.zeros(0, np.int64), np.zeros(0, np.uint64)).n) == 0
+
+
+def test_folding_holds_phrases_and_not_messages(monkeypatch):
+    """A phrase of every chunk: its messages are summed as they come."""
+    monkeypatch.setattr(phrases, "FOLD", 50)
+    most, real = [], phrases.distinct
+    monkeypatch.setattr(phrases, "distinct", lambda words, *rest: most.append(len(words)) or real(words, *rest))
+    words = np.array([[1, 2], [3, 4]], np.uint64)
+    names = ["bucket", "size", "words", "n"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([2], pa.int32()), pa.array([words.tobytes()]), pa.array([np.array([1, 2], np.int32).tobytes()])], names)
+    out = list(phrases.folded(iter([batch] * 10_000), 15_000))
+    assert [(c.to_pylist()) for c in out[0].columns] == [[words[1].astype(">u8").tobytes()], [20_000]]
+    assert max(most) < 60
 
 
 @given(st.lists(st.text("ab .\n", max_size=30), max_size=6), st.integers(1, 20))
