@@ -82,10 +82,10 @@ def test_nearest_in_many_dimensions(spark, monkeypatch, recorded):
 def test_single_link_with_an_outlier(spark, monkeypatch, recorded):
     """Two crowds and a far point: rounds stay near linear in pairs of blocks, the outlier costs its own search."""
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.uniform(0, 100, (1500, 2)), rng.uniform(0, 100, (1500, 2)) + 400, [[1e6, 1e6]]])
-    got = {r["id"]: r["label"] for r in cluster.single_link(frame(spark, x), 3, block=256).collect()}
-    assert [got[i] for i in range(3001)] == [0] * 1500 + [1500] * 1500 + [3000]
-    blocks = 3001 / 64
+    x = np.concatenate([rng.uniform(0, 100, (700, 2)), rng.uniform(0, 100, (700, 2)) + 400, [[1e6, 1e6]]])
+    got = {r["id"]: r["label"] for r in cluster.single_link(frame(spark, x), 3, block=128).collect()}
+    assert [got[i] for i in range(1401)] == [0] * 700 + [700] * 700 + [1400]
+    blocks = 1401 / 32
     assert max(pairs.count() for pairs in recorded) < 30 * blocks
 
 
