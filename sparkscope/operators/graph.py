@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from sparkscope.session import stage
+from sparkscope.session import drop, stage
 
 
 #: Edges that a task shrinks at once; a node with more than one of so many equal shares of all links is a hub.
@@ -43,13 +43,13 @@ def _stars(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"hi": nodes, "lo": nodes[low]}, dtype="int64")
 
 
-def with_least(links: DataFrame, rows: int) -> DataFrame:
+def with_least(links: DataFrame, rows: int, made: list[str] | None = None) -> DataFrame:
     """``links`` (u, v), at most ``rows`` of them, with m, the smallest v of each u, and no u's links in one task.
 
     Minima are partial aggregates. Nodes with more than a share of all rows, at most ``HUBS`` of them,
     get theirs by a broadcast; the links of all others meet them in a shuffle.
     """
-    around = stage(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    around = stage(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", made)
     hubs = around.filter(F.col("n") > rows // HUBS)
     hot = links.join(F.broadcast(hubs.select("u", "m")), "u")
     rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(around.select("u", "m"), "u")
@@ -62,7 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each partition first shrinks its own edges to stars, a bounded block at a time. Then, until nothing changes,
     alternates large-star and small-star steps (Kiveris et al., 2014), which need a
     logarithmic number of rounds and never gather a node's neighbours: each step is a
-    minimum per node and a join back, in which hubs are split (:func:`with_least`). Rounds go through written tables.
+    minimum per node and a join back, in which hubs are split (:func:`with_least`). Rounds go through written tables; a
+    round's tables go when the next one is written.
     """
     numbered = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
     contracted = stage(numbered.mapInPandas(_contract, "hi bigint, lo bigint"), "edges")
@@ -72,24 +73,26 @@ def components(edges: DataFrame) -> DataFrame:
     def state(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
-    now = state(pairs.distinct())
+    now, old = state(pairs.distinct()), []
     while now[0]:
-        rows, before = now[0], now
+        rows, before, made = now[0], now, []
         # Large star: every neighbour above a node links to the smallest one around it.
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        up = with_least(both, 2 * rows).filter("v > u")
-        large = stage(up.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
+        up = with_least(both, 2 * rows, made).filter("v > u")
+        large = stage(up.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large", made)
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        down = with_least(large, 2 * rows)
+        down = with_least(large, 2 * rows, made)
         small = (
             down.select(F.explode(F.array(F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")))).alias("link"))
             .select("link.*")
             .filter("hi <> lo")
             .distinct()
         )
-        pairs = stage(small, "stars")
+        pairs, last = stage(small, "stars", made), old
+        drop(pairs.sparkSession, last + made[:-1])
+        old = made[-1:]
         now = state(pairs)
         if now == before:
             break

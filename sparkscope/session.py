@@ -51,17 +51,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", made: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Cuts the lineage, so values that depend on a physical layout stay fixed when
-    executors are lost, and later passes read only the columns they need.
+    executors are lost, and later passes read only the columns they need. The path is appended to ``made``.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more, and empty the list."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Mark ``df`` for broadcast when it provably has at most ``max_rows`` rows.
 
