@@ -8,7 +8,7 @@ from sparkscope.catalog import query
 from sparkscope.model import FLAT_SQL, SERIES_SQL, SPANS_SQL, flat, records, series, spans, table
 from sparkscope.operators import aggregates as ag, rollups
 from sparkscope.operators.aggregates import AggregateRule
-from sparkscope.session import stage
+from sparkscope.session import small_side, stage
 
 REC = f"WITH rec AS ({FLAT_SQL}) "
 S = f"WITH s AS ({SERIES_SQL}) "
@@ -155,6 +155,8 @@ def agg_pct_approx(spark, d):
         F.percentile_approx("l_extendedprice", F.lit(0.5), F.lit(10_000)).alias("p50"),
         F.percentile_approx("l_extendedprice", F.lit(0.99), F.lit(10_000)).alias("p99"),
     )
+    # One row a flag: sent to the rows, which would else all be sorted in as many tasks as there are flags.
+    found = small_side(stage(found, "percentiles"))
     price, n = F.col("l_extendedprice"), F.count(F.lit(1))
 
     def within(column, q):

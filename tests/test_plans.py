@@ -62,3 +62,13 @@ def test_windows_over_rows_are_cut_into_blocks(spark, sf_dir):
 def test_postings_shuffle_texts_not_tokens(spark, sf_dir):
     text = plan(QUERIES["idx_postings"](spark, sf_dir))
     assert text.count("Exchange hashpartitioning(") == 1
+
+
+def test_rows_are_not_gathered_by_their_few_flags(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table of any size
+    try:
+        text = formatted(QUERIES["agg_pct_approx"](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
