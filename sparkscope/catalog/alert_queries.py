@@ -75,9 +75,9 @@ def alert_rules_table(spark, d):
         F.lit(0).cast("bigint").alias("cooldown_seconds"),
         F.lit(True).alias("enabled"),
     )
-    found = rules.hits(hourly(spark, d), many)
-    ends = F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most")
-    return found.groupBy("rule_id", "op").agg(F.count(F.lit(1)).alias("hits"), *ends)
+    found = rules.hits(hourly(spark, d), many, totals=True)
+    ends = F.round(F.min("least"), 6).alias("least"), F.round(F.max("most"), 6).alias("most")
+    return found.groupBy("rule_id", "op").agg(F.sum("hits").alias("hits"), *ends)
 
 
 @query(

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkscope.operators import intervals
+from sparkscope.operators import intervals, ordered
 from sparkscope.operators.alerts import EPSILON, AlertRule, holds
 from sparkscope.operators.quality import ERROR_PATTERNS, ErrorPattern, by_keyword
 from sparkscope.session import stage
@@ -155,11 +155,86 @@ def _range(low: Column | None, high: Column | None) -> Column:
     return F.struct((none if low is None else low).alias("from"), (none if high is None else high).alias("to"))
 
 
-def hits(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+def _equals(low: pd.Series) -> pd.DataFrame:
+    """The first and last value that count as equal to each one; null for those without."""
+    x, out = low.to_numpy(float), []
+    with np.errstate(all="ignore"):
+        for side in (-math.inf, math.inf):
+            end = np.nextafter(np.nextafter(x + math.copysign(EPSILON, side), side), side)
+            while (far := np.isfinite(x) & ~(np.abs(end - x) < EPSILON)).any():
+                end = np.where(far, np.nextafter(end, x), end)
+            out.append(pd.Series(end, dtype="Float64").mask(~np.isfinite(x)))
+    return pd.DataFrame(dict(zip(("first", "last"), out)))
+
+
+def _totals(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """For every enabled rule and range of values that hit it: how many hits, the least and the most value.
+
+    Values and the ends of all ranges are sorted once; a range's hits are the difference of two positions there, so
+    neither depends on how many rows a rule hits.
+    """
+    value = F.col("value").cast("double")
+    values = metrics.filter("value IS NOT NULL AND metric IS NOT NULL").groupBy("metric", value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = stage(values, "values")
+    every = values.groupBy("metric").agg(F.sum("n").alias("_all"), F.min("v").alias("_min"), F.max("v").alias("_max"))
+    op, low, high = F.col("op"), F.col("low"), F.col("high")
+    none = F.lit(None).cast("double")
+
+    def span(low=none, low_in=False, high=none, high_in=False):
+        return F.struct(low.alias("from"), F.lit(low_in).alias("from_in"), high.alias("to"), F.lit(high_in).alias("to_in"))
+
+    same = F.col("_same")
+    ranges = (
+        F.when(op == "gt", F.array(span(low)))
+        .when(op == "lt", F.array(span(high=low)))
+        .when((op == "eq") & same["first"].isNotNull(), F.array(span(same["first"], True, same["last"], True)))
+        .when((op == "between") & high.isNotNull(), F.array(span(low, True, high, True)))
+        .when((op == "ne") & same["first"].isNull(), F.array(span()))
+        .when(op == "ne", F.array(span(high=same["first"]), span(same["last"])))
+        .when((op == "outside") & high.isNull(), F.array(span(high=low)))
+        .when((op == "outside") & (low > high), F.array(span()))
+        .when(op == "outside", F.array(span(high=low), span(high)))
+    )
+    equals = F.pandas_udf(_equals, "struct<first: double, last: double>")
+    asked = _enabled(rules).filter(low.isNotNull()).withColumn("_same", equals("low"))
+    asked = asked.select(F.col("rule_metric").alias("metric"), "rule_id", "op", "low", "high", "severity", "cooldown_seconds", F.explode(ranges).alias("_r"))
+    asked = stage(asked, "ranges")
+    ends = asked.select("metric", F.explode(F.array("_r.from", "_r.to")).alias("v")).filter("v IS NOT NULL").distinct()
+    both = values.unionByName(ends.select("metric", "v", F.lit(0).cast("bigint").alias("n")))
+    places = both.groupBy("metric", "v").agg(F.sum("n").alias("n")).withColumn("_d", (F.col("n") > 0).cast("bigint"))
+    placed = ordered.cumulative(places, ["metric"], ["v"], "n", "_below", "_t").drop("_t")
+    placed = stage(ordered.cumulative(placed, ["metric"], ["v"], "_d", "_i", "_t").drop("_t"), "places")
+    # The values right before and after each place.
+    found = placed.filter("_d = 1").select("metric", F.col("_i").alias("_at"), F.col("v").alias("_v"))
+    before = found.select("metric", (F.col("_at") + 1).alias("_i"), F.col("_v").alias("_before"))
+    after = found.select("metric", F.col("_at").alias("_next"), F.col("_v").alias("_after"))
+    around = placed.withColumn("_next", F.col("_i") + F.col("_d")).join(before, ["metric", "_i"], "left").join(after, ["metric", "_next"], "left")
+    own = F.when(F.col("_d") == 1, F.col("v"))
+    around = around.select(
+        "metric", "v", "_below", (F.col("_below") + F.col("n")).alias("_upto"),
+        "_before", "_after", F.coalesce(own, "_before").alias("_at_most"), F.coalesce(own, "_after").alias("_at_least"),
+    )
+    around = stage(around, "around")
+    side = lambda end: around.select("metric", F.col("v").alias(f"_{end}"), F.struct(*[c for c in around.columns if c[0] == "_"]).alias(f"_{end}_at"))
+    met = asked.withColumns({"_from": F.col("_r.from"), "_to": F.col("_r.to")}).join(every, "metric")
+    met = met.join(side("from"), ["metric", "_from"], "left").join(side("to"), ["metric", "_to"], "left")
+    start, stop, r = F.col("_from_at"), F.col("_to_at"), F.col("_r")
+    skipped = F.when(r["from"].isNull(), 0).when(r["from_in"], start["_below"]).otherwise(start["_upto"])
+    reached = F.when(r["to"].isNull(), F.col("_all")).when(r["to_in"], stop["_upto"]).otherwise(stop["_below"])
+    least = F.when(r["from"].isNull(), F.col("_min")).when(r["from_in"], start["_at_least"]).otherwise(start["_after"])
+    most = F.when(r["to"].isNull(), F.col("_max")).when(r["to_in"], stop["_at_most"]).otherwise(stop["_before"])
+    out = met.select("rule_id", "metric", "op", "low", "high", "severity", "cooldown_seconds", (reached - skipped).alias("hits"), least.alias("least"), most.alias("most"))
+    return out.filter("hits > 0")
+
+
+def hits(metrics: DataFrame, rules: DataFrame, totals: bool = False) -> DataFrame:
     """The rows of :func:`judged` that hit, without going through the rules that do not.
 
     A rule becomes the ranges of values that can hit it, and values meet the ranges of their metric in an interval join.
+    With ``totals`` the rows are counted, not made: per rule and range ``hits``, ``least`` and ``most``.
     """
+    if totals:
+        return _totals(metrics, rules)
     op, low, high = F.col("op"), F.col("low"), F.col("high")
     ranges = (
         F.when(op == "gt", F.array(_range(low, None)))

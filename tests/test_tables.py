@@ -68,6 +68,22 @@ def test_alert_rules_from_a_table(spark):
     assert pick(rules.hits(df, table)) == pick(want.filter("hit"))
 
 
+def test_alert_rules_are_counted_without_their_rows(spark):
+    rng = random.Random(6)
+    odd = [math.nan, math.inf, -math.inf, 0.0, -0.0, 1e-20, 0.5, math.nextafter(0.5, 1), math.nextafter(1, 0), 1.0, math.nextafter(1, 2), 3.0, math.nextafter(3, 4)]
+    ops = ["gt", "lt", "eq", "ne", "between", "outside"]
+    ends = lambda: rng.choice([*odd, *range(-3, 13)])
+    own = [AlertRule(f"r{i}", rng.choice("abd"), rng.choice(ops), ends(), rng.choice([None, ends()]), enabled=i % 9 > 0) for i in range(200)]
+    values = [(m, float(v)) for m in "abc" for v in [*range(-4, 15), *odd] for _ in range(1 + int(v == 3))] + [("b", None), (None, 1.0)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "id long, metric string, value double").cache()
+    table = rules.rule_table(spark, own)
+    ends = lambda low, high: (F.min(low).alias("least"), F.max(high).alias("most"))
+    want = alerts.judge(df, own).filter("hit").groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), *ends("value", "value"))
+    got = rules.hits(df, table, totals=True).groupBy("rule_id").agg(F.sum("hits").alias("hits"), *ends("least", "most"))
+    pick = lambda x: sorted((r["rule_id"], r["hits"], str(r["least"] + 0.0), str(r["most"] + 0.0)) for r in x.collect())
+    assert pick(got) == pick(want)
+
+
 def test_rollups_merge(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), "hot" if i % 3 else "b", float(v), int(u)) for i, v, u in zip(range(30_000), rng.normal(size=30_000), rng.integers(0, 4000, 30_000))]
