@@ -282,7 +282,7 @@ def _documents(spark, f, item, outer, scope, items, label):
     inner = F.array(F.struct(F.col("xs").alias(items)))
     doc = F.struct(F.array(F.struct(resource.alias("resource"), inner.alias(scope))).alias(outer))
     path = scratch(spark, label)
-    docs.select(F.to_json(doc).alias("value")).write.text(path)
+    docs.select(F.to_json(doc).alias("value")).write.text(path, compression="gzip")
     return path
 
 

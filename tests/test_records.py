@@ -308,3 +308,12 @@ def test_tenants_without_a_quota_take_the_default(spark):
     samples = spark.createDataFrame([(t, i, i, 1.0) for t in "ab" for i in range(5)], "tenant_id string, ts long, seq long, cpu_cores double")
     scale = {r["tenant_id"]: r["scale_up"] for r in tenancy.needs_scaling(samples, quotas).collect()}
     assert scale == {"a": False, "b": True}
+
+
+def test_landed_otlp_documents_are_compressed(spark, sf_dir):
+    from sparkscope.catalog import io_queries
+
+    f = io_queries.flat(spark, sf_dir)
+    path = io_queries._documents(spark, f, F.struct(F.col("event_type").alias("name")), "resourceSpans", "scopeSpans", "spans", "otlp-test")
+    files = [r[0] for r in spark.read.text(path).select("_metadata.file_path").distinct().collect()]
+    assert files and all(name.endswith(".gz") for name in files)
