@@ -23,12 +23,20 @@ PATTERN_COLUMNS = "name string, pattern string, error_type string, severity stri
 #: What ends a literal run of a pattern, and what makes its last letter optional.
 _META = re.compile(r"\.|[*+?{}^$]")
 _NESTED = re.compile(r"[()\[\]\\{}]")
+#: What patterns with classes are not looked into for, and a class of plain letters, digits and spans of them.
+_DEEP = re.compile(r"[()\\{}]")
+_CLASS = re.compile(r"\[((?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9 _])+)\]")
+#: Bytes of a key, and spellings of one needle at most.
+LENGTHS, SPELLINGS = (3, 4, 6, 8, 12, 16), 64
+#: Text bytes that a task looks through at once, about.
+RUN = 4 << 20
+_U = np.uint64
 
 
 def needles(pattern: str) -> list[str]:
     """One literal of at least three bytes for each alternative, which every match of it holds; else none.
 
-    Patterns with groups, classes or escapes are not looked into. They have no needles and meet every message.
+    Patterns with groups, classes or escapes are not looked into.
     """
     if _NESTED.search(pattern):
         return []
@@ -48,9 +56,103 @@ def needles(pattern: str) -> list[str]:
     return out
 
 
-def _gram(text: str) -> int:
-    """The first three bytes as a number below 2^24."""
-    return int.from_bytes(text.encode()[:3], "big")
+def _alternatives(pattern: str) -> list[list[tuple[str, ...] | None]] | None:
+    """The alternatives of a pattern as lists of what a place must hold, one of some letters, or None for anything."""
+    if _DEEP.search(pattern):
+        return None
+    out, at = [[]], 0
+    while at < len(pattern):
+        here = pattern[at]
+        if here == "[":
+            found = _CLASS.match(pattern, at)
+            if not found:
+                return None
+            letters = re.findall(r"[A-Za-z0-9]-[A-Za-z0-9]|.", found[1])
+            letters = {chr(c) for x in letters for c in range(ord(x[0]), ord(x[-1]) + 1)}
+            out[-1].append(tuple(sorted(letters)) if len(letters) <= SPELLINGS else None)
+            at = found.end()
+            continue
+        if here == "|":
+            out.append([])
+        elif here in "*?":  # the letter before may be missing
+            out[-1][-1:] = [None]
+        elif here in ".+^$":
+            out[-1].append(None)
+        else:
+            out[-1].append((here,))
+        at += 1
+    return out
+
+
+def spelt_needles(pattern: str) -> list[str]:
+    """The needles of a pattern, a class of plain letters as all its spellings: one of them is in every match.
+
+    Patterns with groups, other classes or escapes are not looked into. They have no needles and meet every message.
+    """
+    out = needles(pattern)
+    if out:
+        return out
+    for places in _alternatives(pattern) or [[]]:
+        best, spelt = 0, []
+        for start in range(len(places)):
+            size, words = 0, [""]
+            for letters in places[start:]:
+                if letters is None or len(words) * len(letters) > SPELLINGS:
+                    break
+                words = [w + x for w in words for x in letters]
+                size = min(len(w.encode()) for w in words)
+                # The longest, up to what a key can tell; then the one with the fewest spellings.
+                told = min(size, LENGTHS[-1])
+                if told >= LENGTHS[0] and (told, -len(words)) > (best, -len(spelt)):
+                    best, spelt = told, words
+                if told == LENGTHS[-1]:
+                    break
+        if not spelt:
+            return []
+        out += spelt
+    return out
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def _codes(data: np.ndarray, lengths: Sequence[int] = LENGTHS) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length that the bytes reach, a hash of that many bytes from each place on."""
+    runs = {1: data.astype(_U)}
+    for n in (2, 4, 8):
+        if len(data) >= n:
+            half = runs[n // 2]
+            runs[n] = (half[: -(n // 2)] << _U(4 * n)) | half[n // 2 :]
+    for length in lengths:
+        if len(data) < length:
+            return
+        n = max(k for k in runs if k <= length)  # two such runs overlap or meet
+        part = runs[n]
+        yield length, _mix((part[: len(part) - length + n] + _U(length)) * _U(0x9E3779B97F4A7C15) ^ part[length - n :])
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, row after the last, offsets and bytes of runs of about ``RUN`` bytes, or one longer text."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + RUN, "right")) - 1)
+        yield start, stop, at[start : stop + 1] - at[start], data[at[start] : at[stop]]
+        start = stop
+
+
+def _keys(found: Sequence[str]) -> list[tuple[int | None, int | None]]:
+    """Key and length of each needle's first bytes, as many as a key can have."""
+    out = set()
+    for data in (x.encode() for x in found):
+        length = max(n for n in LENGTHS if n <= len(data))
+        out.add((int(next(_codes(np.frombuffer(data[:length], np.uint8), [length]))[1].view(np.int64)[0]), length))
+    return sorted(out) or [(None, None)]
 
 
 def pattern_table(spark, patterns: Sequence[ErrorPattern]) -> DataFrame:
@@ -60,15 +162,16 @@ def pattern_table(spark, patterns: Sequence[ErrorPattern]) -> DataFrame:
 
 
 def _index(patterns: DataFrame) -> DataFrame:
-    """(gram, rule, pattern) rows: a pattern under a gram of each alternative, or under -1."""
+    """The patterns with ``key`` and ``length``, one row for each key of theirs; both are null where there is none."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams = [sorted({_gram(x) for x in needles(p)}) or [-1] for p in batch["pattern"]]
-            yield pd.DataFrame({"gram": grams, "rule": batch["rule"]})
+            rows = [(*key, rule) for p, rule in zip(batch["pattern"], batch["rule"]) for key in _keys(spelt_needles(p))]
+            key, length, rule = ([r[i] for r in rows] for i in range(3))  # as objects: a null must not make floats of keys
+            yield pd.DataFrame({"key": pd.array(key, "Int64"), "length": pd.array(length, "Int32"), "rule": rule})
 
-    held = patterns.select("pattern", "rule").mapInPandas(work, "gram array<int>, rule string")
-    return stage(held.select(F.explode("gram").alias("gram"), "rule").join(patterns, "rule"), "pattern-index")
+    held = patterns.select("pattern", "rule").mapInPandas(work, "key bigint, length int, rule string")
+    return stage(held.join(patterns, "rule"), "pattern-index")
 
 
 def classify(messages: DataFrame, patterns: DataFrame, message: str = "message", disabled: Sequence[str] = (), default: tuple[str, str] = ("Unknown", "Error")) -> DataFrame:
@@ -78,8 +181,8 @@ def classify(messages: DataFrame, patterns: DataFrame, message: str = "message",
     (without the ``disabled`` names) that match a message, the highest priority plus match length in bytes wins; on a tie built-in
     ones in their order, then the smallest name. Then the first keyword counts, then ``default``.
 
-    Patterns are indexed by three bytes that each match must hold. Tasks look up which of those, at most 2^24, occur in a
-    message; candidates meet their pattern in a join and are verified there. Patterns without such bytes
+    Patterns are indexed by 3 to 16 bytes that each match must hold. Tasks look up which of those occur in a message by a bit filter
+    of at most 2 MB; candidates meet their pattern in a join and are verified there. Patterns without such bytes
     meet every message. Null messages get the default.
     """
     spark = messages.sparkSession
@@ -89,31 +192,44 @@ def classify(messages: DataFrame, patterns: DataFrame, message: str = "message",
     fixed = [(f"a{i:04d}", *p) for i, p in enumerate(ERROR_PATTERNS) if p[0] not in disabled]
     built_in = spark.createDataFrame(fixed, "rule string, name string, pattern string, error_type string, severity string, priority int")
     index = _index(own.unionByName(built_in))
-    used = np.array(index.select("gram").distinct().toPandas()["gram"], np.int64)  # at most 2^24 and one
-    everywhere, wanted = bool((used < 0).any()), np.zeros(1 << 24, bool)
-    wanted[used[used >= 0]] = True
+    everywhere = index.filter("key IS NULL").drop("key", "length")
+    keyed = index.filter("key IS NOT NULL")
+    bits = min(24, max(10, (64 * keyed.count()).bit_length()))
+    lengths = sorted(r["length"] for r in keyed.select("length").distinct().collect())
+    two = F.array(F.shiftrightunsigned("key", 64 - bits).cast("int"), F.col("key").bitwiseAND((1 << bits) - 1).cast("int"))
+    wanted = np.zeros(1 << bits, bool)
+    for r in keyed.select(F.explode(two).alias("slot")).distinct().toLocalIterator():
+        wanted[r["slot"]] = True
     sent = np.packbits(wanted)
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(sent).astype(bool)
         for batch in batches:
-            rows, found = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer((text or "").encode(), np.uint8).astype(np.int32)
-                codes = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:] if len(data) > 2 else data[:0]
-                hit = np.unique(codes[held[codes]])
-                if everywhere and text is not None:
-                    hit = np.append(hit, -1)
-                rows.append(np.full(len(hit), row, np.int64))
-                found.append(hit.astype(np.int32))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))], ["_row", "gram"])
+            for start, stop, ends, data in _texts(batch.column(1)):
+                rows, found = [], []
+                for length, codes in _codes(data, lengths):
+                    hit = np.flatnonzero(held[codes >> _U(64 - bits)])
+                    hit = hit[held[codes[hit] & _U((1 << bits) - 1)]]
+                    row = np.searchsorted(ends, hit, "right") - 1
+                    inside = hit + length <= ends[row + 1]
+                    rows.append(row[inside])
+                    found.append(codes[hit[inside]].view(np.int64))
+                if rows:
+                    row, key = np.concatenate(rows), np.concatenate(found)
+                    order = np.lexsort((key, row))
+                    row, key = row[order], key[order]
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+                    names = batch.column(0).slice(start, stop - start).take(pa.array(row[new]))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(key[new])], ["_row", "key"])
 
     numbered = stage(messages.withColumn("_row", F.monotonically_increasing_id()), "messages")
     text = F.col(message)
-    keys = numbered.select("_row", message).mapInArrow(grams, "_row bigint, gram int")
-    candidates = keys.join(index, "gram").dropDuplicates(["_row", "rule"])
+    keys = numbered.select("_row", message).mapInArrow(keys_of, "_row bigint, key bigint")
+    candidates = keys.join(keyed, "key").drop("key", "length").dropDuplicates(["_row", "rule"])
     met = candidates.join(numbered.select("_row", message), "_row")
+    if not everywhere.isEmpty():
+        met = met.unionByName(numbered.filter(text.isNotNull()).select("_row", message).crossJoin(everywhere))
     match = F.call_function("regexp_extract", text, F.col("pattern"), F.lit(0))
     held = met.withColumn("_match", match).filter((F.col("_match") != "") | F.regexp_like(text, F.col("pattern")))
     answer = F.struct("error_type", "severity", F.lit("pattern").alias("method"), F.col("name").alias("matched"))

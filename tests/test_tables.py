@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkscope.operators import alerts, quality, rollups, rules
 from sparkscope.operators.alerts import AlertRule
 from sparkscope.operators.quality import ErrorPattern
-from sparkscope.session import scratch
+from sparkscope.session import scratch, stage
 from sparkscope.sources import snapshots
 
 
@@ -22,6 +22,26 @@ def test_needles():
     assert {p: rules.needles(p) for p in cases} == cases
 
 
+def test_needles_of_short_classes():
+    cases = {"[0-9]12": [f"{i}12" for i in range(10)], "abcdef|[x-z]9!": ["abcdef", "x9!", "y9!", "z9!"], "[0-9]5": [], "[^a]bcd": [], "[a|b]cd+": []}
+    assert {p: rules.spelt_needles(p) for p in cases} == cases
+
+
+def test_patterns_with_classes_meet_few_messages(spark, monkeypatch):
+    """A pattern is only tried on messages that hold its needle, and no key is shared by all messages."""
+    own = [ErrorPattern(f"n{i}", f"Head number {i} of|[0-9]{i}", "Validation", "Warning", 500) for i in range(100, 140)]
+    own += [ErrorPattern("short", "[0-9]x", "Timeout", "Error", 700), ErrorPattern("long", "abcdefghijklmnopqrstuvw.*é", "Timeout", "Error", 900)]
+    texts = ["Head number 117 of", "7104", "104", "Head number 117", "7x", "", None, "abcdefghijklmnopqrstuvw é", "abcdefghijklmnopqrstuv é"] + [f"text {i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, message string").repartition(3)
+    monkeypatch.setattr(rules, "RUN", 64)
+    made = {}
+    monkeypatch.setattr(rules, "stage", lambda df, label: made.setdefault(label, stage(df, label)))
+    want = df.select("id", "message", quality.classify_error(F.col("message"), own).alias("a")).select("id", "message", "a.*")
+    got = rules.classify(df, rules.pattern_table(spark, own))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert [r["rule"] for r in made["pattern-index"].filter("key IS NULL").collect()] == ["bshort"]
+
+
 def test_patterns_from_a_table(spark):
     """The same answers as patterns in the plan, for many messages and odd patterns."""
     own = [
