@@ -145,7 +145,7 @@ class Pieces:
         new = list({p for p in chain.from_iterable(lists) if p not in ids})
         ids.update(zip(new, self.raw(new)))
         get = ids.__getitem__
-        out = [b"".join(map(get, found)) for found in lists]
+        out = [get(found[0]) if len(found) == 1 else b"".join(map(get, found)) for found in lists]
         if len(ids) > KEPT:
             self.extra += new
             if len(self.extra) > EXTRA:
@@ -158,6 +158,37 @@ class Pieces:
         return out
 
 
+class WordPieces(Pieces):
+    """Pieces of a file with word ends. ASCII ones, single matches all, go through the library many at a time and are told apart by their ends."""
+
+    def load(self, path: str) -> None:
+        super().load(path)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[i for word, i in words.items() if suffix and word.endswith(suffix)]] = True
+
+    def raw(self, strings: list[str]) -> list[bytes]:
+        plain = [s for s in strings if s.isascii()]
+        out: list[bytes] = []
+        for i in range(0, len(plain), 4096):
+            out += self._cut(plain[i : i + 4096])
+        if len(plain) == len(strings):
+            return out
+        one, other = iter(out), iter(super().raw([s for s in strings if not s.isascii()]))
+        return [next(one if s.isascii() else other) for s in strings]
+
+    def _cut(self, strings: list[str]) -> list[bytes]:
+        (found,) = self.tokenizer.encode_batch_fast([" ".join(strings)], add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        if len(ids) and int(ids.max()) < len(self.ends):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(strings) and ends[-1] == len(ids):  # each piece has one end, its last id
+                blob, ends = ids.tobytes(), (4 * ends).tolist()
+                return [blob[a:b] for a, b in zip([0, *ends], ends)]
+        return super().raw(strings)
+
+
 class ByteLevel(Chunked):
     """A byte-level BPE file. A space before a non-space begins a new match of the pattern, whatever stands before.
 
@@ -196,7 +227,7 @@ class WordLevel(Chunked):
         super().__init__()
         import regex
 
-        self.pieces, self.match = Pieces(path), regex.compile(self.PATTERN)
+        self.pieces, self.match = WordPieces(path), regex.compile(self.PATTERN)
 
     def cut(self, text: str) -> list[str]:
         # Python also splits at four control characters that the file keeps.
@@ -205,9 +236,14 @@ class WordLevel(Chunked):
     def encode_new(self, chunks: list[str]) -> list[bytes]:
         find, plain = self.match.findall, unicodedata.is_normalized
         # Pieces are cut in the normal form: lower case, and composed. Beyond Latin letters the file does that itself.
-        return self.pieces.encode(
-            [find(c.lower()) if c.isascii() or max(c) < "\u0200" and len(c.lower()) == len(c) and plain("NFC", c) else [c] for c in chunks]
-        )
+        lists = []
+        for c in chunks:
+            low = c.lower()
+            if c.isascii():
+                lists.append([low] if low.isalpha() else find(low))
+            else:
+                lists.append(find(low) if max(c) < "\u0200" and len(low) == len(c) and plain("NFC", c) else [c])
+        return self.pieces.encode(lists)
 
 
 _LOADED: dict[tuple, Chunked] = {}

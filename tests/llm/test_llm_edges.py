@@ -514,3 +514,18 @@ def test_words(texts):
 
 def test_checksums():
     assert brute.crc_ids([1, 2]) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_pieces_encoded_side_by_side_are_those_encoded_alone():
+    from sparkscope.llm.encoder import Pieces, WordLevel, WordPieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    match, rng = WordLevel(path).match, np.random.default_rng(5)
+    letters = [*map(chr, range(33, 127)), *"'stvmredl'", "\x00", "\x1c", "\x7f"]
+    strings = sorted({p for _ in range(3000) for p in match.findall("".join(rng.choice(letters, rng.integers(1, 12))).lower())} | {"</w>", "é", "a" * 500})
+    side_by_side, alone = WordPieces(path), Pieces(path)
+    assert side_by_side.raw(strings) == alone.raw(strings)
+    calls = []
+    side_by_side.tokenizer = type("T", (), {"encode_batch_fast": lambda self, x, **k: calls.append(len(x)) or alone.tokenizer.encode_batch_fast(x, **k)})()
+    side_by_side.raw(["".join("abcdefghij"[int(c)] for c in f"{i:05d}") for i in range(5000)])
+    assert sum(calls) == 2  # a call for thousands of pieces, not one sequence for each
