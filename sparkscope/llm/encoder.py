@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 
@@ -159,7 +159,7 @@ class Pieces:
 
 
 class WordPieces(Pieces):
-    """Pieces of a file with word ends. ASCII ones, single matches all, go through the library many at a time and are told apart by their ends."""
+    """Pieces of a file with word ends. Those of ASCII or of letters go through the library many at a time and are told apart by their ends."""
 
     def load(self, path: str) -> None:
         super().load(path)
@@ -169,21 +169,22 @@ class WordPieces(Pieces):
         self.ends[[i for word, i in words.items() if suffix and word.endswith(suffix)]] = True
 
     def raw(self, strings: list[str]) -> list[bytes]:
-        plain = [s for s in strings if s.isascii()]
+        apart = [s.isascii() or s.isalpha() for s in strings]
+        plain = list(compress(strings, apart))
         out: list[bytes] = []
         for i in range(0, len(plain), 4096):
             out += self._cut(plain[i : i + 4096])
         if len(plain) == len(strings):
             return out
-        one, other = iter(out), iter(super().raw([s for s in strings if not s.isascii()]))
-        return [next(one if s.isascii() else other) for s in strings]
+        one, other = iter(out), iter(super().raw([s for s, own in zip(strings, apart) if not own]))
+        return [next(one if own else other) for own in apart]
 
     def _cut(self, strings: list[str]) -> list[bytes]:
         (found,) = self.tokenizer.encode_batch_fast([" ".join(strings)], add_special_tokens=False)
         ids = np.array(found.ids, np.uint32)
         if len(ids) and int(ids.max()) < len(self.ends):
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(strings) and ends[-1] == len(ids):  # each piece has one end, its last id
+            if len(ends) == len(strings) and ends[-1] == len(ids):  # one end a piece, its last id; a piece never has none
                 blob, ends = ids.tobytes(), (4 * ends).tolist()
                 return [blob[a:b] for a, b in zip([0, *ends], ends)]
         return super().raw(strings)
