@@ -231,6 +231,8 @@ class WordLevel(Chunked):
         self.pieces, self.match = WordPieces(path), regex.compile(self.PATTERN)
 
     def cut(self, text: str) -> list[str]:
+        if text.isascii():  # there the normal form is the lower case, and fewer chunks differ
+            text = text.lower()
         # Python also splits at four control characters that the file keeps.
         return re.split(r"[ \t\n\r\f\v]+", text) if _SEPARATORS.search(text) else text.split()
 
