@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from llm import brute
 from sparkscope.llm import lines, phrases, whiten
@@ -170,3 +171,15 @@ def test_whiten_without_variance(spark):
     got = whiten.whiten(flat, whiten.fit(flat)).collect()
     assert all(r["whitened"][0] is not None and r["whitened"][1:] == [None, None] for r in got)
     assert whiten.identity_error(whiten.whiten(flat, whiten.fit(flat))) < 1e-9
+
+
+def test_phrase_filters_reach_the_driver_as_arrays(spark, monkeypatch):
+    frame = type(spark.range(1))
+    keys = spark.range(5000).select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("key")).repartition(3)
+    sizes, collect = [], frame.collect
+    monkeypatch.setattr(frame, "toPandas", lambda self: pytest.fail("rows"))
+    monkeypatch.setattr(frame, "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    held = phrases.filter_of(keys)
+    assert held.has(phrases.hashes(lambda j: np.arange(5000, dtype=np.uint64), 1)).all()
+    assert not held.has(phrases.hashes(lambda j: np.arange(10**6, 10**6 + 5000, dtype=np.uint64), 1)).all()
+    assert max(sizes) <= 100
