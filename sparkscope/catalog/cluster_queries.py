@@ -17,7 +17,7 @@ def customers(spark, d):
     )
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     x = F.array(F.col("c_acctbal") / 1000, F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("p", F.lit(0.0)) / 50_000)
-    return c.join(o, "id", "left").select("id", x.alias("x"))
+    return c.join(o.hint("merge"), "id", "left").select("id", x.alias("x"))
 
 
 def embeddings(spark, d):

@@ -52,7 +52,7 @@ def with_least(links: DataFrame, rows: int, made: list[str] | None = None) -> Da
     around = stage(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", made)
     hubs = around.filter(F.col("n") > rows // HUBS)
     hot = links.join(F.broadcast(hubs.select("u", "m")), "u")
-    rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(around.select("u", "m"), "u")
+    rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(around.select("u", "m").hint("merge"), "u")
     return hot.unionByName(rest)
 
 
@@ -97,4 +97,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
     root = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return nodes.join(root.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

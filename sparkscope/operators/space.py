@@ -162,10 +162,11 @@ def near(heads: DataFrame, boxes_: DataFrame, nearest: bool = False) -> DataFram
 def compared(pairs: DataFrame, left: DataFrame, right: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """Run ``compare(a, b, distances)`` on every pair of blocks (a, b); a task holds one pair.
 
-    Rows of ``a`` come from ``left`` and may carry ``_reach``: those farther than that from the box of ``b`` are left out.
+    Pairs grow with the points, so they meet them in a shuffle, never by a broadcast. Rows of ``a`` come from ``left`` and may carry ``_reach``: those farther than that from the box of ``b`` are left out.
     """
     cols = list(dict.fromkeys([*left.columns, *right.columns]))
     filled = lambda df: df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols if c != "_block"], "_block")
+    pairs = pairs.hint("merge")
     side_a = pairs.join(filled(left), F.col("a") == F.col("_block")).withColumn("_a", F.lit(True))
     side_b = pairs.join(filled(right), F.col("b") == F.col("_block")).withColumn("_a", F.lit(False))
     wanted = ["a", "b", "_a", *[c for c in cols if c != "_block"]]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkscope.catalog.cluster_queries import customers
 from sparkscope.operators import cluster, graph, space
 
 
@@ -89,6 +90,32 @@ def test_single_link_with_an_outlier(spark, monkeypatch, recorded):
     assert max(pairs.count() for pairs in recorded) < 30 * blocks
 
 
+def test_single_link_broadcasts_nothing_that_grows(spark, monkeypatch, tmp_path):
+    """Points, trees and pairs of blocks meet in shuffles; a broadcast would pass through the driver in every round."""
+    rng = np.random.default_rng(6)
+    money = rng.uniform(0, 9000, (24, 2)).tolist()
+    spark.createDataFrame([(i, m[0]) for i, m in enumerate(money)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, m[1] * 20) for i, m in enumerate(money) if i % 7], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    seen, real = [], cluster.stage
+    planned = lambda df, label: seen.append((label, df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(cluster, "stage", lambda df, label, *a: planned(df, label) or real(df, label, *a))
+    points = customers(spark, str(tmp_path))
+    out = cluster.single_link(points, 5, block=16)
+    planned(out, "out")
+    rows = points.collect()
+    x, ids = np.array([r["x"] for r in rows]), [r["id"] for r in rows]
+    d = distances(x)
+    of, left = list(range(len(ids))), len(ids)
+    for i, j in sorted(((i, j) for i in range(len(ids)) for j in range(i)), key=lambda p: d[p]):
+        if left > 5 and of[i] != of[j]:
+            of, left = [of[i] if c == of[j] else c for c in of], left - 1
+    least = {c: min(ids[i] for i in range(len(ids)) if of[i] == c) for c in of}
+    assert {r["id"]: r["label"] for r in out.collect()} == {ids[i]: least[c] for i, c in enumerate(of)}
+    grows = {"places", "trees", "ways", "bounded", "picked", "out"}
+    assert grows <= {label for label, _ in seen}
+    assert [label for label, plan in seen if label in grows and "Broadcast" in plan] == []
+
+
 def test_spanning_tree_of_ties(spark):
     """On a grid all edges are equally long; the tree is still one."""
     x = np.array([[i, j] for i in range(12) for j in range(9)], float)
