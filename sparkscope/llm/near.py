@@ -23,6 +23,8 @@ SHARED, ALL = 5, 4
 CROWD, BLOCK, STRIP = 64, 65_536, 4096
 #: Documents in a block; rows of a matrix that are judged at a time.
 DOCS_IN_BLOCK, ROWS = 1024, 256
+#: Keys are numbered from here on where they are nodes beside documents.
+KEYS = 1 << 62
 _U = np.uint64
 
 
@@ -213,10 +215,10 @@ def linked(candidates_: DataFrame) -> DataFrame:
     sets = candidates_.filter("key is null")
     members = candidates_.filter("key is not null").select("key", "doc", "n", F.col("doc").alias("joined"))
     found: list[DataFrame] = []
-    leaders_per_key = 1
+    leaders_per_key, before = 1, []
     while True:
-        open_ = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("joined").alias("low"), F.max("joined").alias("high"))
-        members = stage(members.join(open_.filter("size > 1 and low <> high").select("key", "size"), "key"), "near-members")
+        with recorded() as made:
+            members = stage(_led(members, leaders_per_key), "near-members")
         if members.isEmpty():
             break
         if found:
@@ -224,20 +226,38 @@ def linked(candidates_: DataFrame) -> DataFrame:
             if not many.isEmpty():
                 found.append(stage(crowded(many, sets), "near-crowds"))
             members = members.filter(F.col("size") <= CROWD)
-        slot = F.pmod(F.xxhash64("doc", F.lit(leaders_per_key)), F.lit(leaders_per_key))
-        lead = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "joined")).alias("l"))
-        met = members.join(lead.select("key", "l"), "key").filter("joined <> l.joined and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
+        met = members.select("doc", "n", "joined", F.explode("leaders").alias("l")).filter("joined <> l.joined and 5 * least(n, l.n) >= 4 * greatest(n, l.n)")
         pairs = met.select(F.least("doc", "l.doc").alias("a"), F.greatest("doc", "l.doc").alias("b")).distinct()
         found.append(stage(verified(pairs, sets), "near-links"))
-        done = lead.select("key", F.col("l.doc").alias("doc"))
-        members = members.select("key", "doc", "n").join(done, ["key", "doc"], "left_anti").join(_joined(reduce(DataFrame.unionByName, found)), "doc", "left")
-        members = members.select("key", "doc", "n", F.coalesce("joined", "doc").alias("joined"))
+        left = members.filter(~F.array_contains("leaders.doc", F.col("doc"))).select("key", "doc", "n")
+        members = left.join(_joined(reduce(DataFrame.unionByName, found)), "doc", "left").select("key", "doc", "n", F.coalesce("joined", "doc").alias("joined"))
+        # Written, as both the keys' leaders and their documents are taken from it; then the round's other tables can go.
+        with recorded() as left_:
+            members = stage(members, "near-left")
+        drop(sets.sparkSession, before + made)
+        before = left_
         leaders_per_key *= 4
     if not found:
         return candidates_.select("doc", F.col("doc").alias("component")).limit(0)
     return components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("doc"), "component")
 
 
+def _led(members: DataFrame, leaders: int) -> DataFrame:
+    """``members`` of the keys whose documents are not all joined to one, with the key's size and its leaders.
+
+    A key's documents fall in ``leaders`` slots by their hash, and the smallest of each slot leads.
+    """
+    first = [F.min("doc").alias("doc"), F.min_by("n", "doc").alias("n"), F.min_by("joined", "doc").alias("j")]
+    many = [F.count(F.lit(1)).alias("size"), F.min("joined").alias("low"), F.max("joined").alias("high")]
+    lead = F.struct("doc", "n", F.col("j").alias("joined"))
+    if leaders == 1:
+        keys = members.groupBy("key").agg(*many, *first).withColumn("leaders", F.array(lead))
+    else:
+        slots = members.groupBy("key", F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(leaders)).alias("slot")).agg(*many, *first)
+        keys = slots.groupBy("key").agg(F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(lead).alias("leaders"))
+    return members.join(keys.filter("size > 1 and low <> high").select("key", "size", "leaders"), "key")
+
+
 def crowded(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (document, smallest document it reaches within a cell) among documents under crowded keys.
 
@@ -247,9 +267,9 @@ def crowded(members: DataFrame, sets: DataFrame) -> DataFrame:
     of its two blocks for the exact sizes of all intersections, and returns at most one row per
     document, never the pairs.
     """
-    roots = stage(members.groupBy("key").agg(F.min("doc").alias("root")), "near-roots")
-    edges = members.join(roots, "key").select(F.col("doc").alias("a"), F.col("root").alias("b")).distinct()
-    crowds = components(edges).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
+    # Keys are nodes, too, above all documents; keys that meet there only widen a crowd.
+    edges = members.select(F.col("doc").alias("a"), F.expr(f"shiftrightunsigned(key, 2) | {KEYS}L").alias("b"))
+    crowds = components(edges).filter(F.col("node") < KEYS).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
     docs = members.select("doc", "n").distinct().join(crowds, "doc")
     # A document weighs so much at least that a block's weight bounds its documents too.
     weighed = docs.withColumn("weight", F.greatest("n", F.lit(-(-BLOCK // DOCS_IN_BLOCK)).cast("bigint")))

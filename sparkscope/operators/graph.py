@@ -49,7 +49,16 @@ def with_least(links: DataFrame, rows: int, made: list[str] | None = None) -> Da
     Minima are partial aggregates. Nodes with more than a share of all rows, at most ``HUBS`` of them,
     get theirs by a broadcast; the links of all others meet them in a shuffle.
     """
-    around = stage(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least", made)
+    return _meet(links, _around(links, made), rows)
+
+
+def _around(links: DataFrame, made: list[str] | None) -> DataFrame:
+    """Of each u of ``links`` (u, v) the smallest v, the number of links and of those to smaller nodes, written."""
+    below = F.sum(F.when(F.col("v") < F.col("u"), 1).otherwise(0))
+    return stage(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"), below.alias("below")), "least", made)
+
+
+def _meet(links: DataFrame, around: DataFrame, rows: int) -> DataFrame:
     hubs = around.filter(F.col("n") > rows // HUBS)
     hot = links.join(F.broadcast(hubs.select("u", "m")), "u")
     rest = links.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(around.select("u", "m").hint("merge"), "u")
@@ -59,31 +68,38 @@ def with_least(links: DataFrame, rows: int, made: list[str] | None = None) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node of its component for every node of ``edges`` (columns a, b).
 
-    Each partition first shrinks its own edges to stars, a bounded block at a time. Then, until nothing changes,
+    Each partition first shrinks its own edges to stars, a bounded block at a time; what is left makes fewer
+    partitions, which shrink theirs once more. Then, until only stars are left,
     alternates large-star and small-star steps (Kiveris et al., 2014), which need a
     logarithmic number of rounds and never gather a node's neighbours: each step is a
     minimum per node and a join back, in which hubs are split (:func:`with_least`). Rounds go through written tables; a
     round's tables go when the next one is written.
     """
     numbered = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))
-    contracted = stage(numbered.mapInPandas(_contract, "hi bigint, lo bigint"), "edges")
+    once: list[str] = []
+    contracted = stage(numbered.mapInPandas(_contract, "hi bigint, lo bigint"), "edges", once)
+    contracted = stage(contracted.toDF("a", "b").mapInPandas(_contract, "hi bigint, lo bigint"), "edges")
+    drop(numbered.sparkSession, once)
     nodes = contracted.select(F.col("hi").alias("node")).distinct()
-    pairs = contracted.filter("hi <> lo")
-
-    def state(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-
-    now, old = state(pairs.distinct()), []
-    while now[0]:
-        rows, before, made = now[0], now, []
+    pairs, old = contracted.filter("hi <> lo"), []
+    # In a star every node has larger neighbours only, or a smaller one and no other link.
+    loose = (F.col("below") > 0) & (F.col("n") > 1)
+    while True:
+        made: list[str] = []
         # Large star: every neighbour above a node links to the smallest one around it.
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        up = with_least(both, 2 * rows, made).filter("v > u")
-        large = stage(up.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large", made)
+        around = _around(both, made)
+        rows, more = around.agg(F.sum("n"), F.max(loose)).first()
+        if not more:
+            drop(pairs.sparkSession, made)
+            break
+        up = _meet(both, around, rows).filter("v > u")
+        # A row a link at most, so repeated ones need not go before the next step.
+        large = stage(up.select(F.col("v").alias("u"), F.least("m", "u").alias("v")), "large", made)
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        down = with_least(large, 2 * rows, made)
+        down = with_least(large, rows, made)
         small = (
             down.select(F.explode(F.array(F.struct(F.col("v").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("u").alias("hi"), F.col("m").alias("lo")))).alias("link"))
             .select("link.*")
@@ -93,8 +109,5 @@ def components(edges: DataFrame) -> DataFrame:
         pairs, last = stage(small, "stars", made), old
         drop(pairs.sparkSession, last + made[:-1])
         old = made[-1:]
-        now = state(pairs)
-        if now == before:
-            break
     root = pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.join(root.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

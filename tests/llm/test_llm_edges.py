@@ -445,6 +445,23 @@ def test_near_crowd(spark, monkeypatch):
     assert 50 < sum(c == i for i, _, c in want) < 350
 
 
+def test_near_rounds_take_few_shuffles(spark):
+    """Leaders of a key come with its rows, and a round's documents meet their links once."""
+    data = []
+    for g in range(40):
+        base = prose(g, 60).split()
+        for i in range(6):
+            data.append((10 * g + i, " ".join([*base[: 60 - 2 * i], *(f"w{g}x{i}x{j}" for j in range(2 * i))])))
+    spark.sparkContext.setJobGroup("near-rounds", "near")
+    try:
+        got = near.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string").repartition(6)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute.components(data)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near-rounds"))
+    assert jobs < 90
+
+
 def test_near_crowd_of_short_texts(spark):
     """Texts on one template, of six shingles each, most of which link with nothing, under the template's keys."""
     data = [(i, f"a{i} b{i} c d e f g h i j" if i % 50 else f"a{i} c d e f g h i j k{i % 100} l m n") for i in range(100_000)]

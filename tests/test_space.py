@@ -166,3 +166,16 @@ def test_components_with_a_hub(spark, centre):
     links = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
     out = graph.with_least(links, len(edges))
     assert out.count() == len(edges) and out.filter(F.col("u") == centre).select("m").distinct().collect() == [(1,)]
+
+
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    made, write = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label, *more: made.append(label) or write(df, label, *more))
+    stars = spark.createDataFrame([(i, i % 7) for i in range(7, 500)] + [(600, 600)], "a long, b long").repartition(4)
+    got = {r["node"]: r["component"] for r in graph.components(stars).collect()}
+    assert got == {i: i % 7 for i in range(500)} | {600: 600}
+    assert "large" not in made
+    made.clear()
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)] * 2, "a long, b long").repartition(7)
+    assert {r["component"] for r in graph.components(path).collect()} == {0}
+    assert "large" in made
