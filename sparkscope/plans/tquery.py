@@ -69,6 +69,8 @@ class Aggregation:
         return build[self.function]().alias(self.alias)
 
 
+#: Rows up to the end of a page that Spark's own top-n gathers; longer ones are cut by position.
+PAGE = 10_000
 RANKED = ("median", "percentile", "histogram")
 
 
@@ -179,7 +181,7 @@ def run(ask: TelemetryQuery, records: DataFrame) -> DataFrame:
     else:
         df = df.select("id", "timestamp", *[F.col(p).alias(n) for n, p in ask.select.items()])
         order = ["timestamp", "id"]
-    if ask.offset and order:
+    if ask.offset and order and (ask.limit is None or ask.offset + ask.limit > PAGE):
         return _page(df, order, ask.offset, ask.limit)
     if ask.limit is not None or ask.offset:
         if order:

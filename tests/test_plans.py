@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sparkscope.plans import tquery
 
 QUERIES = entry.queries()
 
@@ -72,3 +74,13 @@ def test_rows_are_not_gathered_by_their_few_flags(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("page", [0, 10_000])
+def test_pages_are_the_same_by_position_and_by_top_n(spark, monkeypatch, page):
+    monkeypatch.setattr(tquery, "PAGE", page)
+    rows = [(f"i{i % 90:02}", f"2024-01-{i % 7 + 1:02}", "Log", None if i % 5 else "Info") for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, timestamp string, record_type string, level string").withColumn("timestamp", F.to_timestamp("timestamp")).repartition(5)
+    got = tquery.run(tquery.TelemetryQuery("Logs", select={"level": "level"}, limit=20, offset=10), df)
+    assert [(r["id"], r["level"]) for r in got.collect()] == [(a, d) for a, _, _, d in sorted(rows, key=lambda r: (r[1], r[0]))[10:30]]
+    assert ("TakeOrderedAndProject" in plan(got)) == (page > 0)
