@@ -112,6 +112,31 @@ def test_folding_holds_phrases_and_not_messages(monkeypatch):
     assert max(most) < 60
 
 
+def test_a_task_holds_the_phrases_of_one_bucket(monkeypatch):
+    """However many buckets meet in a task, what is summed at once is one size of one bucket and what waits for it."""
+    monkeypatch.setattr(phrases, "FOLD", 50)
+    monkeypatch.setattr(phrases, "BATCH", 4096)
+    most, real = [], phrases.distinct
+    monkeypatch.setattr(phrases, "distinct", lambda words, *rest: most.append(len(words)) or real(words, *rest))
+    rng = np.random.default_rng(0)
+    want, sent = {}, []
+    for k in (2, 3):
+        rows = rng.integers(0, 1 << 63, (2000, k)).astype(np.uint64)
+        for part in (rows, rows[::2]):  # two chunks, of which the second has every other phrase
+            h = phrases.hashes(lambda j, part=part: part[:, j], k)
+            found = real(part, np.full(len(part), 3), h)
+            sent += [r for b in phrases.dealt(found, 6) for r in b.to_pylist()]
+        want |= {r.astype(">u8").tobytes(): 6 - 3 * (i % 2) for i, r in enumerate(rows)}
+    sent.sort(key=lambda r: (r["bucket"], r["size"]))
+    names = {"bucket": pa.int32(), "size": pa.int32(), "words": pa.binary(), "n": pa.binary()}
+    batches = [pa.RecordBatch.from_pylist(sent[i : i + 7], pa.schema(list(names.items()))) for i in range(0, len(sent), 7)]
+    most.clear()
+    out = [r for b in phrases.folded(iter(batches), 1) for r in b.to_pylist()]
+    assert {r["key"]: r["f"] for r in out} == want and len(out) == len(want)
+    assert {r["key"] for b in phrases.folded(iter(batches), 4) for r in b.to_pylist()} == {k for k, f in want.items() if f == 6}
+    assert max(most) < 160
+
+
 @given(st.lists(st.text("ab .\n", max_size=30), max_size=6), st.integers(1, 20))
 @settings(max_examples=60, deadline=None)
 def test_spans_cut_no_phrase(texts, limit):
