@@ -77,6 +77,39 @@ def matrix(x: pd.Series) -> np.ndarray:
     return np.vstack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, 1))
 
 
+def dense(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of equally long lists."""
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1) if len(x) else np.zeros((0, 1))
+
+
+def streamed(held: DataFrame, rows: DataFrame, keys: list[str], work: Callable[[pa.Table, pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``work(held, batch)`` on all rows of each key, a batch at a time; a task holds what ``held`` has of one key."""
+    cols = list(dict.fromkeys([*keys, *held.columns, *rows.columns]))
+    filled = lambda df, side: df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols], F.lit(side).alias("_side"))
+    # A fixed number of partitions: the work per row is large for its bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = filled(held, 0).unionByName(filled(rows, 1)).repartition(parts, *keys).sortWithinPartitions(*keys, "_side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, met, table = None, [], None
+        for batch in batches:
+            by = np.stack([batch.column(c).to_numpy() for c in (*keys, "_side")], 1)
+            new = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]).any(1)])) if len(by) else []
+            for start, end in zip(new, [*new[1:], len(by)]):
+                *key, side = by[start].tolist()
+                if key != now:
+                    now, met, table = key, [], None
+                part = batch.slice(start, end - start)
+                if side == 0:
+                    met.append(part)
+                elif met:
+                    table = table or pa.Table.from_batches(met).combine_chunks()
+                    yield from work(table, part)
+
+    return both.mapInArrow(run, schema)
+
+
 def blocks(points: DataFrame, size: int) -> DataFrame:
     """``points`` with the number of their ``_block``, of at most ``size`` points, and ``_safe``, within which all other points are of the same block; written.
 

@@ -145,6 +145,45 @@ def test_eigenvectors_match_numpy(spark):
         assert abs(got[:, k] @ axes[:, -1 - k]) == pytest.approx(1, abs=1e-4)
 
 
+def test_products_write_no_tables(spark, monkeypatch):
+    """Parts that borrow from each other, one without entries; the iteration writes its parts and its result, not each product."""
+    rng = np.random.default_rng(8)
+    weight = rng.uniform(0, 1, (60, 60)) * (rng.uniform(size=(60, 60)) < 0.15)
+    weight = np.triu(weight, 1) + np.triu(weight, 1).T + np.diag(np.full(60, 0.01))
+    scaled = weight / np.sqrt(weight.sum(0)[:, None] * weight.sum(0)[None, :])
+    rows = [(i, j, float(scaled[i, j])) for i in range(60) for j in range(60) if scaled[i, j]]
+    made, write = [], cluster.stage
+    monkeypatch.setattr(cluster, "stage", lambda df, label, *more: made.append(label) or write(df, label, *more))
+    nodes = spark.range(61).select("id", F.when(F.col("id") == 60, -5).otherwise(F.col("id") % 4 * 1000).alias("part"))
+    vectors, values = cluster.eigenvectors(spark.createDataFrame(rows, "src long, dst long, m double"), nodes, 2, tolerance=1e-6, rounds=20)
+    want, axes = np.linalg.eigh(scaled)
+    got = {r["id"]: r["v"] for r in vectors.collect()}
+    assert len(got) == 61 and np.allclose(got[60], 0, atol=1e-5)
+    assert values == pytest.approx(want[::-1][:2], abs=1e-6)
+    for k in range(2):
+        assert abs(sum(got[i][k] * axes[i, -1 - k] for i in range(60))) == pytest.approx(1, abs=1e-4)
+    assert made == ["numbered", "parts", "eigenvectors"]
+
+
+def test_nearest_asks_only_blocks_within_reach(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 64)
+    monkeypatch.setattr(cluster, "ASKED", 5)  # many turns
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 10, (900, 2)).round(1)
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    made, write = [], cluster.stage
+
+    def kept(df, label, *more):
+        made.append((label, write(df, label, *more)))
+        return made[-1][1]
+
+    monkeypatch.setattr(cluster, "stage", kept)
+    got = {r["id"]: [(e["distance"], e["other"]) for e in r["near"]] for r in cluster.nearest(frame(spark, x), 4).collect()}
+    assert got == {i: sorted((d[i, j], j) for j in range(900) if j != i)[:4] for i in range(900)}
+    assert [0 < table.count() < 3 * 900 for label, table in made if label == "asked"] == [True]
+
+
 def test_spectral_parts_rings(spark):
     """Two rings, one inside the other, which k-means can't part."""
     turn = np.linspace(0, 2 * np.pi, 90, endpoint=False)
